@@ -34,7 +34,7 @@ from .common import read
 #: White space as the tokenizer's patterns know it (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 BLOCK = 4096
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -154,14 +154,17 @@ class Transducer:
 
     def word(self, word: str) -> bytes:
         """Ids of one word of the split pattern, as little-endian 32-bit integers."""
-        letters, raw, vocab = self.letters, word.encode("utf-8"), self.vocab
+        vocab = self.vocab
+        if word.isascii() and word.isprintable() and len(word) <= BLOCK:  # printable ASCII stands for itself
+            return b"".join([vocab[t].to_bytes(4, "little") for t in self.merged([*word[:-1], word[-1] + self.suffix]) if t in vocab])
+        letters, raw = self.letters, word.encode("utf-8")
         symbols = (letters[b] + (self.suffix if i == len(raw) - 1 else "") for i, b in enumerate(raw))
         toks = self.stream(symbols) if len(raw) > BLOCK + self.lookahead else self.merged(list(symbols))
         return b"".join([vocab[t].to_bytes(4, "little") for t in toks if t in vocab])
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a run without white space; short ones are remembered, up to CACHE_WORDS."""
-        ids = b"".join([self.word(w) for w in self.split.findall(chunk)])
+        ids = self.word(chunk) if chunk.isascii() and chunk.isalpha() else b"".join([self.word(w) for w in self.split.findall(chunk)])
         if len(chunk) <= 40:
             if len(self.cache) >= CACHE_WORDS:
                 self.cache.clear()

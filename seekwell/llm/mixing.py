@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, read, stage
 
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 
 
 def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_repeats: float = 2.0) -> DataFrame:

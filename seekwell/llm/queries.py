@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op5_mix_sources": "mixing",
     "op7_bpe": "bpe",
+    "op10_lm_score": "lm",
 }
 
 
