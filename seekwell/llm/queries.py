@@ -7,6 +7,7 @@ import importlib
 #: query -> module; each is imported when the query runs.
 MODULES = {
     "op5_mix_sources": "mixing",
+    "op6_ann": "ann",
     "op7_bpe": "bpe",
     "op10_lm_score": "lm",
 }
