@@ -1,7 +1,7 @@
 """Toxicity scores: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A text is its runs of letters and digits, lower-cased.  A word enters with two inputs: a hashed word vector, and the mean
-of the hashed vectors of its byte trigrams, so words never seen still have a shape.  Windows of ``WINDOW`` words,
+A text is its runs of letters and digits, lower-cased.  A word enters with two inputs: a hashed word vector, and the sum
+of the hashed vectors of its byte n-grams (3 to 5) over the root of their number, so words never seen still have a shape.  Windows of ``WINDOW`` words,
 ``STRIDE`` apart, cover the whole text; each runs through a GRU in both directions, attention pools the states, and
 a logistic unit scores the window.  A document's score is that of its highest window, calibrated on training documents.
 
@@ -27,7 +27,7 @@ from .bytescan import ALNUM, LOWER, buffers, pieces, span_hashes, words
 from .common import crc_mod5, read
 
 WINDOW, STRIDE = 24, 16
-WORDS, GRAMS, DIM, HIDDEN = 8192, 4096, 8, 8
+WORDS, GRAMS, DIM, HIDDEN = 8192, 16384, 8, 8
 FIT_ROWS = 4_000
 PIECE = 1 << 20
 
@@ -42,17 +42,26 @@ class Texts:
         self.hashes, self.index, self.first = uniq, index.astype(np.int32), first
         self.word_ids = (uniq % np.uint64(WORDS)).astype(np.int32)
         s, length = starts[at], ends[at] - starts[at]
-        # trigrams of each distinct word between two marks: positions -1 .. length - 2
-        own = np.repeat(np.arange(len(uniq)), length)
-        place = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
-        where = np.repeat(s, length) + place
-        padded = np.concatenate([[1], low, [1]]).astype(np.uint32)
-        left = np.where(place == 0, 1, padded[where])
-        right = np.where(place == np.repeat(length, length) - 1, 2, padded[np.minimum(where + 2, len(padded) - 1)])
-        code = (left * np.uint32(65599) + padded[where + 1]) * np.uint32(65599) + right
-        self.grams = ((code * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int32) % GRAMS
-        self.gram_at = np.cumsum(length) - length
-        self.gram_n = length
+        # n-grams of 3 to 5 bytes of each distinct word between two marks
+        length = length + 2
+        chars = np.full(int(length.sum()), 1, np.uint32)
+        head = np.cumsum(length) - length
+        own = np.repeat(np.arange(len(uniq)), length - 2)
+        place = np.arange(len(own)) - np.repeat(np.cumsum(length - 2) - (length - 2), length - 2)
+        chars[head[own] + 1 + place] = low[s[own] + place]
+        whose = np.repeat(np.arange(len(uniq)), length)
+        left = np.repeat(head + length, length) - np.arange(len(chars))  # bytes from here to the end of the word
+        code, found = chars.copy(), []
+        for n in range(2, 6):
+            code = code * np.uint32(65599) + np.concatenate([chars[n - 1 :], np.zeros(n - 1, np.uint32)])
+            if n > 2:
+                at_n = np.flatnonzero(left >= n)
+                found.append((whose[at_n], ((code[at_n] * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int32) % GRAMS))
+        whose, grams = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.argsort(whose, kind="stable")
+        self.grams = grams[by]
+        self.gram_n = np.bincount(whose, minlength=len(uniq))
+        self.gram_at = np.cumsum(self.gram_n) - self.gram_n
         n = np.diff(first)
         self.per_doc = np.maximum(1, -(-np.maximum(n - WINDOW, 0) // STRIDE) + 1)
         self.doc_first = np.cumsum(self.per_doc) - self.per_doc
@@ -89,9 +98,9 @@ class Network:
         self.a, self.b = 1.0, 0.0
 
     def inputs(self, texts: Texts) -> np.ndarray:
-        """One vector for each distinct word: its own part, and the mean over its trigrams."""
+        """One vector for each distinct word: its own part, and that of its n-grams."""
         g = self.p["grams"][texts.grams]
-        chars = np.add.reduceat(g, texts.gram_at, axis=0) / texts.gram_n[:, None] if len(g) else np.zeros((0, DIM), np.float32)
+        chars = np.add.reduceat(g, texts.gram_at, axis=0) / np.sqrt(texts.gram_n)[:, None] if len(g) else np.zeros((0, DIM), np.float32)
         return np.concatenate([self.p["words"][texts.word_ids], chars], axis=1).astype(np.float32)
 
     def forward(self, x: np.ndarray, at: np.ndarray, keep: bool = False):
@@ -160,7 +169,7 @@ class Network:
         return sigmoid(self.a * np.maximum.reduceat(self.window_logits(texts), texts.doc_first) + self.b)
 
 
-def train(texts: Texts, y: np.ndarray, rounds: int = 7, batch: int = 128, rate: float = 0.01, seed: int = 5) -> Network:
+def train(texts: Texts, y: np.ndarray, rounds: int = 7, batch: int = 128, rate: float = 0.01, drop: float = 0.15, seed: int = 5) -> Network:
     """Fits the network to document labels."""
     net, rng = Network(seed), np.random.default_rng(seed)
     docs = len(y)
@@ -195,15 +204,16 @@ def train(texts: Texts, y: np.ndarray, rounds: int = 7, batch: int = 128, rate:
         for i in range(0, len(order), batch):
             some = order[i : i + batch]
             at = texts.pick(which[some])
+            at[rng.random(at.shape) < drop] = len(texts.hashes)
             used, local = np.unique(at, return_inverse=True)
             local = local.reshape(at.shape)
             real = used[used < len(texts.hashes)]
             grams_n = texts.gram_n[real]
             gram_ids = texts.grams[np.repeat(texts.gram_at[real], grams_n) + np.arange(grams_n.sum()) - np.repeat(np.cumsum(grams_n) - grams_n, grams_n)]
-            chars = np.add.reduceat(net.p["grams"][gram_ids], np.cumsum(grams_n) - grams_n, axis=0) / grams_n[:, None] if len(real) else np.zeros((0, DIM))
+            chars = np.add.reduceat(net.p["grams"][gram_ids], np.cumsum(grams_n) - grams_n, axis=0) / np.sqrt(grams_n)[:, None] if len(real) else np.zeros((0, DIM))
             x = np.concatenate([net.p["words"][texts.word_ids[real]], chars], axis=1).astype(np.float32)
             g, dx = net.gradients(x, local, target[some], weight[some])
-            for name, ids, part in (("words", texts.word_ids[real], dx[:, :DIM]), ("grams", gram_ids, np.repeat(dx[:, DIM:] / grams_n[:, None], grams_n, axis=0))):
+            for name, ids, part in (("words", texts.word_ids[real], dx[:, :DIM]), ("grams", gram_ids, np.repeat(dx[:, DIM:] / np.sqrt(grams_n)[:, None], grams_n, axis=0))):
                 g[name] = np.zeros_like(net.p[name])
                 np.add.at(g[name], ids, part)
             steps += 1
