@@ -10,6 +10,7 @@ MODULES = {
     "op5_mix_sources": "mixing",
     "op6_ann": "ann",
     "op7_bpe": "bpe",
+    "op8_html": "html",
     "op10_lm_score": "lm",
 }
 
