@@ -6,6 +6,7 @@ import importlib
 
 #: query -> module; each is imported when the query runs.
 MODULES = {
+    "op2_spotsigs": "spotsigs",
     "op4_toxicity": "toxicity",
     "op5_mix_sources": "mixing",
     "op6_ann": "ann",
