@@ -7,6 +7,7 @@ import importlib
 #: query -> module; each is imported when the query runs.
 MODULES = {
     "op2_spotsigs": "spotsigs",
+    "op3_licenses": "licenses",
     "op4_toxicity": "toxicity",
     "op5_mix_sources": "mixing",
     "op6_ann": "ann",
