@@ -6,6 +6,7 @@ import importlib
 
 #: query -> module; each is imported when the query runs.
 MODULES = {
+    "op1_ngram_join": "ngram_join",
     "op2_spotsigs": "spotsigs",
     "op3_licenses": "licenses",
     "op4_toxicity": "toxicity",
