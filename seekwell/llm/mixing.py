@@ -100,10 +100,27 @@ def mix(docs: DataFrame, size: Column, weights=(3, 1, 2), share: float = 1.5, ma
         F.col("virtual_finish").asc_nulls_last(), "source", *keep)
 
 
+def _with_size(docs: DataFrame) -> tuple[DataFrame, Column]:
+    return docs.withColumn("_row", F.xxhash64("text", "source")), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+
+
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` as the mix takes them, in their own columns: a row for each copy of which at least half is taken.
+
+    Rows without words cost nothing and stay once.
+    """
+    rows, size = _with_size(docs)
+    mixed = mix(rows.select("doc_id", "_row", "text", "source"), size, keep=("doc_id", "_row"), **options)
+    times = mixed.where(F.when(F.col("size") == 0, F.col("copy") == 1).otherwise(2 * F.col("taken") >= F.col("size"))).groupBy("doc_id", "_row").agg(F.count("*").cast("int").alias("_n"))
+    times = times.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_r"), "_n")
+    one = rows.dropDuplicates(["doc_id", "_row"])
+    return one.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r"))).withColumn(
+        "_k", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
+
+
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
     """All documents, mixed to targets of 150 % of all words: one row per document row."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    docs = docs.withColumn("_row", F.xxhash64("text", "source"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    mixed = mix(docs, size, keep=("doc_id", "_row"))
+    rows, size = _with_size(docs)
+    mixed = mix(rows, size, keep=("doc_id", "_row"))
     return mixed.groupBy("_id", "doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken")).drop("_id")

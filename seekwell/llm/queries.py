@@ -14,6 +14,7 @@ MODULES = {
     "op6_ann": "ann",
     "op7_bpe": "bpe",
     "op8_html": "html",
+    "op9_suffix_dedup": "suffix_dedup",
     "op10_lm_score": "lm",
 }
 
