@@ -63,7 +63,7 @@ def full_title(series: Column, season: Column, episode: Column, title: Column) -
 def enrichment_text(e: Column) -> Column:
     """What was generated about an item, for the index."""
     parts = F.concat(F.array(_text(e["premise"])), _list(e["themes"]), _list(e["moments"]), _list(e["asks"]))
-    return F.array_join(F.filter(F.transform(parts, F.trim), lambda p: p != ""), ". ")
+    return F.array_join(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""), ". ")
 
 
 def render_sections(items: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

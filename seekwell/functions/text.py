@@ -93,6 +93,6 @@ def blank(text: Column) -> Column:
 
 def distinct_folded(values: Column, most: int | None = None) -> Column:
     """Trimmed non-blank strings, the first of those equal but for case, in order."""
-    kept = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), F.trim), lambda v: v.isNotNull() & (v != ""))
+    kept = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != ""))
     first = F.transform(F.array(kept), lambda k: F.transform(F.array(F.transform(k, F.lower)), lambda low: F.filter(k, lambda v, i: F.array_position(low, F.lower(v)) == i + 1))[0])[0]
     return first if most is None else F.slice(first, 1, most)

@@ -25,7 +25,7 @@ def chat_cost(calls: DataFrame, rates: DataFrame | None = None) -> DataFrame:
 def embedding_cost(calls: DataFrame, rates: DataFrame) -> DataFrame:
     """Adds ``cost`` to embedding calls (``tokens``) by ``rate`` per million of their ``model``."""
     rows = calls.join(rates.select("model", "rate"), "model", "left")
-    total = F.col("tokens").cast("decimal(12,0)") * F.coalesce("rate", F.lit(0)).cast("decimal(18,6)") / F.lit(1_000_000)
+    total = F.col("tokens").cast("decimal(12,0)") * F.coalesce(F.col("rate").cast("decimal(18,6)"), F.lit(0)) / F.lit(1_000_000)
     return rows.withColumn("cost", total.cast("decimal(20,10)")).select(*calls.columns, "cost")
 
 
@@ -158,7 +158,7 @@ def pending(items: DataFrame, rows: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     both = items.select("item_id", F.coalesce(F.col("enrichment.asks"), none).alias("asks")).join(live, "item_id", "left").withColumn("live", F.coalesce("live", none))
     shown = F.when(F.size("live") == 0, F.col("asks")).otherwise(F.slice("asks", F.lit(1), F.greatest(F.size("live"), F.lit(1))))
-    return both.select("item_id", (F.transform(shown, F.trim) != F.col("live")).alias("pending"))
+    return both.select("item_id", (F.transform(shown, lambda a: F.trim(a)) != F.col("live")).alias("pending"))
 
 
 def library_audit(items: DataFrame, rows: DataFrame, cues: DataFrame, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -14,6 +14,7 @@ from ..functions.text import blank, distinct_folded
 
 EARLIEST, LATEST = 1880, 2200
 MAX_ASKS, MAX_WHY = 12, 120
+ENTRIES = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("why", T.StringType())]))
 ENRICHMENT = "struct<premise:string,moments:array<string>,themes:array<string>,asks:array<string>,spoiler:boolean>"
 
 
@@ -38,7 +39,7 @@ def objects(text: str, nested: bool = False) -> list[str]:
     return found
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _first_object(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: next(iter(objects(t)), None) if isinstance(t, str) else None)
 
@@ -67,7 +68,7 @@ def _load(text: str):
         return None
 
 
-@F.pandas_udf("array<struct<i:int,why:string>>")
+@F.pandas_udf(ENTRIES)
 def _order(texts: pd.Series) -> pd.Series:
     def one(text):
         if not isinstance(text, str) or not text.strip():
@@ -83,7 +84,7 @@ def _order(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("array<struct<i:int,why:string>>")
+@F.pandas_udf(ENTRIES)
 def _salvage(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [e for e in map(_entry, map(_load, objects(t, nested=True))) if e] if isinstance(t, str) else [])
 

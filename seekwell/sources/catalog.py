@@ -57,5 +57,5 @@ def read_eval_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     lines = whole.withColumn("group", F.last(heading, ignorenulls=True).over(Window.partitionBy("file_path").orderBy("n"))).where(F.col("line").rlike(row))
     part = lambda i: F.regexp_extract("line", row, i)
     rows = lines.select(part(1).cast("int").alias("query_id"), "group", part(2).alias("text"), part(3).alias("_e"))
-    expected = rows.select("query_id", F.explode(F.filter(F.transform(F.split("_e", ";"), F.trim), lambda e: (e != "") & ~e.isin("-", "—", "–"))).alias("expected"))
+    expected = rows.select("query_id", F.explode(F.filter(F.transform(F.split("_e", ";"), lambda e: F.trim(e)), lambda e: (e != "") & ~e.isin("-", "—", "–"))).alias("expected"))
     return rows.select("query_id", "group", "text", F.lower(F.coalesce("group", F.lit(""))).contains("router").alias("router_only")), expected

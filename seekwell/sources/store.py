@@ -11,9 +11,7 @@ from ..operators.vectors import check_vectors
 def upsert(stored: DataFrame, fresh: DataFrame, key: str = "item_id", version: str | None = None) -> DataFrame:
     """``fresh`` rows replace stored ones of the same key, others survive; among fresh ones the highest ``version`` counts."""
     names = stored.columns
-    newest = fresh.select(*names)
-    if version:
-        newest = newest.groupBy(key).agg(F.max_by(F.struct(*names), version).alias("r")).select("r.*")
+    newest = fresh.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*names), version).alias("r")).select("r.*") if version else fresh.select(*names)
     return stored.join(newest.select(key), key, "left_anti").select(*names).unionByName(newest)
 
 
