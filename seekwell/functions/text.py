@@ -27,9 +27,9 @@ def fold_table() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    """Text without diacritics."""
+    """Text without diacritics; plain ASCII is left as it is."""
     source, target = fold_table()
-    return F.regexp_replace(F.translate(text, source, target), r"\p{Mn}+", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(text, source, target), r"\p{Mn}+", "")).otherwise(text)
 
 
 def tokenize(text: Column) -> Column:
@@ -60,10 +60,14 @@ def query_key(query: Column, user: Column, generation: Column) -> Column:
 
 
 def trigrams(tokens: Column) -> Column:
-    """Distinct character trigrams of tokens joined by spaces; none for fewer than three characters."""
-    joined = F.array_join(tokens, " ")
-    return F.transform(F.array(joined), lambda s: F.when(F.length(s) >= 3, F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3))))).otherwise(F.array().cast("array<string>")))[0]
+    """Distinct character trigrams of tokens joined by spaces; none for fewer than three characters.
+
+    Characters are laid beside their successors, which takes one pass; cutting each trigram out of the text would take one pass each.
+    """
+    chars = F.split(F.array_join(tokens, " "), "")
+    beside = lambda c, k: F.slice(c, F.lit(k), F.greatest(F.size(c) - k + 1, F.lit(0)))
+    grams = F.transform(F.array(chars), lambda c: F.zip_with(F.zip_with(c, beside(c, 2), lambda a, b: F.concat(a, b)), beside(c, 3), lambda a, b: F.concat(a, b)))[0]
+    return F.array_distinct(F.filter(grams, lambda g: g.isNotNull()))
 
 
 def word_count(text: Column) -> Column:

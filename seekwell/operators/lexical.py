@@ -22,13 +22,16 @@ class Bm25Tables:
     corpus: DataFrame
 
 
+def lengths_of(sections: DataFrame) -> DataFrame:
+    """``item_id, len``: weighted number of terms of every item, those without terms too."""
+    return sections.groupBy("item_id").agg(F.sum(F.col("weight") * F.size(terms(F.col("text")))).cast("double").alias("len"))
+
+
 def build_bm25(sections: DataFrame) -> Bm25Tables:
     """Index of sections (``item_id, weight, text``): a term counts its field's weight each time it stands there."""
     each = sections.select("item_id", "weight", F.explode(terms(F.col("text"))).alias("term"))
     postings = each.groupBy("item_id", "term").agg(F.sum("weight").alias("tf"))
-    own = postings.groupBy("item_id").agg(F.sum("tf").alias("len"))
-    every = sections.select("item_id").distinct()
-    lengths = every.join(own, "item_id", "left").select("item_id", F.coalesce("len", F.lit(0.0)).alias("len"))
+    lengths = lengths_of(sections)
     frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
     corpus = lengths.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("len")).alias("avg_len"))
     return Bm25Tables(postings, lengths, frequencies, corpus)
@@ -73,6 +76,17 @@ def bm25_search(queries: DataFrame, index: Bm25Tables, limit: int, k1: float = 1
     return top_k(scored, limit)
 
 
+def bm25_once(queries: DataFrame, sections: DataFrame, limit: int, **options) -> DataFrame:
+    """The same for sections that are searched once: only terms that are asked for are shuffled, and nothing is kept."""
+    asked = query_terms(queries).select("term").distinct()
+    each = sections.select("item_id", "weight", F.explode(terms(F.col("text"))).alias("term")).join(asked, "term", "left_semi")
+    postings = each.groupBy("item_id", "term").agg(F.sum("weight").alias("tf"))
+    lengths = lengths_of(sections)
+    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
+    corpus = lengths.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("len")).alias("avg_len"))
+    return bm25_search(queries, Bm25Tables(postings, lengths, frequencies, corpus), limit, **options)
+
+
 def name_tokens(sections: DataFrame) -> DataFrame:
     """``token``: distinct terms of names (titles, original titles, people)."""
     return sections.where(F.col("field").isin(*NAME_FIELDS)).select(F.explode(terms(F.col("text"))).alias("token")).distinct()

@@ -148,7 +148,7 @@ def ingest_enrichment(responses: DataFrame, batches: DataFrame) -> DataFrame:
     known = ~F.coalesce(F.try_variant_get(v, "$.known", "boolean") == False, F.lit(False))  # noqa: E712
     none = F.array().cast("array<string>")
     keep = lambda c, other: F.when(known, c).otherwise(other)
-    said = each.select("batch", "_n", F.try_variant_get(v, "$.i", "int").alias("pos"), F.struct(
+    said = each.select("batch", "_n", F.when(F.schema_of_variant(F.try_variant_get(v, "$.i", "variant")) == "BIGINT", F.try_variant_get(v, "$.i", "int")).alias("pos"), F.struct(
         keep(text("premise"), F.lit("")).alias("premise"), keep(listed("moments"), none).alias("moments"), keep(listed("themes"), none).alias("themes"),
         keep(listed("asks", MAX_ASKS), none).alias("asks"), keep(F.coalesce(F.try_variant_get(v, "$.spoiler", "boolean"), F.lit(False)), F.lit(False)).alias("spoiler")).alias("enrichment"))
     first = said.withColumn("_k", F.row_number().over(Window.partitionBy("batch", "pos").orderBy("_n"))).where("_k = 1").drop("_k", "_n")

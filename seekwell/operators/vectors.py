@@ -23,7 +23,7 @@ def unit(vec: Column) -> Column:
     """The vector in doubles, of length one; a zero vector stays zero."""
     v = vec.cast("array<double>")
     length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(F.array(length), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))[0]
+    return F.transform(F.array(length), lambda n: F.transform(v, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0))))[0]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -65,8 +65,8 @@ def knn_blocks(query_vectors: DataFrame, rows: DataFrame, limit: int, slices: in
             best = np.maximum.reduceat(np.round(np.stack(part["q"].to_numpy()) @ v.T, 9), first, axis=1)
             for name, row in zip(part["query_id"], best, strict=True):
                 top = np.lexsort((np.arange(len(ids)), -row))[:limit]
-                out.append(pd.DataFrame({"query_id": name, "item_id": ids[top], "score": row[top]}))
-        return pd.concat(out)
+                out.append((name, ids[top], row[top]))
+        return pd.DataFrame({"query_id": [n for n, i, _ in out for _ in i], "item_id": [i for _, own, _ in out for i in own], "score": np.concatenate([s for *_, s in out])})
 
     kinds = dict(query_vectors.dtypes)["query_id"], dict(rows.dtypes)["item_id"]
     found = q.groupBy("_s").cogroup(r.groupBy("_s")).applyInPandas(lambda a, b: meet(a, b), f"query_id {kinds[0]}, item_id {kinds[1]}, score double")

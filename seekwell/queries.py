@@ -104,7 +104,7 @@ lex as (select *, row_number() over (partition by query_id order by score desc,
 
 @query(SEARCH + " select query_id, item_id, round(score,6) score, rank from lex where rank <= 10")
 def bm25_search(spark, d):
-    found = lexical.bm25_search(bench_queries(spark, d), lexical.build_bm25(doc_sections(spark, d)), 10)
+    found = lexical.bm25_once(bench_queries(spark, d), doc_sections(spark, d), 10)
     return found.select("query_id", "item_id", _dbl("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -155,7 +155,7 @@ s as (select query_id, p.item_id, round(sum(ln(1+(n-df+0.5)/(df+0.5))*tf*2.2/(tf
 select query_id, cast(item_id as bigint) item_id, round(score,6) score, rank from (select *, row_number() over (partition by query_id order by score desc, item_id) rank from s) where rank <= 20""")
 def bm25_field_weighted(spark, d):
     q = spark.createDataFrame([(1, "red widgets from the nineties"), (2, "economy ring"), (3, "brand 17")], "query_id int, text string")
-    found = lexical.bm25_search(q, lexical.build_bm25(fd.render_sections(part_items(spark, d))), 20)
+    found = lexical.bm25_once(q, fd.render_sections(part_items(spark, d)), 20)
     return found.select("query_id", "item_id", _dbl("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -210,7 +210,7 @@ select item_id query_id, coalesce(b is null or b<=0 or a/b>=1.35,false) dominant
 case when len(list_filter(""" + tok("text") + """, x -> length(x)>=3))>=2 and not coalesce(b is null or b<=0 or a/b>=1.35,false) then 'Both' else 'Native' end route from benchmark left join two on two.query_id=item_id""")
 def dominance_upgrade(spark, d):
     q = bench_queries(spark, d)
-    ranked = lexical.bm25_search(q, lexical.build_bm25(doc_sections(spark, d)), 10)
+    ranked = lexical.bm25_once(q, doc_sections(spark, d), 10)
     routed = q.withColumns({"route": F.lit("Native"), "reason": F.lit("matches names in the library")})
     up = routing.upgrade_native(routed, ranked)
     return up.join(routing.has_dominant_winner(ranked), "query_id", "left").select("query_id", F.coalesce("dominant", F.lit(False)).alias("dominant"), routing.worth_upgrading(F.col("text")).alias("worth"), "route")
@@ -241,7 +241,7 @@ def knn_blocks(spark, d):
 def doc_rankings(spark, d: str) -> tuple[DataFrame, DataFrame]:
     """Two rankings of documents per benchmark text: by words, and by how near its length is."""
     q = bench_queries(spark, d)
-    lex = lexical.bm25_search(q, lexical.build_bm25(doc_sections(spark, d)), 60)
+    lex = lexical.bm25_once(q, doc_sections(spark, d), 60)
     by_length = lex.join(_t(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "n_chars"), "item_id").select("query_id", "item_id", (-F.col("n_chars")).cast("double").alias("score"))
     return lex, lexical.top_k(by_length, 30)
 
@@ -304,7 +304,7 @@ def hybrid_search(spark, d):
 o as (select query_id, item_id, row_number() over (partition by query_id order by mp nulls last, rank) rank from sl join a using(query_id, rank)), n as (select query_id, least(count(*),10) size from sl group by 1)
 select query_id, item_id, rank, (case when size>2 then 2 else 1 end) ranked, size - (case when size>2 then 2 else 1 end) omitted, 1 + (case when size>2 then 0 else 1 end) invented from o join n using(query_id)""")
 def rerank_merge(spark, d):
-    ordered = lexical.bm25_search(bench_queries(spark, d), lexical.build_bm25(doc_sections(spark, d)), 20)
+    ordered = lexical.bm25_once(bench_queries(spark, d), doc_sections(spark, d), 20)
     text = F.lit('Here: {"order":[{"i":2,"why":"best"},0,{"index":99},{"i":2},"x"]}')
     answers = responses.ingest_rerank(_t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("text")))
     got, counts = ranking.merge_rerank(ordered, answers, 10)
@@ -730,7 +730,7 @@ select "group", count(*) queries, round(avg(case when rank<=40 then 1.0 else 0 e
 def recall_mrr(spark, d):
     """Benchmark texts as queries; documents that hold their first 40 characters are relevant."""
     q = bench_queries(spark, d)
-    found = lexical.bm25_search(q, lexical.build_bm25(doc_sections(spark, d)), 40)
+    found = lexical.bm25_once(q, doc_sections(spark, d), 40)
     heads = q.select("query_id", F.substring("text", 1, 40).alias("text"))
     docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("whole"))
     held = dialogue.phrase_exact(heads.withColumn("text", F.regexp_replace("text", r"[\p{L}\p{Nd}]+$", "")).withColumnRenamed("query_id", "phrase_id"), doc_windows(spark, d)).select(F.col("phrase_id").alias("query_id"), F.col("window_id").alias("item_id"))

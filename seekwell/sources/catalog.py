@@ -40,7 +40,7 @@ def library_health(items: DataFrame, roots: DataFrame) -> DataFrame:
 
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     """``item_id, path, size, modified, content`` of subtitle files; the item is the file's name up to the first dot."""
-    files = spark.read.option("wholetext", True).text(path).select("value", "_metadata.*")
+    files = spark.read.text(path, wholetext=True).select("value", "_metadata.*")
     return files.select(F.regexp_extract("file_name", r"^([^.]*)", 1).alias("item_id"), F.col("file_path").alias("path"), F.col("file_size").alias("size"), F.col("file_modification_time").alias("modified"), F.col("value").alias("content"))
 
 
@@ -51,7 +51,7 @@ def read_lyrics(spark: SparkSession, path: str) -> DataFrame:
 
 def read_eval_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(queries ``query_id, group, text, router_only``, ``query_id, expected``) of a markdown file: headings are groups, table rows are queries."""
-    whole = spark.read.option("wholetext", True).text(path).select("_metadata.file_path", F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    whole = spark.read.text(path, wholetext=True).select("_metadata.file_path", F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
     row = r"^\|\s*(\d+)\s*\|\s*(.*?)\s*\|\s*(.*?)\s*\|\s*$"
     heading = F.nullif(F.regexp_extract("line", r"^#+\s+(.*?)\s*$", 1), F.lit(""))
     lines = whole.withColumn("group", F.last(heading, ignorenulls=True).over(Window.partitionBy("file_path").orderBy("n"))).where(F.col("line").rlike(row))
