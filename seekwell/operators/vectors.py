@@ -56,7 +56,7 @@ def knn_blocks(query_vectors: DataFrame, rows: DataFrame, limit: int, slices: in
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+            return pd.DataFrame({"query_id": pd.Series([], dtype=object), "item_id": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
         right = right.sort_values("item_id", kind="stable")
         ids, first = np.unique(right["item_id"].to_numpy(), return_index=True)
         v, out = np.stack(right["v"].to_numpy()), []
