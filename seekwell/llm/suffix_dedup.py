@@ -283,7 +283,7 @@ def _tree(group):
             m, left = members[good], longest[good]
             if len(m):
                 out.append(pd.DataFrame({"doc_id": own["doc_id"].to_numpy()[m], "sha": own["sha"].to_numpy()[m], "start": (place[m] - left).astype(np.int32), "stop": (place[m] + depth).astype(np.int32)}))
-    return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "sha": [], "start": [], "stop": []}).astype({"doc_id": "int64", "start": "int32", "stop": "int32"})
+    return pd.concat(out) if out else pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("doc_id", "int64"), ("sha", object), ("start", "int32"), ("stop", "int32"))})
 
 
 def _strings(batches):
