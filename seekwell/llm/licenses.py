@@ -3,9 +3,8 @@
 Normalised text is the lower-cased runs of letters and digits.  Units of comparison are the lines of a text, its
 paragraphs (parts between blank lines) where they have several lines, and the whole text where it has several paragraphs.
 Dice is 2 |A n B| / (|A| + |B|) over sets of bigrams.  Pruning is exact: the sizes of both sets bound the coefficient,
-and a unit must share one of those bigrams of a template that remain when the fewest that could make up the
-coefficient are set aside; the best-known bigrams (of the fewest templates) are kept for this.  No template is compared
-with a unit that fails either.
+and a unit must hold one of the bigrams that :func:`marks` names, so texts without any of their words are passed over before
+they are cut.  No template is compared with a unit that fails either.
 
 Defined cases: null, empty and blank texts, and units of less than two words, match nothing; equal coefficients go to the
 smaller licence name; repeated rows each give a row; an empty table gives an empty result; extra columns do not matter.
@@ -98,21 +97,38 @@ def template_bigrams(templates=None) -> list[tuple[str, list[str]]]:
     return out
 
 
-def probes(bigrams: list[str], known: dict[str, int], threshold: float) -> list[str]:
-    """Bigrams of a template of which any unit with the coefficient must have at least one."""
-    b = len(bigrams)
-    needed = max(1, math.ceil(threshold * b / (2 - threshold) - 1e-9))  # a >= t b / (2 - t), and o >= t (a + b) / 2 >= t b / (2 - t)
-    return sorted(bigrams, key=lambda x: (known[x], x))[: b - needed + 1]
+def marks(rows: list[tuple[str, list[str]]], threshold: float) -> tuple[list[str], list[str]]:
+    """(words, bigrams with one of them) such that any unit with the coefficient has one of the bigrams.
+
+    A unit with the coefficient shares at least t b / (2 - t) of a template's b bigrams (o >= t (a + b) / 2 and a >= o), so it has one of any
+    set that leaves out fewer.  Words are taken greedily until each template has that many bigrams with one of them, long words
+    before short ones.
+    """
+    need = [len(b) - max(1, math.ceil(threshold * len(b) / (2 - threshold) - 1e-9)) + 1 for _, b in rows]
+    left, words = [{tuple(x.split(" ")) for x in b} for _, b in rows], []
+    while any(n > 0 for n in need):
+        gain: dict[str, int] = {}
+        for n, pairs in zip(need, left, strict=True):
+            if n > 0:
+                own: dict[str, int] = {}
+                for p in pairs:
+                    for w in set(p):
+                        own[w] = own.get(w, 0) + 1
+                for w, c in own.items():
+                    gain[w] = gain.get(w, 0) + min(n, c)
+        best = max(gain, key=lambda w: (len(w) > 4, gain[w] * (len(w) > 6) + gain[w], len(w), w))
+        words.append(best)
+        for i, pairs in enumerate(left):
+            with_it = {p for p in pairs if best in p}
+            need[i] -= len(with_it)
+            left[i] = pairs - with_it
+    return sorted(words), sorted({x for _, b in rows for x in b if set(x.split(" ")) & set(words)})
 
 
 def scan(docs: DataFrame, threshold: float = 0.8, templates=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, unit (line, paragraph, text), unit_no, license, dice, n_bigrams`` for each unit's best template of at least ``threshold``."""
     rows = template_bigrams(templates)
-    known: dict[str, int] = {}
-    for _, bigrams in rows:
-        for x in bigrams:
-            known[x] = known.get(x, 0) + 1
-    wanted = sorted({x for _, b in rows for x in probes(b, known, threshold)})
+    words, wanted = marks(rows, threshold)
     least = min(math.ceil(threshold * len(b) / (2 - threshold) - 1e-9) for _, b in rows)
     most = max(math.floor((2 - threshold) * len(b) / threshold + 1e-9) for _, b in rows)
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\r\n?", "\n")
@@ -125,9 +141,11 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates=None, id_col: str =
         F.filter(kind(paragraphs, "paragraph"), lambda u: u["own"].contains("\n")),
         F.when(text.rlike("\n[ \t]*\n"), kind(F.array(text), "text")).otherwise(empty))
     units = F.filter(units, lambda u: F.length(u["own"]) >= 2 * least + 1)
-    cut = docs.select(F.col(id_col).alias("id"), F.explode(units).alias("u")).select("id", "u.*")
-    words = F.filter(F.split(F.lower("own"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    pairs = F.transform(F.array(words), lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))),
+    # A text without any of these words has no unit with a wanted bigram.
+    likely = F.lower(F.coalesce(F.col(text_col), F.lit(""))).rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, words)) + r")(?![\p{L}\p{N}])")
+    cut = docs.where(likely).select(F.col(id_col).alias("id"), F.explode(units).alias("u")).select("id", "u.*")
+    own_words = F.filter(F.split(F.lower("own"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    pairs = F.transform(F.array(own_words), lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))),
                                                              lambda x, y: F.concat(x, F.lit(" "), y)))[0]
     found = cut.select("id", "unit", "unit_no", pairs.alias("b")).where((F.size("b") >= least) & F.exists("b", lambda x: x.isin(*wanted)))
     found = found.withColumn("b", F.array_distinct("b")).where(F.size("b").between(least, most))
