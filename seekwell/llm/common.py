@@ -39,6 +39,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+REST = "__rest"
+
+
+def pack(docs: DataFrame, *own: str) -> DataFrame:
+    """``own`` columns as they are, all others as one struct, so that no name of theirs can clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, *([F.struct(*rest).alias(REST)] if rest else []))
+
+
+def unpack(df: DataFrame, columns: list[str], *own: str) -> DataFrame:
+    """The columns of a packed table in their order."""
+    return df.select(*[F.col(c) if c in own else F.col(f"{REST}.`{c}`").alias(c) for c in columns])
+
+
 def crc_mod5(doc_id: str = "doc_id"):
     """crc32 of the id written as text, modulo 5; 0 for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5, F.lit(0))

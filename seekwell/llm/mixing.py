@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, read, stage
+from .common import WORD, pack, read, stage, unpack
 
 ROWS_PER_BUCKET = 2_000
 
@@ -93,7 +93,7 @@ def mix(docs: DataFrame, size: Column, weights=(3, 1, 2), share: float = 1.5, ma
     end = F.col("_end") + (F.col("copy") - 1) * F.col("source_size")
     served = F.floor(F.round(F.col("target") * cut, 6))
     taken = F.least(end, served) - F.least(end - F.col("size"), served)
-    copies = copies.withColumn("taken", taken.cast("long")).withColumn("virtual_finish", end / F.col("target"))
+    copies = copies.withColumn("taken", taken.cast("long")).withColumn("virtual_finish", F.try_divide(end, F.col("target")))
     cut_off = copies.where((F.col("taken") > 0) | (F.col("copy") == 1))
     return cut_off.select("_id", *keep, "source", "size", "source_size", "target", "copy", "virtual_finish", "taken").repartitionByRange(
         F.col("virtual_finish").asc_nulls_last(), "source", *keep).sortWithinPartitions(
@@ -109,13 +109,14 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows without words cost nothing and stay once.
     """
-    rows, size = _with_size(docs)
+    columns, own = docs.columns, ("doc_id", "text", "source")
+    rows, size = _with_size(pack(docs, *own))
     mixed = mix(rows.select("doc_id", "_row", "text", "source"), size, keep=("doc_id", "_row"), **options)
     times = mixed.where(F.when(F.col("size") == 0, F.col("copy") == 1).otherwise(2 * F.col("taken") >= F.col("size"))).groupBy("doc_id", "_row").agg(F.count("*").cast("int").alias("_n"))
     times = times.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_r"), "_n")
     one = rows.dropDuplicates(["doc_id", "_row"])
     return one.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r"))).withColumn(
-        "_k", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
+        "_k", F.explode(F.sequence(F.lit(1), "_n"))).transform(unpack, columns, *own)
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:

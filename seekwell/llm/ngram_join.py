@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import LOWER, buffers, mix, pair, pieces, span_hashes, words
-from .common import read, stage
+from .common import pack, read, stage, unpack
 from .graph import components
 
 N, THRESHOLD = 5, 0.8
@@ -286,11 +286,11 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without near copies: of each class the row with the smallest id; rows without words all stay."""
     groups = near_groups(docs, threshold)
-    names = docs.columns
+    names, docs = docs.columns, pack(docs, "doc_id", "text")
     stay = groups.where(F.col("sid").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
     blank = F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
     kept = docs.where(~blank).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*names).unionByName(docs.where(blank))
+    return unpack(kept.select(*docs.columns).unionByName(docs.where(blank)), names, "doc_id", "text")
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import buffers, mix, pair, pieces, span_hashes
-from .common import read, stage
+from .common import pack, read, stage, unpack
 
 LENGTH, SPAN, GRAM = 400, 128, 16
 CHUNK_BYTES, SEGMENT = 8 << 20, 1 << 20
@@ -350,7 +350,7 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     few = contexts.join(many, "prefix", "left_anti") if many.limit(1).count() else contexts
     found = few.withColumn("pack", F.pmod("prefix", F.lit(packs))).groupBy("pack").applyInPandas(_tree, FOUND)
     if few is not contexts:
-        each = contexts.join(many, "prefix", "left_semi").mapInArrow(_strings, "doc_id bigint, sha string, start int, h bigint")
+        each = contexts.join(many, "prefix", "left_semi").mapInArrow(_strings, "doc_id bigint, sha string, start int, h bigint").distinct()  # two anchors may give one string
         again = each.groupBy("h").count().where("count > 1").select("h")
         found = found.union(each.join(again, "h", "left_semi").select("doc_id", "sha", "start", (F.col("start") + LENGTH).alias("stop")))
     lists = found.groupBy("doc_id", "sha").agg(F.collect_list(F.struct("start", "stop")).alias("found")).withColumnRenamed("doc_id", "_id").withColumnRenamed("sha", "_sha")
@@ -372,6 +372,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     Rows that lose nothing stay as they are; a text that is repeated in whole becomes empty, and its row stays.
     """
     _, opened = find_repeats(docs)
+    columns, schema, docs = docs.columns, docs.schema, pack(docs, "doc_id", "text")
     names = docs.columns
     spans = opened.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), "places", "codes", "found").dropDuplicates(["_id", "_sha"])
     joined = docs.join(spans, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("_sha")), "left")
@@ -393,7 +394,8 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names)
 
     out = joined.select(*names, "places", "codes", "found").mapInArrow(cut, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = unpack(out, columns, "doc_id", "text")
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
