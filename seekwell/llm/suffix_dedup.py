@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import buffers, mix, pair, pieces, span_hashes
+from .bytescan import M1, M2, buffers, mix, pair, pieces, span_hashes
 from .common import pack, read, stage, unpack
 
 LENGTH, SPAN, GRAM = 400, 128, 16
@@ -52,27 +52,37 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(text: np.ndarray) -> np.ndarray:
-    """Anchor places of all strings of LENGTH bytes of a text."""
-    n, out = len(text) - LENGTH + 1, []
-    for at in range(0, n, SEGMENT):
-        starts = min(SEGMENT, n - at)
-        own = np.zeros(starts + SPAN + GRAM + 8, np.uint8)
-        part = text[at : at + starts + SPAN + GRAM - 2]
-        own[: len(part)] = part
-        eight = np.ndarray((len(own) - 7,), "<u8", own, strides=(1,))
-        m = starts + SPAN - 1
-        h = mix(eight[:m] ^ mix(eight[8 : m + 8] + np.uint64(77)))
-        key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(m, dtype=np.uint64)
-        out.append(np.unique(sliding_least(key, SPAN) & np.uint64(0xFFFFFFFF)).astype(np.int64) + at)
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
-
-
-def hashes(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix and context hash of each anchor."""
-    prefix = span_hashes(text, at, np.minimum(LENGTH - SPAN, len(text) - at))
-    left, right = np.minimum(at, SPAN - 1), np.minimum(LENGTH, len(text) - at)
-    context = pair(span_hashes(text, at - left, left + right), left.astype(np.uint64) * np.uint64(1024) + right.astype(np.uint64))
+def anchors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Anchor places (in ``data``, ascending) of all strings of LENGTH bytes of the texts that lie in it one after the other."""
+    starts = len(data) - LENGTH + 1
+    if starts <= 0:
+        return np.zeros(0, np.int64)
+    own = np.zeros(len(data) + GRAM + 8, np.uint8)
+    own[: len(data)] = data
+    eight = np.ndarray((len(own) - 7,), "<u8", own, strides=(1,))
+    m = starts + SPAN - 1
+    key = eight[:m] * M1
+    key ^= key >> np.uint64(29)
+    key += eight[8 : m + 8] * M2
+    key ^= key >> np.uint64(32)
+    key *= M1
+    key &= np.uint64(0xFFFFFFFF00000000)
+    key |= np.arange(m, dtype=np.uint64)
+    least = sliding_least(key, SPAN)
+    # Strings that would run over the end of their text do not count.
+    ends = np.zeros(starts + 1, np.int32)
+    for_text = offsets[1:] - LENGTH + 1  # first start that does not fit
+    np.add.at(ends, np.clip(for_text, np.minimum(offsets[:-1], starts), starts), 1)
+    np.add.at(ends, np.minimum(offsets[1:], starts), -1)
+    place = (least & np.uint64(0xFFFFFFFF))[np.cumsum(ends[:-1]) == 0].astype(np.int64)
+    return place[np.append(True, place[1:] != place[:-1])] if len(place) else place  # places never go back
+
+
+def hashes(data: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix and context hash of each anchor; its text lies from ``begin`` to ``end``."""
+    prefix = span_hashes(data, at, np.minimum(LENGTH - SPAN, end - at))
+    left, right = np.minimum(at - begin, SPAN - 1), np.minimum(LENGTH, end - at)
+    context = pair(span_hashes(data, at - left, left + right), left.astype(np.uint64) * np.uint64(1024) + right.astype(np.uint64))
     return prefix, context
 
 
@@ -105,17 +115,19 @@ def _chunks(batches):
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
         names = batch.column("doc_id").to_pylist()
-        for i in range(len(names)):
-            text = data[offsets[i] : offsets[i + 1]]
-            at = anchors(text)
-            p, c = hashes(text, at) if len(at) else (np.zeros(0, np.uint64),) * 2
-            ids.append(names[i])
-            sizes.append(len(text))
-            shas.append(hashlib.sha256(text.tobytes()).hexdigest())
-            places.append(at)
+        for i, j in pieces(offsets, SEGMENT):
+            part_of, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            at = anchors(part_of, cuts)
+            first = np.searchsorted(at, cuts)
+            row = np.repeat(np.arange(j - i), np.diff(first))
+            p, c = hashes(part_of, at, cuts[row], cuts[row + 1])
+            ids += names[i:j]
+            sizes += np.diff(cuts).tolist()
+            shas += [hashlib.sha256(part_of[a:b]).hexdigest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            places += np.split(at - cuts[row], first[1:-1])
             pre.append(p)
             con.append(c)
-            held += len(text) + 64
+            held += len(part_of) + 64 * (j - i)
             if held >= CHUNK_BYTES:
                 yield flush()
     if ids:
@@ -160,7 +172,7 @@ def _answers(group):
     return pd.DataFrame({"chunk": group["chunk"], "shard": group["shard"], "code": [x.tobytes() for x in np.split(back, np.cumsum(sizes)[:-1])]})
 
 
-HIT = "doc_id bigint, n_bytes bigint, sha string, places array<int>, codes binary, prefixes array<bigint>"
+HIT = "doc_id bigint, n_bytes bigint, sha string, places array<int>, codes binary, prefixes array<bigint>, models array<int>"
 
 
 def _hits(shards: int):
@@ -182,14 +194,15 @@ def _hits(shards: int):
         for d in range(len(per)):
             lo, hi = cuts[d], cuts[d + 1]
             keep = lo + np.flatnonzero(own[lo:hi] != ALONE)
-            codes = own[keep].copy()
+            codes, models = own[keep].copy(), []
             for k in np.flatnonzero(codes == MODEL):
                 w = which[keep[k]]
-                if model_taken[w]:
-                    codes[k] = REPEATED
+                if not model_taken[w]:
+                    models.append(int(places[keep[k]]))
                 model_taken[w] = True
-            out.append((places[keep].astype(np.int32), codes.tobytes(), prefix[which[keep]].view(np.int64)))
-        return pd.DataFrame({"doc_id": pd.array(list(row["doc_ids"]), "Int64"), "n_bytes": row["sizes"], "sha": row["shas"], "places": [o[0] for o in out], "codes": [o[1] for o in out], "prefixes": [o[2] for o in out]})
+            codes[codes == MODEL] = REPEATED
+            out.append((places[keep].astype(np.int32), codes.tobytes(), prefix[which[keep]].view(np.int64), models))
+        return pd.DataFrame({"doc_id": pd.array(list(row["doc_ids"]), "Int64"), "n_bytes": row["sizes"], "sha": row["shas"], "places": [o[0] for o in out], "codes": [o[1] for o in out], "prefixes": [o[2] for o in out], "models": [o[3] for o in out]})
 
     return run
 
@@ -199,16 +212,16 @@ CONTEXT = "prefix bigint, doc_id bigint, sha string, place int, model boolean, t
 
 def _contexts(batches):
     for batch in batches:
-        for row in batch.select(["doc_id", "sha", "text", "places", "codes", "prefixes"]).to_pylist():
-            codes = np.frombuffer(row["codes"], np.uint8)
-            asked = np.flatnonzero(codes >= UNKNOWN)
+        for row in batch.select(["doc_id", "sha", "text", "places", "codes", "prefixes", "models"]).to_pylist():
+            model = np.isin(row["places"], row["models"])
+            asked = np.flatnonzero((np.frombuffer(row["codes"], np.uint8) == UNKNOWN) | model)
             if not len(asked):
                 continue
             raw = (row["text"] or "").encode("utf-8")
             at = [row["places"][k] for k in asked]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row["prefixes"][k] for k in asked], pa.int64()), pa.array([row["doc_id"]] * len(at), pa.int64()), pa.array([row["sha"]] * len(at)), pa.array(at, pa.int32()),
-                 pa.array(codes[asked] == MODEL), pa.array([raw[max(0, a - SPAN + 1) : a][::-1] for a in at], pa.binary()), pa.array([raw[a : a + LENGTH] for a in at], pa.binary())],
+                 pa.array(model[asked]), pa.array([raw[max(0, a - SPAN + 1) : a][::-1] for a in at], pa.binary()), pa.array([raw[a : a + LENGTH] for a in at], pa.binary())],
                 [x.split()[0] for x in CONTEXT.split(", ")])
 
 
@@ -240,21 +253,44 @@ def intervals(lcp: np.ndarray, least: int):
             stack.append((now, left))
 
 
-def maximal_repeats(to_left: list[bytes], to_right: list[bytes], least: int = LENGTH):
-    """(right extension, left extension of each member, members) of the maximal repeats of suffixes at one anchor.
+def _shared(a: bytes, b: bytes) -> int:
+    """Length of the common prefix of two strings."""
+    lo, hi = 0, min(len(a), len(b))
+    if a[:hi] == b[:hi]:
+        return hi
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if a[:mid] == b[:mid] else (lo, mid)
+    return lo
+
+
+def maximal_repeats(to_left: list[bytes], to_right: list[bytes], least: int = LENGTH, group=None):
+    """(right extension, left extension of each member, members) of the maximal repeats of suffixes at anchors; those of other groups never meet.
 
     ``to_left`` is read outwards from the anchor.  An interval whose members all have the longest left extension that is looked at
     is no maximal repeat of its own: the interval around it adds nothing either, and is left out.
     """
+    n = len(to_right)
+    group = np.zeros(n, np.int64) if group is None else group
+    own = group.tolist()
+    order = np.array(sorted(range(n), key=lambda i: (own[i], to_right[i])))
     right, right_n = _matrix(to_right, LENGTH)
-    order = np.array(sorted(range(len(to_right)), key=to_right.__getitem__))
     lcp = _adjacent(right[order], right_n[order])
+    lcp[np.append(True, group[order][1:] != group[order][:-1])] = 0
     left, left_n = _matrix(to_left, SPAN - 1)
-    rank = np.empty(len(order), np.int64)
-    rank[sorted(range(len(to_left)), key=to_left.__getitem__)] = np.arange(len(order))
-    settled = np.zeros(len(order), np.int64)  # longest left extension found so far
+    rank = np.empty(n, np.int64)
+    rank[sorted(range(n), key=to_left.__getitem__)] = np.arange(n)
+    settled = np.full(n, -1, np.int64)  # longest left extension found so far
     for depth, lo, hi in intervals(lcp, max(1, least - SPAN + 1)):
         members = order[lo:hi]
+        if hi - lo == 2:
+            i, j = members.tolist()
+            near = _shared(to_left[i], to_left[j])
+            more = [k for k in (i, j) if near > settled[k]]
+            if more:
+                settled[more] = near
+                yield depth, np.full(len(more), near), np.array(more)
+            continue
         if (settled[members] >= SPAN - 1).all():
             continue
         members = members[np.argsort(rank[members], kind="stable")]
@@ -271,19 +307,17 @@ FOUND = "doc_id bigint, sha string, start int, stop int"
 
 def _tree(group):
     """Strings of one pack of prefixes that are repeated, as (start, stop) in their texts."""
-    out = []
-    for _, own in group.groupby("prefix", sort=False):
-        own = own.reset_index(drop=True)
-        wanted = ~own["model"].to_numpy()
-        if len(own) < 2 or not wanted.any():
-            continue
-        place = own["place"].to_numpy()
-        for depth, longest, members in maximal_repeats(own["to_left"].tolist(), own["to_right"].tolist()):
-            good = wanted[members] & (longest + depth >= LENGTH)
-            m, left = members[good], longest[good]
-            if len(m):
-                out.append(pd.DataFrame({"doc_id": own["doc_id"].to_numpy()[m], "sha": own["sha"].to_numpy()[m], "start": (place[m] - left).astype(np.int32), "stop": (place[m] + depth).astype(np.int32)}))
-    return pd.concat(out) if out else pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("doc_id", "int64"), ("sha", object), ("start", "int32"), ("stop", "int32"))})
+    wanted, place = ~group["model"].to_numpy(), group["place"].to_numpy()
+    who, start, stop = [], [], []
+    for depth, longest, members in maximal_repeats(group["to_left"].tolist(), group["to_right"].tolist(), group=group["prefix"].to_numpy()):
+        good = wanted[members] & (longest + depth >= LENGTH)
+        m = members[good]
+        who.append(m)
+        start.append(place[m] - longest[good])
+        stop.append(place[m] + depth)
+    who = np.concatenate([np.zeros(0, np.int64), *who])
+    return pd.DataFrame({"doc_id": group["doc_id"].to_numpy()[who], "sha": group["sha"].to_numpy()[who].astype(object), "start": np.concatenate([np.zeros(0), *start]).astype(np.int32),
+                         "stop": np.concatenate([np.zeros(0), *stop]).astype(np.int32)})
 
 
 def _strings(batches):
@@ -310,7 +344,7 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _spans(row, n: int) -> list[tuple[int, int]]:
     codes = np.frombuffer(row["codes"], np.uint8)
-    spans = [(max(0, a - SPAN + 1), min(n, a + LENGTH)) for a, c in zip(row["places"], codes, strict=True) if c in (REPEATED, MODEL)]
+    spans = [(max(0, a - SPAN + 1), min(n, a + LENGTH)) for a, c in zip(row["places"], codes, strict=True) if c == REPEATED]
     return _union([s for s in spans if s[1] - s[0] >= LENGTH] + [(x["start"], x["stop"]) for x in row["found"] or []])
 
 
@@ -341,7 +375,9 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     answers = asks.repartition(2 * shards, "shard").groupBy("shard").applyInPandas(_answers, "chunk bigint, shard int, code binary")
     hits = stage(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_hits(shards), HIT))
     settled = hits.where(F.size("places") == 0)
-    some = hits.where(F.size("places") > 0).dropDuplicates(["doc_id", "sha"]).withColumnRenamed("doc_id", "_id").withColumnRenamed("sha", "_sha")
+    # Repeated rows have the same anchors, but each may have been asked for other texts.
+    some = hits.where(F.size("places") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")).agg(
+        F.first("n_bytes").alias("n_bytes"), F.first("places").alias("places"), F.first("codes").alias("codes"), F.first("prefixes").alias("prefixes"), F.flatten(F.collect_list("models")).alias("models"))
     full = rows.withColumn("sha", F.sha2("text", 256)).join(some, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))).drop("_id", "_sha")
     full = stage(full)
     contexts = stage(full.dropDuplicates(["doc_id", "sha"]).mapInArrow(_contexts, CONTEXT))
