@@ -193,8 +193,8 @@ def _words(w) -> str:
 ROUTE = f"""with {KNOWN}, r as (select q.query_id, text, {tok('text')} t, coalesce(known,false) known from {SHORT} q left join known using(query_id)),
 f as (select *, len(t) n, len(list_filter(t, x -> list_contains({_words(routing.FUNCTION_WORDS)}, x))) > 0 fw,
 len(list_filter(t, x -> list_contains({_words(routing.CONSTRAINT_WORDS + routing.ERA_WORDS)}, x) or regexp_matches(x,'^[12]\\d{{3}}$'))) > 0 cw from r),
-routed as (select query_id, text, case when trim(text)='' then 'Native' when length(text)>2 and text[1]='"' and text[-1]='"' then 'Concierge' when n=0 then 'Native' when n<=6 and known then 'Native'
-when n<=2 and not fw and not cw then 'Both' when n>=4 then 'Concierge' when cw then 'Concierge' when fw then 'Concierge' when not known then 'Concierge' else 'Both' end route,
+routed as (select query_id, text, case when trim(text)='' then 'Native' when length(text)>2 and text[1]='"' and text[-1]='"' then 'Own' when n=0 then 'Native' when n<=6 and known then 'Native'
+when n<=2 and not fw and not cw then 'Both' when n>=4 then 'Own' when cw then 'Own' when fw then 'Own' when not known then 'Own' else 'Both' end route,
 case when trim(text)='' then false when length(text)>2 and text[1]='"' and text[-1]='"' then true when n=0 then false when n<=6 and known then false when n<=2 and not fw and not cw then false when n>=4 then cw or n>=5
 when cw then true when fw then cw or n>=5 when not known then cw or n>=5 else false end may_plan from f)"""
 
@@ -216,16 +216,16 @@ def dominance_upgrade(spark, d):
     return up.join(routing.has_dominant_winner(ranked), "query_id", "left").select("query_id", F.coalesce("dominant", F.lit(False)).alias("dominant"), routing.worth_upgrading(F.col("text")).alias("worth"), "route")
 
 
-COS = """with q as (select vec_id query_id, embedding from embeddings where vec_id % 25 = 0),
+COS = """with q as (select vec_id query_id, embedding from embeddings where vec_id % 20 = 0),
 vec as (select query_id, e.label item_id, round(max(list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[]))),9) score from q, embeddings e group by 1,2),
 near as (select *, row_number() over (partition by query_id order by score desc, item_id) rank from vec)"""
 
 
 @query(COS + " select query_id, cast(item_id as bigint) item_id, round(score,6) score, rank from near where rank <= 5")
 def knn_items(spark, d):
-    """Queries are a stated set (every 25th vector); an item is a label with many rows."""
+    """Queries are a stated set (every 20th vector); an item is a label with many rows."""
     e = _t(spark, d, "embeddings")
-    q = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
     found = vectors.knn_items(q, e.select(F.col("label").alias("item_id"), F.col("embedding").alias("vec")), 5)
     return found.select("query_id", F.col("item_id").cast("long").alias("item_id"), _dbl("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -233,7 +233,7 @@ def knn_items(spark, d):
 @query(COS + " select query_id, cast(item_id as bigint) item_id, round(score,6) score, rank from near where rank <= 5")
 def knn_blocks(spark, d):
     e = _t(spark, d, "embeddings")
-    q = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
     found = vectors.knn_blocks(q, e.select(F.col("label").alias("item_id"), F.col("embedding").alias("vec")), 5)
     return found.select("query_id", F.col("item_id").cast("long").alias("item_id"), _dbl("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -431,16 +431,19 @@ def turn_cues(spark, d: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("item_id"), F.col("turn").cast("int").alias("ord"), (n * 4000).alias("start_ms"), (n * 4000 + 3500).alias("end_ms"), F.regexp_replace("text", r"\s+", " ").alias("text"))
 
 
-@query(r"""with k as (select doc_id, doc_id % 6 k, substring(regexp_replace(coalesce(text,''),'\s+',' ','g'),1,60) t from documents)
-select doc_id, case k when 0 then t when 1 then t when 2 then '' when 3 then t when 4 then '' else t end clean from (select doc_id, k, trim(t) t from k)
-where t <> '' and not regexp_matches(t, '[\[\](){}<>:]') and not regexp_matches(t,'^[-–— ]') and regexp_matches(t,'[\p{L}\p{Nd}]') and not regexp_matches(lower(t),'www\.|http|@gmail|resync|yify|subscene')
-and not (k=3 and regexp_matches(t,'^[A-Z]')  and false)""")
+def _has(c: str, parts: list[str]) -> str:
+    return "(" + " or ".join(f"contains(lower({c}),'{p}')" for p in parts) + ")"
+
+
+@query(r"""with l as (select doc_id, unnest(string_split(coalesce(text,''),chr(10))) t from documents),
+r as (select doc_id, case doc_id % 6 when 0 then '<i>' || t || '</i> [door]' when 1 then 'ANNA: - ' || t when 2 then '♪ ' || substring(t,1,12) || ' music ♪' when 3 then '– ' || t || ' (sighs)' when 4 then t || ' www.example.com' else '{\an8}' || t end raw from l),
+b as (select doc_id, raw, regexp_replace(regexp_replace(regexp_replace(raw,'<[^>]*>',' ','g'),'\{[^}]*\}',' ','g'),'[\[(][^\])]*[\])]',' ','g') b from r), s as (select *, translate(b,'♪♫','  ') s from b),
+w as (select *, regexp_replace(regexp_replace(regexp_replace(s,'^\s*[-–—]?\s*[A-Z][A-Z0-9 .''#\-]{1,24}:\s*',''),'^[-–— ]+',''),'\s{2,}',' ','g') w from s), f as (select *, regexp_replace(w,'^\s+|\s+$','','g') said from w)
+select doc_id, case when trim(raw)='' or """ + _has("raw", dialogue.CREDITS) + r""" or ((contains(b,'♪') or contains(b,'♫')) and len(list_filter(string_split_regex(s,'\s+'), x -> x<>''))<=6 and """ + _has("s", dialogue.MUSIC) + r""") or not regexp_matches(said,'[\p{L}\p{Nd}]') then '' else said end clean from f""")
 def cue_clean(spark, d):
-    """Lines of documents with markup, notes, annotations, speakers and credits put around them."""
-    t = F.trim(F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), 1, 60))
-    rows = _t(spark, d, "documents").select("doc_id", (F.col("doc_id") % 6).alias("k"), t.alias("t"))
-    rows = rows.where((F.col("t") != "") & ~F.col("t").rlike(r"[\[\](){}<>:]") & ~F.col("t").rlike("^[-–— ]") & F.col("t").rlike(r"[\p{L}\p{Nd}]") & ~F.lower("t").rlike(r"www\.|http|@gmail|resync|yify|subscene"))
-    raw = (F.when(F.col("k") == 0, F.concat(F.lit("<i>"), "t", F.lit("</i> [door]"))).when(F.col("k") == 1, F.concat(F.lit("ANNA: - "), "t")).when(F.col("k") == 2, F.lit("♪ soft music ♪"))
+    """All lines of documents with markup, notes, annotations, speakers and credits put around them."""
+    rows = _t(spark, d, "documents").select("doc_id", (F.col("doc_id") % 6).alias("k"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("t"))
+    raw = (F.when(F.col("k") == 0, F.concat(F.lit("<i>"), "t", F.lit("</i> [door]"))).when(F.col("k") == 1, F.concat(F.lit("ANNA: - "), "t")).when(F.col("k") == 2, F.concat(F.lit("♪ "), F.substring("t", 1, 12), F.lit(" music ♪")))
            .when(F.col("k") == 3, F.concat(F.lit("– "), "t", F.lit(" (sighs)"))).when(F.col("k") == 4, F.concat("t", F.lit(" www.example.com"))).otherwise(F.concat(F.lit("{\\an8}"), "t")))
     return rows.select("doc_id", dialogue.clean_line(raw).alias("clean"))
 
