@@ -28,7 +28,7 @@ from .common import crc_mod5, read
 
 WINDOW, STRIDE = 24, 16
 WORDS, GRAMS, DIM, HIDDEN = 8192, 16384, 8, 8
-FIT_ROWS = 4_000
+FIT_ROWS = 3_200
 PIECE = 1 << 20
 
 
