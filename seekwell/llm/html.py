@@ -1,24 +1,26 @@
 """Main text of web pages: structure first, then differencing against the page with the nearest URL.
 
-Pages are range-partitioned and sorted by host, URL path and id.  Each page is cut into lines (blocks of its markup), each with
+Pages stand in the order of host, URL path and id, in ranges.  Each page is cut into lines (blocks of its markup), each with
 what its markup says: dropped (scripts, menus, headers, footers, sidebars, notices, adverts, forms, reader comments),
-article, or undecided.  Next to it in that order stands the page with the nearest URL on the same host (of its two
-neighbours the one whose path shares more with its own; at the edge of a partition, the one that is there).  The lines
-of both are aligned by longest common subsequence and shared lines are deleted.  Two things are kept in spite of being
+article, or undecided.  Next to it in that order stands the page with the nearest URL on the same host: of its two
+neighbours with any lines the one whose path shares more with its own.  The first and last page of each range are taken
+along to the ranges beside it, so every page meets its nearest URL.  The lines of both are aligned by longest common
+subsequence and shared lines are deleted, on pages that mark an article too.  Two things are kept in spite of being
 shared: lines that the markup places in an article, since copies of articles and common passages are text; and all
-lines of a page whose neighbour shares more than half of them, since such a neighbour is a copy and tells nothing
-about the template.  Where a page marks no article, what is left of its undecided lines is the text.
+lines of a page whose neighbours are copies, since these tell nothing about the template.  A copy shares more than half of the
+page's article lines or, where it marks none, has equal lines; the other neighbour is asked then.
 
-A task holds two pages at a time; a host with a third of all pages is spread over many ranges.
+A task holds three pages at a time; a host with a third of all pages is spread over many ranges.
 
 Defined cases: null html counts as empty and gives an empty text; a null or malformed URL has an empty host and path; pages
-of one host with equal paths stand in the order of ids; repeated rows each give a row; an empty table gives an empty result.
+of one host with equal paths stand in the order of ids; a page without lines is nobody's neighbour; repeated rows each give a row;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from html import unescape
 
@@ -172,16 +174,25 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(lines: list[tuple[str, int]], marked: bool, other: list[str] | None) -> str:
-    """Text of a page, given the lines of the page with the nearest URL."""
-    shared = common_lines([t for t, _ in lines], other) if other else set()
-    if 2 * len(shared) > len(lines):
-        shared = set()
-    if marked:
-        kept = [t for t, k in lines if k == ARTICLE]
-    else:
-        kept = [t for i, (t, k) in enumerate(lines) if k == UNDECIDED and i not in shared]
-    return "\n\n".join(kept)
+def is_copy(lines: list[tuple[str, int]], shared: set[int], other: list[str]) -> bool:
+    """Whether a neighbour is a copy: by the article lines that it shares or, without any, by equal lines."""
+    article = [i for i, (_, k) in enumerate(lines) if k == ARTICLE]
+    if article:
+        return 2 * sum(i in shared for i in article) > len(article)
+    return [t for t, _ in lines] == other
+
+
+def main_text(lines: list[tuple[str, int]], marked: bool, *others: list[str] | None) -> str:
+    """Text of a page, given the lines of its neighbours, that with the nearest URL first."""
+    own = [t for t, _ in lines]
+    shared: set[int] = set()
+    if any(k == UNDECIDED for _, k in lines):  # no other line depends on the neighbours
+        for other in others:
+            found = common_lines(own, other) if other else set()
+            if other and not is_copy(lines, found, other):
+                shared = found
+                break
+    return "\n\n".join(t for i, (t, k) in enumerate(lines) if k == ARTICLE or (k == UNDECIDED and i not in shared))
 
 
 def _near(a: str, b: str) -> int:
@@ -193,14 +204,64 @@ def _near(a: str, b: str) -> int:
     return n
 
 
+ORDER = ["_host", "_path", "page_id", "url", "_hash"]
+
+
+def _rank(key: tuple) -> tuple:
+    """A key of ``ORDER`` as Python compares it, nulls first."""
+    return tuple((x is not None, x) if x is not None else (False,) for x in key)
+
+
+def _keys(batch):
+    return zip(*(batch.column(c).to_pylist() for c in ORDER), strict=True)
+
+
+def _ends(bounds):
+    """The first and last page with lines of each range, of the pages of a task."""
+    def run(batches):
+        ends: dict[int, list] = {}
+        for b in batches:
+            html = b.column("html")
+            for i, key in enumerate(_keys(b)):
+                rank = _rank(key)
+                at = bisect_right(bounds, rank)
+                low_high = ends.get(at)
+                if low_high and low_high[0][0] <= rank <= low_high[1][0] or not lines_of(html[i].as_py() or "")[0]:
+                    continue
+                ends[at] = [min(low_high[0], (rank, key)), max(low_high[1], (rank, key))] if low_high else [(rank, key), (rank, key)]
+        rows = [(at, *key) for at, pair in ends.items() for _, key in pair]
+        if rows:
+            types = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["_range", *ORDER])
+
+    return run
+
+
+def _deal(bounds, guests):
+    """Pages with their range; the ends of ranges also as guests of those beside them (``_side`` -1: before all, 1: after all)."""
+    def run(batches):
+        for b in batches:
+            take, where, side = [], [], []
+            for i, key in enumerate(_keys(b)):
+                for at, s in ((bisect_right(bounds, _rank(key)), 0), *guests.get(key, ())):
+                    take.append(i)
+                    where.append(at)
+                    side.append(s)
+            for at in range(0, len(take), 256):
+                part = b.take(pa.array(take[at : at + 256]))
+                yield pa.RecordBatch.from_arrays([pa.array(where[at : at + 256], pa.int32()), pa.array(side[at : at + 256], pa.int32()), *part.columns], ["_range", "_side", *part.schema.names])
+
+    return run
+
+
 def _extract(batches):
-    """Pages in the order of host and path; a page is given out when its successor is known."""
-    before = page = None  # (id, url, host, path, lines, marked)
+    """Pages in the order of range, host and path; a page is given out when its successor with lines is known."""
+    before = page = None  # (id, url, host, path, lines, marked, range, side)
 
     def done(after):
-        sides = [x for x in (before, after) if x and x[4] and x[2] == page[2]]
-        best = max(sides, key=lambda x: _near(x[3], page[3]), default=None)
-        text = main_text(page[4], page[5], [t for t, _ in best[4]] if best else None)
+        sides = [x for x in (before, after) if x and x[6] == page[6] and x[2] == page[2]]
+        sides.sort(key=lambda x: -_near(x[3], page[3]))
+        text = main_text(page[4], page[5], *([t for t, _ in x[4]] for x in sides))
         return page[0], page[1], text, len(text)
 
     def batch(rows):
@@ -209,32 +270,47 @@ def _extract(batches):
 
     rows, size = [], 0
     for b in batches:
-        cols = [b.column(c) for c in ("page_id", "url", "_host", "_path", "html")]
+        cols = [b.column(c) for c in ("page_id", "url", "_host", "_path", "html", "_range", "_side")]
         for i in range(len(b)):
-            pid, url, host, path, html = (c[i].as_py() for c in cols)
-            new = (pid, url, host, path, *lines_of(html or ""))
-            if page:
+            pid, url, host, path, html, at, side = (c[i].as_py() for c in cols)
+            new = (pid, url, host, path, *lines_of(html or ""), at, side)
+            if not new[4]:  # a page without lines tells nothing about a template
+                rows.append((pid, url, "", 0))
+                continue
+            if page and page[7] == 0:
                 rows.append(done(new))
                 size += rows[-1][3]
-                if size > 1 << 22:
-                    yield batch(rows)
-                    rows, size = [], 0
-            before, page = (page if page and page[4] else before), new  # a page without lines tells nothing about a template
-    if page:
+            before, page = page, new
+            if size > 1 << 22 or len(rows) > 10_000:
+                yield batch(rows)
+                rows, size = [], 0
+    if page and page[7] == 0:
         rows.append(done(None))
     if rows:
         yield batch(rows)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars`` of each row of ``page_id, url, html``."""
+def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
+    """``page_id, url, text, n_chars`` of each row of ``page_id, url, html``, worked on in about so many ranges of pages."""
+    spark = pages.sparkSession
     url = F.coalesce("url", F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), "url", "html",
         F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("_host"),
-        F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("_path"))
-    order = ["_host", "_path", "page_id", "url"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order, "html").mapInArrow(
+        F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("_path"), F.xxhash64("html").alias("_hash"))
+    n = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Bounds of ranges from a few keys for each (they set the sizes of tasks, never a result).
+    some = sorted(_rank(tuple(r)) for r in rows.select(*ORDER).orderBy(F.xxhash64("_hash", "page_id"), *ORDER).limit(16 * n).collect())
+    bounds = sorted({some[len(some) * i // n] for i in range(1, n)}) if some else []
+    key = F.struct(*ORDER)
+    ends = rows.mapInArrow(_ends(bounds), "_range int, _host string, _path string, page_id bigint, url string, _hash bigint")
+    ends = ends.groupBy("_range").agg(F.min(key).alias("low"), F.max(key).alias("high")).orderBy("_range").collect()  # a row for each range
+    guests: dict[tuple, list] = defaultdict(list)
+    for a, b in zip(ends, ends[1:], strict=False):
+        guests[tuple(a["high"])].append((b["_range"], -1))
+        guests[tuple(b["low"])].append((a["_range"], 1))
+    dealt = rows.mapInArrow(_deal(bounds, dict(guests)), "_range int, _side int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields))
+    return dealt.repartitionByRange("_range").sortWithinPartitions("_range", "_side", *ORDER).mapInArrow(
         _extract, "page_id bigint, url string, text string, n_chars bigint")
 
 

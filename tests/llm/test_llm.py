@@ -408,6 +408,24 @@ def test_op8_articles(spark, sf):
         assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def test_op8_beside_articles_and_templates(spark):
+    page = lambda *parts: "<body>" + "".join(parts) + "</body>"
+    div, art = (lambda *x: "".join(f"<div>{t}</div>" for t in x)), (lambda *x: "<article>" + "".join(f"<p>{t}</p>" for t in x) + "</article>")
+    menu = [f"Menu {i}" for i in range(9)]
+    rows = [(1, "http://a.x/1", page(div("Top", "Lead one"), art("Text one"), div("Bottom"))), (2, "http://a.x/2", page(div("Top", "Lead two"), art("Text two"), div("Bottom"))),
+            (3, "http://b.x/1", page(div(*menu, "Own one"))), (4, "http://b.x/2", page(div(*menu, "Own two"))),
+            (5, "http://c.x/1", page(div("Top", "Lead"), art("Same"), div("Bottom"))), (6, "http://c.x/2", page(div("Top", "Lead"), art("Same"), div("Bottom")))]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Lead one\n\nText one", 2: "Lead two\n\nText two", 3: "Own one", 4: "Own two", 5: "Top\n\nLead\n\nSame\n\nBottom", 6: "Top\n\nLead\n\nSame\n\nBottom"}
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_op8_edges_of_ranges(spark, ranges):
+    rows = [(i, f"http://a.x/{i:02d}", f"<div>Top</div><div>Own {i}</div><div>Bottom</div>" if i % 5 else None) for i in range(40)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), ranges).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == [(i, f"Own {i}" if i % 5 else "") for i in range(40)]
+
+
 def test_common_lines():
     r = random.Random(7)
     for _ in range(200):
