@@ -187,6 +187,22 @@ def test_op3_templates_and_odd(spark):
     assert licenses.scan(changed).where("doc_id is not null or true").first()["license"] == "ISC"
 
 
+def test_op3_windows(spark):
+    mit, apache = licenses.TEMPLATES["MIT"][-1], licenses.TEMPLATES["Apache-2.0"][-1]
+    three = mit.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    other = " ".join(f"word{i}" for i in range(150))
+    assert three.count("\n\n") == 2
+    texts = [f"{other}\n\n{three}\n\n{other}", "Unless otherwise noted this page is Released under the MIT License. Contact us by mail.",
+             f"{other}\n\n" + apache.replace("LICENSE-2.0 Unless", "LICENSE-2.0\n\nUnless") + f"\n\n{other}", f"{other}\nReleased under the\nMIT License.\n{other}",
+             f"{other} Released under the MIT License. {other} Licensed under CC BY 4.0. {other} Released under the MIT License.", "Released under the MIT License.", other]
+    got = collections.defaultdict(list)
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("id", "unit_no").collect():
+        got[r["id"]].append((r["unit"], r["unit_no"], r["license"]))
+        assert r["dice"] > 0.95
+    assert got == {0: [("window", 150, "MIT")], 1: [("window", 6, "MIT")], 2: [("window", 150, "Apache-2.0")], 3: [("window", 150, "MIT")],
+                   4: [("window", 150, "MIT"), ("window", 305, "CC-BY-4.0"), ("window", 461, "MIT")], 5: [("line", 0, "MIT")]}
+
+
 # ------------------------------------------------------------------ 4
 
 def test_op4_learns(spark):
