@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytescan import LOWER, buffers, mix, pair, pieces, span_hashes, words
 from .common import pack, read, stage, unpack
@@ -251,7 +252,8 @@ def _cell(threshold: float):
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, class_id, n_links`` for each row of ``docs`` (``doc_id, text``), and ``sid``, its set (null without grams)."""
+    """``doc_id, class_id, n_links`` for each row of ``docs`` (``doc_id, text``), ``sid``, its set (null without grams), and ``first``:
+    whether the row has the smallest (id, set) of its class, null ids last."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     described = stage(rows.mapInArrow(_describe, "doc_id bigint, sid bigint, bands array<bigint>"))
     sets = stage(described.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
@@ -277,19 +279,33 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = components(found.where("sid <> other").select(F.col("sid").alias("a"), F.col("other").alias("b")))
     nodes = sets.select("sid", "doc_id", "copies").join(counts, "sid", "left").join(classes.select(F.col("id").alias("sid"), "comp"), "sid", "left")
     nodes = stage(nodes.select("sid", "doc_id", F.coalesce("comp", "sid").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    named = nodes.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
-    by_set = nodes.join(named, "comp").select("sid", "class_id", "n_links")
+    named = nodes.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sid")).alias("least"))
+    by_set = nodes.join(named, "comp").select("sid", "class_id", "n_links", "least")
+    first = (F.col("sid") == F.col("least.sid")) & F.col("doc_id").eqNullSafe(F.col("least.doc_id"))
     return described.select("doc_id", "sid").join(by_set, "sid", "left").select(
-        "doc_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "sid")
+        "doc_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "sid",
+        F.coalesce(first, F.lit(False)).alias("first"))
+
+
+def _with_sid(batches):
+    """Rows as they are, and their set."""
+    for batch in batches:
+        for i, j, h, at, full in _sets(batch.column("text")):
+            sid = [None] * (j - i)
+            for row in full:
+                sid[row] = set_id(np.unique(h[at[row] : at[row + 1]]))
+            part = batch.slice(i, j - i)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sid, pa.int64())], [*part.schema.names, "_sid"])
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each class the row with the smallest id; rows without words all stay."""
+    """The rows of ``docs`` without near copies: of each class one row with the smallest id and set, null ids last; rows without words all stay."""
     groups = near_groups(docs, threshold)
     names, docs = docs.columns, pack(docs, "doc_id", "text")
-    stay = groups.where(F.col("sid").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    stay = groups.where("first").select(F.col("doc_id").alias("_id"), F.col("sid").alias("_stay")).distinct()
     blank = F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
-    kept = docs.where(~blank).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    known = docs.where(~blank).mapInArrow(_with_sid, T.StructType([*docs.schema.fields, T.StructField("_sid", T.LongType())]))
+    kept = known.join(stay, (F.col("_sid") == F.col("_stay")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "_sid"])
     return unpack(kept.select(*docs.columns).unionByName(docs.where(blank)), names, "doc_id", "text")
 
 

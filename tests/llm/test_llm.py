@@ -109,6 +109,15 @@ def test_op1_odd(spark):
     assert ngram_join.least_matches(0.8)[0][0] == 16 and all(m <= n for n, m in ngram_join.least_matches(0.8))
 
 
+def test_op1_keeps_one_of_each_class(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near_copy = text(1) + " tail"
+    rows = [(1, text(1)), (None, near_copy), (None, text(2)), (None, text(2)), (None, text(3)), (2, text(4)), (2, text(5)), (3, near_copy), (3, text(6)), (4, text(4) + " end"), (None, ""), (5, None)]
+    got = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    want = [(1, text(1)), (None, text(2)), (None, text(3)), (2, text(4)), (2, text(5)), (3, text(6)), (None, ""), (5, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # ------------------------------------------------------------------ 2
 
 def spots(text, chain=3):
