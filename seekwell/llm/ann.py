@@ -3,8 +3,9 @@
 Index.  Coarse centroids and the codebooks of the residuals are fitted on a documented sample (``FIT_ROWS`` rows with
 the smallest hash of their id; the only bound in the operator); every row is then encoded and filed under its nearest
 centroid.  Search.  A query looks at its ``probes`` nearest lists.  In a cell it scores all codes by table look-ups
-and reranks the best of them by exact cosine on the original vectors, in double precision; the best of all cells are
-merged per query.  A long list is dealt over several cells by a hash of the row's id, so that a list with a third of
+and reranks the best of them by exact cosine on the original vectors, in double precision, and after these every other row
+that its code does not exclude (a row is no nearer than its code less its quantisation error), so a cell's answer is exact;
+the best of all cells are merged per query.  A long list is dealt over several cells by a hash of the row's id, so that a list with a third of
 all rows (copies of one vector, say) is no single task.  Within a cell, equal codes stand in the order of ids, so copies
 of one vector yield their smallest ids.
 
@@ -24,6 +25,7 @@ from .common import read, stage
 
 FIT_ROWS = 20_000
 CELL_ROWS = 4_000
+SLACK = 1e-6  # above the rounding of distances
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -80,6 +82,13 @@ class Index:
         codes = [np.argmin(distances(residual[:, p * w : (p + 1) * w], b), axis=1) for p, b in enumerate(self.books)]
         return near, np.stack(codes, axis=1).astype(np.uint8)
 
+    def errors(self, unit: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
+        """Distances of rows of one list from what their codes say."""
+        left, w = unit - self.coarse[cell], self.dims // self.parts
+        for p, b in enumerate(self.books):
+            left[:, p * w : (p + 1) * w] -= b[codes[:, p]]
+        return np.sqrt((left * left).sum(1))
+
     def tables(self, unit: np.ndarray, cell: int) -> np.ndarray:
         """Asymmetric distances of queries to each code of each part, within one list."""
         residual, w = unit - self.coarse[cell], self.dims // self.parts
@@ -152,18 +161,26 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
         ids, codes = own["id"].to_numpy(), np.stack([np.frombuffer(c, np.uint8) for c in own["codes"]])
         vec = np.stack([np.frombuffer(v) for v in own["vec"]])
         norm = np.sqrt((vec * vec).sum(1))
+        error = ix.errors(vec / norm[:, None], key[0], codes)
         found = []
         for at in range(0, len(queries), 256):
             q_ids = queries["query_id"].to_numpy()[at : at + 256]
             q = np.stack([np.frombuffer(v) for v in queries["qvec"].iloc[at : at + 256]])
             q_norm = np.sqrt((q * q).sum(1))
-            tables = ix.tables(q / q_norm[:, None], key[0])
+            unit = q / q_norm[:, None]
+            tables, base = ix.tables(unit, key[0]), ((unit - ix.coarse[key[0]]) ** 2).sum(1)
             for i in range(len(q)):
                 near = tables[i][np.arange(ix.parts)[None, :], codes].sum(1)
                 near[ids == q_ids[i]] = np.inf
-                best = np.argsort(near, kind="stable")[: max(rerank, k)]  # ties in the order of ids
-                best = best[np.isfinite(near[best])]
+                order = np.argsort(near, kind="stable")  # ties in the order of ids
+                order = order[np.isfinite(near[order])]
+                best, rest = order[: max(rerank, k)], order[max(rerank, k) :]
                 score = (vec[best] * q[i]).sum(1) / (norm[best] * q_norm[i])
+                if len(rest):
+                    reach = np.sqrt(max(0.0, 2 - 2 * np.partition(score, len(score) - k)[len(score) - k]))  # distance of the k-th so far
+                    rest = rest[np.sqrt(np.maximum(near[rest] + base[i], 0)) - error[rest] <= reach + SLACK]
+                    score = np.append(score, (vec[rest] * q[i]).sum(1) / (norm[rest] * q_norm[i]))
+                    best = np.append(best, rest)
                 top = np.lexsort((ids[best], -score))[:k]
                 found.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[best][top], "score": score[top]}))
         return pd.concat(found)

@@ -362,6 +362,19 @@ def test_op6_copies_over_cells(spark, monkeypatch):
     assert [r["vec_id"] for r in got] == [100, 101, 102, 103, 104]
 
 
+def test_op6_cells_of_near_copies(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.standard_normal(61) + 1e-3 * rng.standard_normal((3500, 61))).astype(np.float32).astype(float)
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), lambda i: i % 100 == 0, lists=1, probes=1).toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for i in range(0, 3500, 100):
+        far = ((unit - unit[i]) ** 2).sum(1)
+        far[i] = 9
+        hit += len(set(got[got["query_id"] == i]["vec_id"]) & set(np.argsort(far)[:5]))
+    assert hit == 5 * 35  # 61 numbers make one part of 256 codes
+
+
 # ------------------------------------------------------------------ 7
 
 def test_op7(spark, sf, rows):
