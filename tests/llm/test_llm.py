@@ -477,7 +477,7 @@ def test_common_lines():
 
 # ------------------------------------------------------------------ 9
 
-def removed_by_hand(texts, n=400):
+def runs_by_hand(texts, n):
     count = collections.Counter(t[s : s + n] for t in texts for s in range(len(t) - n + 1))
     out = []
     for t in texts:
@@ -485,14 +485,43 @@ def removed_by_hand(texts, n=400):
         for s in range(len(t) - n + 1):
             if count[t[s : s + n]] > 1:
                 gone[s : s + n] = True
-        kept = np.frombuffer(t, np.uint8)[~gone[:-1]].tobytes()
-        out.append((len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) > 0).sum()), hashlib.sha256(kept).hexdigest()))
+        edge = np.flatnonzero(np.diff(gone.astype(int), prepend=0))
+        out.append(list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)))
+    return out
+
+
+def removed_by_hand(texts, n=400):
+    out = []
+    for t, runs in zip(texts, runs_by_hand(texts, n), strict=True):
+        kept = bytearray(t)
+        for a, b in reversed(runs):
+            del kept[a:b]
+        out.append((len(t), len(t) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
     return out
 
 
 def test_op9(spark, sf, rows):
+    texts = [t.encode() for _, t, _ in rows]
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.op9_suffix_dedup(spark, sf).collect()}
-    assert [got[i] for i, _, _ in rows] == removed_by_hand([t.encode() for _, t, _ in rows])
+    assert [got[i][:4] for i, _, _ in rows] == removed_by_hand(texts)
+    assert [got[i][4] for i, _, _ in rows] == [sum(b - a for a, b in runs if b - a >= 400 or len(t[a:b].split()) >= 50) for t, runs in zip(texts, runs_by_hand(texts, 240), strict=True)]
+
+
+def test_op9_tree_decides_some(documents):
+    """All three ways take part on the given tables, the suffix array among them."""
+    ways = {r["way"]: r["anchors"] for r in suffix_dedup.settled_by(documents).collect()}
+    assert ways["suffix array"] > 0 and ways["equal surroundings"] > 0 and ways["all"] > ways["suffix array"] + ways["equal surroundings"]
+
+
+def test_op9_short_passages(spark):
+    """A passage of over 50 short words goes from all places, a shorter one stays."""
+    r = random.Random(4)
+    say = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 6))) for _ in range(n))
+    passage, line = say(54), say(30)
+    assert len(passage) < 400
+    texts = [say(40) + " " + passage + " " + say(40), say(3) + " " + passage, line + " " + say(60), say(60) + " " + line]
+    cut = {x["doc_id"]: x["text"] for x in suffix_dedup.drop_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(passage[20:-20] not in cut[i] and len(cut[i]) >= len(texts[i]) - len(passage) - 12 for i in (0, 1)) and cut[2] == texts[2] and cut[3] == texts[3]
 
 
 @pytest.mark.parametrize("many", [10**9, 1])
@@ -505,7 +534,7 @@ def test_op9_passages(spark, monkeypatch, many):
     texts = [noise(r.randint(0, 300)) + shared[a : a + n] + noise(r.randint(0, 300)) for a, n in [(0, 399), (0, 400), (0, 401), (100, 450), (300, 900), (600, 520), (1000, 500), (1099, 401), (500, 399)]]
     texts += ["x" * 900, "x" * 400, "é" * 500, noise(50) + shared[200:700] + noise(9) + shared[200:640], "", "short", texts[3], texts[3]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("found", F.lit("x"))
-    got = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.removal_report(df).collect()}
+    got = {x["doc_id"]: tuple(x)[1:5] for x in suffix_dedup.removal_report(df).collect()}
     assert [got[i] for i in range(len(texts))] == removed_by_hand([t.encode() for t in texts])
 
 
@@ -532,7 +561,7 @@ def test_maximal_repeats_brute_force():
                     for rr in range(1, common(right[i], right[j]) + 1):
                         want[i].add((rr, common(left[i], left[j])))
         found = [set() for _ in left]
-        for depth, longest, members in suffix_dedup.maximal_repeats(left, right, suffix_dedup.SPAN):
+        for depth, longest, members in suffix_dedup.maximal_repeats(left, right, suffix_dedup.Rule(112, 112, 400)):
             for m, e in zip(members, longest):
                 found[m].add((depth, int(e)))
         for i in range(12):  # each pair lies under one that was found, and each found one is real
