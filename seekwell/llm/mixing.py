@@ -1,14 +1,13 @@
 """Mixing sources to target weights by weighted fair queueing (DataFrame functions only).
 
-Every source is a queue whose documents stand in a seeded shuffle.  A document's virtual finish time is the
-number of words its source has sent up to and including it, divided by the source's target; a document may be
-sent ``max_repeats`` times, the second time after the whole first pass.  The streams are merged by a global range
-sort on that time and truncated where the total budget is used up.  Because a queue with target T has sent T * t
-words at time t, the cut falls at t = budget / sum of targets, so no global running total is needed, and a document
-in service at the cut is taken up to the share it has been served by then.
+Every source is a queue whose documents stand in a seeded shuffle (by MD5).  A document may be sent ``max_repeats`` times, the second
+time after the whole first pass, and is sent in up to ``PARTS`` parts, so that a long one does not starve its source at the end.
+A part's virtual finish time is the number of words that its source has sent up to and including it, divided by the source's
+target.  The parts of all sources are range-sorted on that time, and the stream is truncated where its running total reaches the
+budget; the part at the cut is taken up to it.  So a source ends within one part of its target.
 
-Running totals inside one source are taken in two steps (per bucket of the shuffle hash, then inside a bucket), so
-that a source with a third of all rows is spread over many tasks.
+Running totals, in a source and over the sorted stream, are taken in two steps: over buckets of the shuffle or ranges of time, then
+inside each, about the root of all rows in either; no source or stream passes through one task.
 
 Defined cases: null or blank text has size 0 and is taken 0 times; a null source is a source of its own and comes
 last; repeated rows each count; documents of size 0 come out with taken 0; an empty table gives an empty result; extra
@@ -17,6 +16,7 @@ columns do not matter.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import WORD, pack, read, stage, unpack
 
 ROWS_PER_BUCKET = 2_000
+PARTS, PART_WORDS = 32, 32
 
 
 def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_repeats: float = 2.0) -> DataFrame:
@@ -62,46 +63,56 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_
     return weighted.select("source", "source_size", "weight", target.alias("target"))
 
 
+def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names])
+
+
 def mix(docs: DataFrame, size: Column, weights=(3, 1, 2), share: float = 1.5, max_repeats: int = 2, seed: int = 17,
         keep: tuple[str, ...] = ("doc_id",), budget: float | None = None) -> DataFrame:
-    """The mixed stream, in order: ``_id`` (of the row), ``keep``, ``source, size, source_size, target, copy, virtual_finish, taken``.
+    """What the mix takes: ``_id`` (of the row), ``keep``, ``source, size, source_size, target, copy, virtual_finish, taken``.
 
     Documents of which nothing is taken are left in with ``taken`` 0 in their first copy.  ``budget`` is the number of
-    words in all (default: the sum of targets).
+    words in all (default: ``share`` of all sizes).
     """
-    sizes = stage(docs.select(*keep, "source", size.cast("long").alias("size"), F.xxhash64(F.lit(seed), *keep).alias("_h"),
-                             F.monotonically_increasing_id().alias("_id")))  # staged, so the ids stay
+    shuffle = F.md5(F.concat_ws("/", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keep], F.coalesce("source", F.lit(""))))
+    sizes = stage(docs.select(*keep, "source", size.cast("long").alias("size"), shuffle.alias("_h"), F.monotonically_increasing_id().alias("_id")))  # staged, so the ids stay
     targets = stage(source_targets(sizes, weights, share, max_repeats))
-    buckets = max(1, sizes.count() // ROWS_PER_BUCKET)
-    placed = sizes.withColumn("_b", F.floor((F.shiftrightunsigned("_h", 40) * buckets) / (1 << 24)))
+    all_of = sizes.agg(F.count("*").alias("n"), F.sum("size").alias("words")).first()
+    # 1. Place of each document in its queue.
+    buckets = max(1, all_of["n"] // max(ROWS_PER_BUCKET, math.isqrt(all_of["n"])))
+    placed = sizes.withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)))
     before = placed.groupBy("source", "_b").agg(F.sum("size").alias("_s"))
     before = before.withColumn("_before", F.sum("_s").over(Window.partitionBy("source").orderBy("_b")) - F.col("_s")).drop("_s")
-    # Within a bucket _h >>> 40 may tie; the whole hash, the kept columns and the size decide.
-    order = Window.partitionBy("source", "_b").orderBy(F.shiftrightunsigned("_h", 40), "_h", *keep, "size", "_id").rowsBetween(
-        Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source", "_b").orderBy("_h", "size", "_id").rowsBetween(Window.unboundedPreceding, 0)
     running = placed.withColumn("_sum", F.sum("size").over(order))
-    null_safe = lambda a, b, names: reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names])
-    p, q = running.alias("p"), before.alias("q")
-    joined = p.join(q, null_safe(running, before, ["source", "_b"])).select("p.*", (F.col("_sum") + F.col("_before")).alias("_end"))
+    queued = running.alias("p").join(before.alias("q"), _same(running, before, ["source", "_b"])).select("p.*", (F.col("_sum") + F.col("_before")).alias("_end"))
     t = targets.select(F.col("source").alias("_src"), "source_size", "target")
-    joined = joined.join(F.broadcast(t) if targets.count() <= 10_000 else t, F.col("source").eqNullSafe(F.col("_src")))
-    if budget is None:
-        cut = F.lit(1.0)
-    else:
-        cut = F.lit(budget / max(1e-300, targets.agg(F.sum("target")).first()[0] or 0.0))
-    copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(max_repeats))))
-    end = F.col("_end") + (F.col("copy") - 1) * F.col("source_size")
-    served = F.floor(F.round(F.col("target") * cut, 6))
-    taken = F.least(end, served) - F.least(end - F.col("size"), served)
-    copies = copies.withColumn("taken", taken.cast("long")).withColumn("virtual_finish", F.try_divide(end, F.col("target")))
-    cut_off = copies.where((F.col("taken") > 0) | (F.col("copy") == 1))
-    return cut_off.select("_id", *keep, "source", "size", "source_size", "target", "copy", "virtual_finish", "taken").repartitionByRange(
-        F.col("virtual_finish").asc_nulls_last(), "source", *keep).sortWithinPartitions(
-        F.col("virtual_finish").asc_nulls_last(), "source", *keep)
+    queued = queued.join(F.broadcast(t) if targets.count() <= 10_000 else t, F.col("source").eqNullSafe(F.col("_src"))).drop("_src", "_b", "_sum")
+    # 2. Virtual finish of each part of each copy.
+    n = F.least(F.lit(PARTS), F.greatest(F.lit(1), F.ceil(F.col("size") / PART_WORDS))).cast("long")
+    copies = queued.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(max_repeats)))).withColumn("_n", n).withColumn("_part", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
+    share_of = lambda k: F.floor(F.col("size") * k / F.col("_n"))
+    copies = copies.withColumn("_words", share_of(F.col("_part")) - share_of(F.col("_part") - 1)).withColumn(
+        "virtual_finish", F.try_divide(F.col("_end") + (F.col("copy") - 1) * F.col("source_size") - F.col("size") + share_of(F.col("_part")), F.col("target")))
+    # 3. Global range sort, running totals, and the cut.
+    most = float(max_repeats) * (all_of["words"] or 0)
+    ranges = max(1, math.isqrt(int(most / PART_WORDS)) // 4)
+    last = copies.agg(F.max("virtual_finish")).first()[0] or 1.0
+    timed = copies.withColumn("_range", F.coalesce(F.floor(F.col("virtual_finish") / last * ranges), F.lit(ranges + 1)))
+    per_range = timed.groupBy("_range").agg(F.sum("_words").alias("_s"))
+    per_range = per_range.withColumn("_sent", F.sum("_s").over(Window.orderBy("_range")) - F.col("_s")).select(F.col("_range").alias("_r"), "_sent")  # one row a range
+    stream = timed.repartitionByRange("_range")
+    in_range = Window.partitionBy("_range").orderBy("virtual_finish", F.col("source").asc_nulls_last(), "copy", "_end", "_part", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    stream = stream.withColumn("_sum", F.sum("_words").over(in_range)).join(F.broadcast(per_range) if ranges <= 100_000 else per_range, F.col("_range") == F.col("_r"))
+    whole = math.floor(share * (all_of["words"] or 0) if budget is None else budget)
+    taken = F.least(F.col("_words"), F.greatest(F.lit(0).cast("long"), F.lit(whole) - (F.col("_sum") + F.col("_sent") - F.col("_words"))))
+    names = ["_id", *keep, "source", "size", "source_size", "target", "copy"]
+    done = stream.groupBy(*names).agg(F.max("virtual_finish").alias("virtual_finish"), F.sum(taken).alias("taken"))
+    return done.where((F.col("taken") > 0) | (F.col("copy") == 1))
 
 
 def _with_size(docs: DataFrame) -> tuple[DataFrame, Column]:
-    return docs.withColumn("_row", F.xxhash64("text", "source")), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    return docs.withColumn("_row", F.md5(F.coalesce("text", F.lit("")))), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+from .sql import SQL
+
 #: query -> module; each is imported when the query runs.
 MODULES = {
     "op1_ngram_join": "ngram_join",
@@ -32,4 +34,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
