@@ -8,11 +8,15 @@ ends at least that many symbols before the end of what has been read is stable a
 by lookahead and block, whatever the length of a word.  No merge crosses a token boundary, so encoding goes on from
 the last emitted token.
 
+Texts pass through in pieces that end at white space; a word is read symbol by symbol, a block at a time, its end makes all of its
+tokens stable, and short words are remembered.  Ids are hashed and decoded as they are emitted, so no list of a text's words or ids is held.
+
 Decoding.  An incremental machine: each id becomes the bytes of its token, which an incremental UTF-8 state machine
 turns into text; where the tokenizer has no decoder, tokens are joined by one space.
 
 Defined cases: null text counts as empty; an empty text has no ids and decodes to an empty text; special tokens written
-in a text become their ids; text of any length is processed in whole.
+in a text become their ids; text of any length is processed in whole; null ids stay null; repeated rows each give a row; an empty table
+gives an empty result; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ import re
 import struct
 import unicodedata
 from functools import lru_cache
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +38,7 @@ from .common import read
 
 #: White space as the tokenizer's patterns know it (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
-BLOCK = 4096
+BLOCK, PIECE = 2048, 1 << 16
 CACHE_WORDS = 300_000
 
 
@@ -87,6 +92,7 @@ class Transducer:
         import regex
 
         s = SPACE
+        self.gap = regex.compile(f"[{s}]" if not any(c in s for t in self.special for c in t) else r"(?!)")
         self.run, self.controls = regex.compile(f"[^{s}]+"), re.compile("[\x1c-\x1f]")
         self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{s}\p{{L}}\p{{N}}]+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -133,11 +139,11 @@ class Transducer:
         return [s for s, g in zip(syms, gone, strict=True) if not g]
 
     def stream(self, symbols, block: int = BLOCK):
-        """Tokens of one word from an iterator of its symbols, in bounded memory."""
+        """Tokens of one word from its symbols, each as soon as it is stable; no more than lookahead, a block and a token are held."""
         held: list[str] = []
-        for s in symbols:
-            held.append(s)
-            if len(held) >= self.lookahead + block:
+        for some in batched(symbols, block):
+            held += some
+            if len(some) == block and len(held) > self.lookahead:
                 yield from self._stable(held)
         yield from self.merged(held)
 
@@ -152,15 +158,23 @@ class Transducer:
             yield t
         del held[:done]
 
+    def symbols(self, word: str):
+        """Letters that stand for the bytes of a word, the last one with the end mark."""
+        if word.isascii() and word.isprintable():  # printable ASCII stands for itself
+            yield from word[:-1]
+            yield word[-1] + self.suffix
+            return
+        letters, last = self.letters, len(word) - 1
+        for i, c in enumerate(word):
+            raw = c.encode("utf-8")
+            for b in raw[:-1]:
+                yield letters[b]
+            yield letters[raw[-1]] + (self.suffix if i == last else "")
+
     def word(self, word: str) -> bytes:
         """Ids of one word of the split pattern, as little-endian 32-bit integers."""
         vocab = self.vocab
-        if word.isascii() and word.isprintable() and len(word) <= BLOCK:  # printable ASCII stands for itself
-            return b"".join([vocab[t].to_bytes(4, "little") for t in self.merged([*word[:-1], word[-1] + self.suffix]) if t in vocab])
-        letters, raw = self.letters, word.encode("utf-8")
-        symbols = (letters[b] + (self.suffix if i == len(raw) - 1 else "") for i, b in enumerate(raw))
-        toks = self.stream(symbols) if len(raw) > BLOCK + self.lookahead else self.merged(list(symbols))
-        return b"".join([vocab[t].to_bytes(4, "little") for t in toks if t in vocab])
+        return b"".join([vocab[t].to_bytes(4, "little") for t in self.stream(self.symbols(word)) if t in vocab])
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a run without white space; short ones are remembered, up to CACHE_WORDS."""
@@ -181,32 +195,51 @@ class Transducer:
             return "".join([c.lower() for c in text])
         return text.lower()
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian 32-bit integers."""
-        parts = self.specials.split(text) if self.specials else [text]
-        out, get, chunk = [], self.cache.get, self.chunk
-        for part in parts:
-            if part in self.special:
-                out.append(self.special[part].to_bytes(4, "little"))
-                continue
-            low = self.normal(part)
-            # str.split() also splits at four control characters that the patterns take for ordinary symbols
-            runs = low.split() if not self.controls.search(low) else self.run.findall(low)
-            for w in runs:
-                ids = get(w)
-                out.append(chunk(w) if ids is None else ids)
-        return b"".join(out)
+    def pieces_of(self, text: str, size: int = PIECE):
+        """A text in parts that end after white space, where nothing of one part depends on the next."""
+        at = 0
+        while len(text) - at > size:
+            gap = self.gap.search(text, at + size)
+            end = gap.end() if gap else len(text)
+            yield text[at:end]
+            at = end
+        yield text[at:] if at else text
+
+    def encode(self, text: str, size: int = PIECE):
+        """Ids of a whole text as little-endian 32-bit integers, emitted part by part."""
+        known, special, chunk = self.cache.get, self.special, self.chunk
+        for part in self.pieces_of(text, size):
+            for span in self.specials.split(part) if self.specials else (part,):
+                if span in special:
+                    yield special[span].to_bytes(4, "little")
+                    continue
+                low = self.normal(span)
+                # str.split() also splits at four control characters that the patterns take for ordinary symbols
+                runs = low.split() if not self.controls.search(low) else self.run.findall(low)
+                out = list(map(known, runs))
+                yield b"".join([chunk(w) if ids is None else ids for w, ids in zip(runs, out, strict=True)] if None in out else out)
+
+    def decoder(self):
+        """A function that takes ids as they come (None at the end) and gives the text that is complete."""
+        machine, piece, first = codecs.getincrementaldecoder("utf-8")(), self.pieces, True
+
+        def feed(ids: bytes | None) -> str:
+            nonlocal first
+            if ids is None:
+                return machine.decode(b"", True)
+            raw = b"".join([piece[i] for i in struct.unpack(f"<{len(ids) // 4}I", ids)])
+            if first and raw:  # no space before the first token
+                raw, first = raw[1:], False
+            return machine.decode(raw)
+
+        return feed
 
     def decode(self, ids: bytes, block: int = 1 << 16):
-        """Text of ids (as :meth:`encode` gives them), in pieces: tokens joined by one space, through the UTF-8 state machine."""
-        machine, piece, first = codecs.getincrementaldecoder("utf-8")(), self.pieces, True
+        """Text of ids, in pieces."""
+        feed = self.decoder()
         for at in range(0, len(ids), 4 * block):
-            n = len(ids[at : at + 4 * block]) // 4
-            raw = b"".join([piece[i] for i in struct.unpack_from(f"<{n}I", ids, at)])
-            if first and raw:
-                raw, first = raw[1:], False
-            yield machine.decode(raw)
-        yield machine.decode(b"", True)
+            yield feed(ids[at : at + 4 * block])
+        yield feed(None)
 
 
 @lru_cache(maxsize=2)
@@ -231,14 +264,18 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
                 part = batch.slice(at, 256)
                 n, ids_sha, text_sha, all_ids = [], [], [], []
                 for text in part.column("text"):
-                    ids, decoded = t.encode(text.as_py() or ""), hashlib.sha256()
-                    for some in t.decode(ids):
-                        decoded.update(some.encode("utf-8"))
-                    n.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(decoded.hexdigest())
-                    if with_ids:
-                        all_ids.append(ids)
+                    ids_hash, text_hash, feed, size, kept = hashlib.sha256(), hashlib.sha256(), t.decoder(), 0, []
+                    for ids in t.encode(text.as_py() or ""):
+                        ids_hash.update(ids)
+                        text_hash.update(feed(ids).encode("utf-8"))
+                        size += len(ids) // 4
+                        if with_ids:
+                            kept.append(ids)
+                    text_hash.update(feed(None).encode("utf-8"))
+                    n.append(size)
+                    ids_sha.append(ids_hash.hexdigest())
+                    text_sha.append(text_hash.hexdigest())
+                    all_ids.append(b"".join(kept))
                 cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
@@ -257,7 +294,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         t = transducer(path)
         for batch in batches:
-            texts = ["".join(t.decode(x.as_py() or b"")) for x in batch.column("ids")]
+            texts = ["".join(t.decode(x.as_py())) if x.is_valid else None for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")

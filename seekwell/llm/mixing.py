@@ -1,10 +1,10 @@
 """Mixing sources to target weights by weighted fair queueing (DataFrame functions only).
 
 Every source is a queue whose documents stand in a seeded shuffle (by MD5).  A document may be sent ``max_repeats`` times, the second
-time after the whole first pass, and is sent in up to ``PARTS`` parts, so that a long one does not starve its source at the end.
-A part's virtual finish time is the number of words that its source has sent up to and including it, divided by the source's
-target.  The parts of all sources are range-sorted on that time, and the stream is truncated where its running total reaches the
-budget; the part at the cut is taken up to it.  So a source ends within one part of its target.
+time after the whole first pass.  Its virtual finish time is the number of words that its source has sent up to and including it,
+divided by the source's target.  All documents are range-sorted on that time, and the stream is truncated where its running total
+reaches the budget, the whole words of all targets.  The one document of each source that is in service when its target is reached is
+sent word by word, each word with its own finish time, so a long one is cut where its source's target ends.
 
 Running totals, in a source and over the sorted stream, are taken in two steps: over buckets of the shuffle or ranges of time, then
 inside each, about the root of all rows in either; no source or stream passes through one task.
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import WORD, pack, read, stage, unpack
 
 ROWS_PER_BUCKET = 2_000
-PARTS, PART_WORDS = 32, 32
 
 
 def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_repeats: float = 2.0) -> DataFrame:
@@ -72,12 +71,12 @@ def mix(docs: DataFrame, size: Column, weights=(3, 1, 2), share: float = 1.5, ma
     """What the mix takes: ``_id`` (of the row), ``keep``, ``source, size, source_size, target, copy, virtual_finish, taken``.
 
     Documents of which nothing is taken are left in with ``taken`` 0 in their first copy.  ``budget`` is the number of
-    words in all (default: ``share`` of all sizes).
+    words in all (default: the sum of targets).
     """
     shuffle = F.md5(F.concat_ws("/", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keep], F.coalesce("source", F.lit(""))))
     sizes = stage(docs.select(*keep, "source", size.cast("long").alias("size"), shuffle.alias("_h"), F.monotonically_increasing_id().alias("_id")))  # staged, so the ids stay
     targets = stage(source_targets(sizes, weights, share, max_repeats))
-    all_of = sizes.agg(F.count("*").alias("n"), F.sum("size").alias("words")).first()
+    all_of = sizes.agg(F.count("*").alias("n")).first()
     # 1. Place of each document in its queue.
     buckets = max(1, all_of["n"] // max(ROWS_PER_BUCKET, math.isqrt(all_of["n"])))
     placed = sizes.withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)))
@@ -88,23 +87,23 @@ def mix(docs: DataFrame, size: Column, weights=(3, 1, 2), share: float = 1.5, ma
     queued = running.alias("p").join(before.alias("q"), _same(running, before, ["source", "_b"])).select("p.*", (F.col("_sum") + F.col("_before")).alias("_end"))
     t = targets.select(F.col("source").alias("_src"), "source_size", "target")
     queued = queued.join(F.broadcast(t) if targets.count() <= 10_000 else t, F.col("source").eqNullSafe(F.col("_src"))).drop("_src", "_b", "_sum")
-    # 2. Virtual finish of each part of each copy.
-    n = F.least(F.lit(PARTS), F.greatest(F.lit(1), F.ceil(F.col("size") / PART_WORDS))).cast("long")
-    copies = queued.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(max_repeats)))).withColumn("_n", n).withColumn("_part", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
-    share_of = lambda k: F.floor(F.col("size") * k / F.col("_n"))
-    copies = copies.withColumn("_words", share_of(F.col("_part")) - share_of(F.col("_part") - 1)).withColumn(
-        "virtual_finish", F.try_divide(F.col("_end") + (F.col("copy") - 1) * F.col("source_size") - F.col("size") + share_of(F.col("_part")), F.col("target")))
+    # 2. Virtual finish of each copy; of each word for those in service when their source reaches its target.
+    cut = F.lit(1.0 if budget is None else budget / max(1e-300, targets.agg(F.sum("target")).first()[0] or 0.0))
+    whole = targets.agg(F.sum(F.floor(F.round(F.col("target") * cut, 6)))).first()[0] or 0
+    copies = queued.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(max_repeats)))).withColumn("_end", F.col("_end") + (F.col("copy") - 1) * F.col("source_size"))
+    served = F.col("target") * cut
+    step = F.when((F.col("_end") - F.col("size") < served) & (F.col("_end") > served), 1).otherwise(F.greatest("size", F.lit(1)))
+    copies = copies.withColumn("_upto", F.explode(F.sequence(F.least(step, "size"), "size", step))).withColumn("_words", F.least(step, "size")).withColumn(
+        "virtual_finish", F.try_divide(F.col("_end") - F.col("size") + F.col("_upto"), F.col("target")))
     # 3. Global range sort, running totals, and the cut.
-    most = float(max_repeats) * (all_of["words"] or 0)
-    ranges = max(1, math.isqrt(int(most / PART_WORDS)) // 4)
+    ranges = max(1, math.isqrt(all_of["n"]) // 16)
     last = copies.agg(F.max("virtual_finish")).first()[0] or 1.0
     timed = copies.withColumn("_range", F.coalesce(F.floor(F.col("virtual_finish") / last * ranges), F.lit(ranges + 1)))
     per_range = timed.groupBy("_range").agg(F.sum("_words").alias("_s"))
     per_range = per_range.withColumn("_sent", F.sum("_s").over(Window.orderBy("_range")) - F.col("_s")).select(F.col("_range").alias("_r"), "_sent")  # one row a range
     stream = timed.repartitionByRange("_range")
-    in_range = Window.partitionBy("_range").orderBy("virtual_finish", F.col("source").asc_nulls_last(), "copy", "_end", "_part", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    in_range = Window.partitionBy("_range").orderBy("virtual_finish", F.col("source").asc_nulls_last(), "_end", "_upto", "_id").rowsBetween(Window.unboundedPreceding, 0)
     stream = stream.withColumn("_sum", F.sum("_words").over(in_range)).join(F.broadcast(per_range) if ranges <= 100_000 else per_range, F.col("_range") == F.col("_r"))
-    whole = math.floor(share * (all_of["words"] or 0) if budget is None else budget)
     taken = F.least(F.col("_words"), F.greatest(F.lit(0).cast("long"), F.lit(whole) - (F.col("_sum") + F.col("_sent") - F.col("_words"))))
     names = ["_id", *keep, "source", "size", "source_size", "target", "copy"]
     done = stream.groupBy(*names).agg(F.max("virtual_finish").alias("virtual_finish"), F.sum(taken).alias("taken"))

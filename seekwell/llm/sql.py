@@ -20,12 +20,13 @@ src as (select source, sum(size)::bigint source_size, case (row_number() over (o
 caps as (select *, 2.0::double * source_size cap, 1.5::double * sum(source_size) over () budget, sum(weight) over () w from src),
 filled as (select *, (budget - coalesce(sum(cap) over before, 0)) / (w - coalesce(sum(weight) over before, 0)) level from caps
            window before as (order by cap / weight, source rows between unbounded preceding and 1 preceding)),
-t as (select source, source_size, least(weight * (select max(level) from filled), cap) target, floor(budget) budget from filled),
-q as (select s.*, source_size, target, budget, sum(size) over (partition by s.source order by h, size, rid rows unbounded preceding) e, least(32, greatest(1, ceil(size / 32.0)))::bigint n
-      from s join t on s.source is not distinct from t.source),
-parts as (select *, size * part // n - size * (part - 1) // n words, case when target > 0 then (e + (copy - 1) * source_size - size + size * part // n)::double / target end finish
-          from (select *, unnest(range(1, n + 1)) part from (select *, unnest([1, 2]) copy from q))),
-sent as (select *, sum(words) over (order by finish nulls last, source nulls last, copy, e, part, rid rows unbounded preceding) total from parts)
+aims as (select source, source_size, least(weight * (select max(level) from filled), cap) target from filled),
+t as (select *, (select sum(floor(round(target, 6)))::bigint from aims) budget from aims),
+q as (select s.*, source_size, target, budget, sum(size) over (partition by s.source order by h, size, rid rows unbounded preceding) e from s join t on s.source is not distinct from t.source),
+copies as (select rid, doc_id, source, size, source_size, target, budget, copy, (e + (copy - 1) * source_size)::bigint e from (select *, unnest([1, 2]) copy from q)),
+steps as (select *, case when e - size < target and e > target then 1 else greatest(size, 1) end step from copies),
+parts as (select *, least(step, size) words, case when target > 0 then (e - size + upto)::double / target end finish from (select *, unnest(case when size = 0 then [0] else range(step, size + 1, step) end) upto from steps)),
+sent as (select *, sum(words) over (order by finish nulls last, source nulls last, e, upto, rid rows unbounded preceding) total from parts)
 select any_value(doc_id) doc_id, any_value(size) size, any_value(source_size) source_size, any_value(target) target,
 sum(least(words, greatest(0, budget - (total - words))))::bigint taken from sent group by rid"""
 

@@ -395,7 +395,9 @@ def test_op7_odd(spark):
     texts = [*(x or "" for x in TEXTS), "İΣΑΣ ς 'S I'LL <|endoftext|>x<|startoftext|>", "ab" * 9000, "é́ ½ ² 😀👩‍👧 ﬁ ẞ", "日本語" * 900, "\x00\x1c a​b"]
     for x in texts:
         ids = ref.encode(x, add_special_tokens=False).ids
-        assert np.frombuffer(t.encode(x), "<u4").tolist() == ids and "".join(t.decode(t.encode(x), 7)) == ref.decode(ids, skip_special_tokens=False)
+        for size in (1, 50, bpe.PIECE):
+            coded = b"".join(t.encode(x, size))
+            assert np.frombuffer(coded, "<u4").tolist() == ids and "".join(t.decode(coded, 7)) == ref.decode(ids, skip_special_tokens=False)
     df = odd(spark, *TEXTS)
     coded = bpe.encode_documents(df, with_ids=True)
     assert coded.count() == df.count() and bpe.decode_documents(coded).where("doc_id = 1").first()["text"] == ref.decode(ref.encode(TEXTS[1], add_special_tokens=False).ids)
@@ -417,7 +419,21 @@ def test_op7_streams_in_bounded_memory():
         t.suffix, t.lookahead = "", bpe.sufficient_lookahead(merges)
         symbols = [r.choice("abc") for _ in range(300)]
         assert list(t.stream(iter(symbols), 1)) == t.merged(symbols)
-    assert bpe.transducer(bpe.tokenizer_path()).lookahead < 2000
+    assert bpe.transducer(bpe.tokenizer_path()).lookahead < bpe.BLOCK
+
+
+def test_op7_every_word_goes_through_the_stream(documents, monkeypatch):
+    """Tokens come from the transducer for all words; of a long one it never holds more than its lookahead, a block and a token."""
+    t, seen, held = bpe.Transducer(bpe.tokenizer_path()), [], []
+    stream, merged = bpe.Transducer.stream, bpe.Transducer.merged
+    monkeypatch.setattr(bpe.Transducer, "stream", lambda self, symbols, block=64: (seen.append(1), stream(self, symbols, block))[1])
+    monkeypatch.setattr(bpe.Transducer, "merged", lambda self, symbols: (held.append(len(symbols)), merged(self, symbols))[1])
+    text = documents.where("length(text) > 2000").first()["text"] + " " + "lorem" * 4000
+    from tokenizers import Tokenizer
+
+    ids = b"".join(t.encode(text))
+    assert np.frombuffer(ids, "<u4").tolist() == Tokenizer.from_file(bpe.tokenizer_path()).encode(text, add_special_tokens=False).ids
+    assert len(seen) >= len(set(t.split.findall(text.lower()))) / 2 and t.lookahead < max(held) <= t.lookahead + 64 + 32  # an unstable token waits
 
 
 # ------------------------------------------------------------------ 8
