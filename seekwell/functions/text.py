@@ -90,6 +90,11 @@ def loose_match(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & (x.contains(y) | y.contains(x))
 
 
+def strip(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def blank(text: Column) -> Column:
     """Null, empty or white space only."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")) == ""

@@ -90,17 +90,27 @@ def usage_by_call(log: DataFrame, col: str) -> DataFrame:
         F.sum("cost").cast(MONEY).alias("cost")).orderBy(F.desc("cost"), F.desc("calls"), "bucket")
 
 
-def usage_report(log: DataFrame) -> DataFrame:
-    """All groupings of queries in one pass: ``breakdown`` (total, month, day, route, user), ``bucket`` and sums."""
-    rows = _flat(log).select("_n", "_in", "_out", "total_cost", F.date_format("started", "yyyy-MM").alias("month"), F.date_format("started", "yyyy-MM-dd").alias("day"),
-                             F.when(F.coalesce("route", F.lit("")) == "", "Unknown").otherwise(F.col("route")).alias("route"), F.coalesce(F.col("user_id").cast("string"), F.lit("anonymous")).alias("user"))
-    keys = ["month", "day", "route", "user"]
-    grouped = rows.groupingSets([[], *[[F.col(k)] for k in keys]], *[F.col(k) for k in keys]).agg(
-        F.grouping_id().alias("_g"), F.count("*").alias("queries"), F.sum("_n").alias("calls"), F.sum("_in").alias("input_tokens"), F.sum("_out").alias("output_tokens"), F.sum("total_cost").cast(MONEY).alias("cost"))
-    kind = F.when(F.col("_g") == 15, "total")
-    for i, k in enumerate(keys):
-        kind = kind.when(F.col("_g") == 15 - (8 >> i), k)
-    return grouped.select(kind.alias("breakdown"), F.coalesce(*keys, F.lit("all")).alias("bucket"), "queries", "calls", "input_tokens", "output_tokens", "cost")
+def usage_report(log: DataFrame, calls: bool = False) -> DataFrame:
+    """All groupings of queries in one pass: ``breakdown`` (total, month, day, route, user), ``bucket`` and sums; with ``calls`` by pass and model too.
+
+    Each query gives a row to every bucket that it falls in (once to a pass or model, whatever its number of calls), summed before the shuffle.
+    """
+    c = F.col
+    named = lambda col, other: F.when(F.coalesce(col, F.lit("")) == "", other).otherwise(col)
+    whole = lambda kind, bucket: F.struct(F.lit(kind).alias("breakdown"), bucket.alias("bucket"), c("_n").cast("long").alias("n"), c("_in").alias("i"), c("_out").alias("o"), c("total_cost").cast(MONEY).alias("u"))
+    rows = F.array(whole("total", F.lit("all")), whole("month", F.date_format("started", "yyyy-MM")), whole("day", F.date_format("started", "yyyy-MM-dd")),
+                   whole("route", named(c("route"), "Unknown")), whole("user", F.coalesce(c("user_id").cast("string"), F.lit("anonymous"))))
+    if calls:
+        def by_call(kind: str):
+            key = lambda x: named(x[kind], "unknown")
+            add = lambda own, name, to: F.aggregate(own, F.lit(0).cast(to), lambda a, x: (a + F.coalesce(x[name], F.lit(0))).cast(to))
+            one = lambda k, own: F.struct(F.lit(kind).alias("breakdown"), k.alias("bucket"), F.size(own).cast("long").alias("n"), add(own, "input_tokens", "long").alias("i"), add(own, "output_tokens", "long").alias("o"), add(own, "cost", MONEY).alias("u"))
+            return F.transform(F.array_distinct(F.transform("_calls", key)), lambda k: one(k, F.filter("_calls", lambda x: key(x) == k)))
+
+        rows = F.concat(rows, by_call("pass"), by_call("model"))
+    flat = _flat(log).withColumn("_calls", F.coalesce(c("calls"), F.array().cast(log.schema["calls"].dataType)))
+    each = flat.select(F.explode(rows).alias("r")).select("r.*")
+    return each.groupBy("breakdown", "bucket").agg(F.count("*").alias("queries"), F.sum("n").alias("calls"), F.sum("i").alias("input_tokens"), F.sum("o").alias("output_tokens"), F.sum("u").cast(MONEY).alias("cost"))
 
 
 # ------------------------------------------------------------------ builds

@@ -177,8 +177,9 @@ def classify_outcomes(batches: DataFrame, responses: DataFrame) -> DataFrame:
     outcome = (F.when(lost, "batch-failed").when(~F.col("_json") & F.col("truncated"), "truncated").when(~F.col("_json"), "unparseable")
                .when(F.col("is_empty").isNull(), "omitted").when(F.col("is_empty"), "unknown-to-model").otherwise("enriched"))
     share = F.when(lost, F.lit(0).cast("decimal(20,10)")).otherwise(F.col("cost").cast("decimal(20,10)") / F.col("_size"))
+    stored = F.col("outcome").isin("enriched", "unknown-to-model")
     return rows.withColumn("outcome", outcome).select(
-        *batches.columns, "outcome", F.bround(share, 6).cast("decimal(18,6)").alias("share"), F.col("outcome").isin("enriched", "unknown-to-model").alias("stored"), "enrichment")
+        *batches.columns, "outcome", F.bround(share, 6).cast("decimal(18,6)").alias("share"), stored.alias("stored"), F.when(stored, F.col("enrichment")).alias("enrichment"))
 
 
 def item_outcomes(classified: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:

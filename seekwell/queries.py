@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import documents as fd
 from .functions import text as ft
 from .operators import budget, dialogue, evaluation, lexical, logs, ranking, responses, routing, vectors
-from .plans import build, search
+from .plans import build
 from .sources import catalog, store
 from .sources import logs as slogs
 
@@ -288,18 +288,6 @@ def fail_open_filter(spark, d):
     return out.select("query_id", "item_id", F.col("rank").cast("long").alias("rank"), "hard_cut", F.col("matched").cast("long").alias("matched"))
 
 
-@query()
-def hybrid_search(spark, d):
-    """Words and vectors over documents with filters and a given order: the whole composition."""
-    e = _t(spark, d, "embeddings")
-    rows = e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
-    qv = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(rows.withColumnRenamed("item_id", "query_id"), "query_id")
-    answers = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(F.array(*[F.lit(x) for x in (2, 0, 99, 2)])).alias("pos", "i")).withColumn("why", F.lit("fits"))
-    p = bench_plans(spark, d)
-    hits = search.hybrid_search(p.select("query_id", "text"), lexical.build_bm25(doc_sections(spark, d)), doc_items(spark, d), rows, p.select("query_id", "semantic", "plan"), qv, answers)
-    return hits.select("query_id", "item_id", "rank", F.round("score", 9).alias("score"), "name", "year", "why", "model_why")
-
-
 @query(SEARCH + """, sl as (select query_id, item_id, rank from lex where rank<=20), a as (select query_id, rank, case rank-1 when 2 then 0 when 0 then 1 end mp from sl),
 o as (select query_id, item_id, row_number() over (partition by query_id order by mp nulls last, rank) rank from sl join a using(query_id, rank)), n as (select query_id, least(count(*),10) size from sl group by 1)
 select query_id, item_id, rank, (case when size>2 then 2 else 1 end) ranked, size - (case when size>2 then 2 else 1 end) omitted, 1 + (case when size>2 then 0 else 1 end) invented from o join n using(query_id)""")
@@ -461,12 +449,6 @@ def context_lines(spark, d):
     return dialogue.with_context(c).select("item_id", "ord", F.array_join("context", " / ").alias("context"))
 
 
-@query()
-def cue_windows(spark, d):
-    """Windows over turns; the step depends on the window before, so there is a brute-force test instead of SQL."""
-    return dialogue.build_windows(turn_cues(spark, d), 40)
-
-
 @query(r"""select conv_id item_id, cast(row_number() over (partition by conv_id order by turn) - 1 as integer) ord, turn*4000 start_ms, turn*4000+3500 end_ms, trim(regexp_replace(text,'\s+',' ','g')) "text" from conversations where trim(regexp_replace(text,'\s+',' ','g'))<>'' and not contains(text,'-->')""")
 def srt_parse(spark, d):
     """Turns written as subtitle files and read again."""
@@ -509,18 +491,6 @@ def phrase_fuzzy(spark, d):
     return dialogue.best_per_item(hits, 10).select("phrase_id", "item_id", "window_id", _dbl("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
-def quote_search(spark, d):
-    """Quoted turns sought in windows of all conversations, with the line, its context and where to resume."""
-    cues = dialogue.clean_cues(turn_cues(spark, d))
-    windows = dialogue.build_windows(cues, 40).withColumn("window_id", F.col("item_id") * 100_000 + F.col("window_no"))
-    q = dialogue.quoted_phrases(short_queries(spark, d).withColumnRenamed("phrase_id", "query_id"))
-    hits = dialogue.best_per_item(dialogue.phrase_search(q, windows, fuzzy=False), 10)
-    found = dialogue.locate_line(hits, windows, cues, q)
-    context = dialogue.with_context(cues).select("item_id", "ord", "context")
-    return found.join(context, ["item_id", "ord"]).select("phrase_id", "item_id", "window_id", "rank", "ord", "line", F.array_join("context", " / ").alias("context"), dialogue.resume_ms(F.col("line_ms")).alias("resume_ms"))
-
-
 @query("""with t as (select user_id item_id, event_id idx, event_type<>'error' sub, event_type<>'login' txt, event_id%11=0 forced, event_id%3=0 sdh, event_id%4=0 ext, case event_id%3 when 0 then 'eng' when 1 then 'fra' else null end lang from events),
 u as (select item_id, count(*) filter (sub) s, count(*) filter (sub and txt) t, count(*) filter (sub and txt and not forced) u from t group by 1),
 b as (select item_id, idx, lang, sdh, ext, row_number() over (partition by item_id order by case when lang='eng' then 0 else 1 end, sdh, not ext, idx) k from t where sub and txt and not forced)
@@ -760,13 +730,10 @@ def latency_cost(spark, d):
 
 def _available(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there into the shared folder, and reads the result."""
-    import tempfile
-    import uuid
-
+    from .sources.shared import new_folder
     from .streaming.live import run_available
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='seekwell-')}"
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = new_folder(spark, "stream")
     run_available(stream, f"{out}/data", f"{out}/checkpoint", mode)
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
@@ -785,19 +752,4 @@ def live_usage(spark, d):
     return _available(spark, s).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "route", "queries", F.round("cost", 4).alias("cost"))
 
 
-@query()
-def live_sessions(spark, d):
-    """A user's bursts in a stream of events, divided by 30 minutes."""
-    from .streaming.live import sessions
-
-    s = sessions(_event_stream(spark, d), time="ts")
-    return _available(spark, s).select("user", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "queries")
-
-
-@query()
-def live_paid(spark, d):
-    """Paid events per user in sliding hours."""
-    from .streaming.live import sliding_paid
-
-    s = _event_stream(spark, d).select(F.col("ts").cast("timestamp").alias("at"), "user_id", (F.col("value") * (F.col("event_id") % 4)).alias("amount"))
-    return _available(spark, sliding_paid(s)).select(F.unix_micros("start").alias("start_us"), "user_id", "paid")
+from . import library_queries  # noqa: E402, F401  (registers more)

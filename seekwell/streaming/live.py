@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..schemas import QUERY_LOG
-from ..sources.store import upsert
 
 
 def read_log_stream(spark: SparkSession, path: str, schema: str = QUERY_LOG, format: str = "json") -> DataFrame:
@@ -36,49 +36,68 @@ def sliding_paid(spend: DataFrame, width: str = "1 hour", step: str = "5 minutes
 
 
 class TrailingHour(StatefulProcessor):
-    """Exact number of a user's paid queries in the hour up to each of them; times older than that are let go."""
+    """Exact number of a user's paid queries in the hour up to each time, ties included.
+
+    A time is told as soon as it comes, and again with a higher number if a row that comes late (but before the watermark) falls into its
+    hour.  Times more than an hour before the watermark are let go, and a user's state with the last of them.
+    """
 
     SPAN = 3_600_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.times = handle.getListState("times", "us bigint")
 
+    def _keep(self, times: list[int], timer_values) -> None:
+        kept = times[bisect_left(times, timer_values.getCurrentWatermarkInMs() * 1000 - self.SPAN) :]
+        if kept:
+            self.times.put([(t,) for t in kept])
+            self.handle.registerTimer((kept[-1] + self.SPAN) // 1000 + 1)
+        else:
+            self.times.clear()
+
+    def _known(self) -> list[int]:
+        return sorted(t[0] for t in self.times.get()) if self.times.exists() else []
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = sorted(t[0] for t in self.times.get()) if self.times.exists() else []
-        new = pd.concat(list(rows)).sort_values("us", kind="stable")
-        out = []
-        for us in new["us"].tolist():
-            seen = [t for t in seen if t >= us - self.SPAN]
-            seen.append(us)
-            out.append(sum(1 for t in seen if us - self.SPAN <= t <= us))
-        self.times.put([(t,) for t in seen])
-        yield pd.DataFrame({"user_id": key[0], "us": new["us"], "paid_hour": out})
+        new = sorted(us for part in rows for us in part["us"].tolist())
+        times = sorted(self._known() + new)
+        touched = sorted({t for n in set(new) for t in times[bisect_left(times, n) : bisect_right(times, n + self.SPAN)]})
+        self._keep(times, timerValues)
+        yield pd.DataFrame({"user_id": key[0], "us": touched, "paid_hour": [bisect_right(times, t) - bisect_left(times, t - self.SPAN) for t in touched]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._keep(self._known(), timerValues)
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-def exact_paid(spend: DataFrame) -> DataFrame:
-    """``user_id, us, paid_hour`` of a stream of paid entries; needs a state store that keeps lists (RocksDB)."""
-    rows = spend.where(F.col("amount") > 0).select("user_id", F.unix_micros("at").alias("us"))
-    return rows.groupBy("user_id").transformWithStateInPandas(TrailingHour(), "user_id string, us bigint, paid_hour bigint", "update", "none")
+def exact_paid(spend: DataFrame, late: str = "1 hour", mode: str = "update") -> DataFrame:
+    """``user_id, us, paid_hour`` of a stream of paid entries, the highest number of a time is its last; needs a state store that keeps lists (RocksDB)."""
+    rows = spend.where(F.col("amount") > 0).select("user_id", "at", F.unix_micros("at").alias("us")).withWatermark("at", late)
+    return rows.groupBy("user_id").transformWithStateInPandas(TrailingHour(), "user_id string, us bigint, paid_hour bigint", mode, "eventTime")
 
 
 def upsert_stream(fresh: DataFrame, path: str, checkpoint: str, key: str = "item_id", version: str = "generated_utc"):
-    """Merges each batch of a stream into a table; a batch that is run again writes the same folder."""
+    """Merges each batch of a stream into a table, the highest version of each key stays; a batch that is run again writes the same folder."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), version).alias("r")).select("r.*")
-        before = f"{path}/batch={number - 1}"
-        if number > 0:
-            upsert(spark.read.schema(batch.schema).parquet(before), newest, key).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        else:
-            newest.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = batch if number == 0 else batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/batch={number - 1}"))
+        newest = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), version).alias("r")).select("r.*")
+        newest.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return fresh.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table that :func:`upsert_stream` has merged last."""
+    every = spark.read.parquet(path)
+    newest = every.agg(F.max("batch")).first()[0]
+    return every.where(F.col("batch") == newest).drop("batch")
+
+
 def sessions(log: DataFrame, gap: str = "30 minutes", late: str = "1 hour", time: str = "started", user: str = "user_id") -> DataFrame:
     """``user, start, end, queries``: a user's bursts, divided by gaps."""
     rows = log.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", late)
