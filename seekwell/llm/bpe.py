@@ -29,7 +29,6 @@ import re
 import struct
 import unicodedata
 from functools import lru_cache
-from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +38,7 @@ from .common import read
 #: White space as the tokenizer's patterns know it (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 BLOCK, PIECE = 2048, 1 << 16
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -73,6 +72,24 @@ def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
     return longest
 
 
+class Memory(dict):
+    """Ids of runs: one that is not known is encoded; of ``most`` runs the older generation goes when the younger is full."""
+
+    def __init__(self, encode, most: int = CACHE_WORDS):
+        self.encode, self.most, self.older = encode, most, {}
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.older.get(run)
+        if ids is None:
+            ids = self.encode(run)
+        if len(run) <= 40:
+            if len(self) >= self.most // 2:
+                self.older = dict(self)
+                self.clear()
+            self[run] = ids
+        return ids
+
+
 class Transducer:
     """Encoder and decoder for one tokenizer file with a BPE model over byte letters and an end-of-word suffix."""
 
@@ -96,7 +113,8 @@ class Transducer:
         self.run, self.controls = regex.compile(f"[^{s}]+"), re.compile("[\x1c-\x1f]")
         self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{s}\p{{L}}\p{{N}}]+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache: dict[str, bytes] = {}
+        self.raw = {t: i.to_bytes(4, "little") for t, i in self.vocab.items()}
+        self.known = Memory(self.chunk)
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Symbols after all merges, the lowest rank first and the leftmost of equal ones first."""
@@ -138,14 +156,14 @@ class Transducer:
                 heapq.heappush(heap, (rank[q], prv[i], q))
         return [s for s, g in zip(syms, gone, strict=True) if not g]
 
-    def stream(self, symbols, block: int = BLOCK):
-        """Tokens of one word from its symbols, each as soon as it is stable; no more than lookahead, a block and a token are held."""
-        held: list[str] = []
-        for some in batched(symbols, block):
-            held += some
-            if len(some) == block and len(held) > self.lookahead:
+    def stream(self, blocks):
+        """Tokens of one word from blocks of its symbols, each as soon as it is stable; no more than lookahead, a block and a token are held."""
+        held = next(blocks)
+        for some in blocks:
+            if len(held) > self.lookahead:
                 yield from self._stable(held)
-        yield from self.merged(held)
+            held += some
+        yield from self.merged(held)  # the end of the word makes all stable
 
     def _stable(self, held: list[str]):
         limit, done = len(held) - self.lookahead, 0
@@ -158,32 +176,23 @@ class Transducer:
             yield t
         del held[:done]
 
-    def symbols(self, word: str):
-        """Letters that stand for the bytes of a word, the last one with the end mark."""
-        if word.isascii() and word.isprintable():  # printable ASCII stands for itself
-            yield from word[:-1]
-            yield word[-1] + self.suffix
-            return
-        letters, last = self.letters, len(word) - 1
-        for i, c in enumerate(word):
-            raw = c.encode("utf-8")
-            for b in raw[:-1]:
-                yield letters[b]
-            yield letters[raw[-1]] + (self.suffix if i == last else "")
+    def symbols(self, word: str, size: int = BLOCK):
+        """Letters that stand for the bytes of a word, in blocks of ``size`` characters; the last one carries the end mark."""
+        letters = self.letters
+        for at in range(0, len(word), size):
+            some = word[at : at + size]
+            block = [*some] if some.isascii() and some.isprintable() else [letters[b] for b in some.encode("utf-8")]  # printable ASCII stands for itself
+            if at + size >= len(word):
+                block[-1] += self.suffix
+            yield block
 
     def word(self, word: str) -> bytes:
         """Ids of one word of the split pattern, as little-endian 32-bit integers."""
-        vocab = self.vocab
-        return b"".join([vocab[t].to_bytes(4, "little") for t in self.stream(self.symbols(word)) if t in vocab])
+        return b"".join([self.raw[t] for t in self.stream(self.symbols(word)) if t in self.raw])
 
     def chunk(self, chunk: str) -> bytes:
-        """Ids of a run without white space; short ones are remembered, up to CACHE_WORDS."""
-        ids = self.word(chunk) if chunk.isascii() and chunk.isalpha() else b"".join([self.word(w) for w in self.split.findall(chunk)])
-        if len(chunk) <= 40:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[chunk] = ids
-        return ids
+        """Ids of a run without white space."""
+        return self.word(chunk) if chunk.isascii() and chunk.isalpha() else b"".join([self.word(w) for w in self.split.findall(chunk)])
 
     def normal(self, text: str) -> str:
         """NFC, then lower case one character at a time; white space is left, since it only separates."""
@@ -207,7 +216,7 @@ class Transducer:
 
     def encode(self, text: str, size: int = PIECE):
         """Ids of a whole text as little-endian 32-bit integers, emitted part by part."""
-        known, special, chunk = self.cache.get, self.special, self.chunk
+        special, known = self.special, self.known.__getitem__
         for part in self.pieces_of(text, size):
             for span in self.specials.split(part) if self.specials else (part,):
                 if span in special:
@@ -216,8 +225,7 @@ class Transducer:
                 low = self.normal(span)
                 # str.split() also splits at four control characters that the patterns take for ordinary symbols
                 runs = low.split() if not self.controls.search(low) else self.run.findall(low)
-                out = list(map(known, runs))
-                yield b"".join([chunk(w) if ids is None else ids for w, ids in zip(runs, out, strict=True)] if None in out else out)
+                yield b"".join(map(known, runs))
 
     def decoder(self):
         """A function that takes ids as they come (None at the end) and gives the text that is complete."""

@@ -418,7 +418,7 @@ def test_op7_streams_in_bounded_memory():
         t.rank = {p: i for i, p in reversed(list(enumerate(merges)))}
         t.suffix, t.lookahead = "", bpe.sufficient_lookahead(merges)
         symbols = [r.choice("abc") for _ in range(300)]
-        assert list(t.stream(iter(symbols), 1)) == t.merged(symbols)
+        assert list(t.stream([x] for x in symbols)) == t.merged(symbols)
     assert bpe.transducer(bpe.tokenizer_path()).lookahead < bpe.BLOCK
 
 
@@ -426,7 +426,9 @@ def test_op7_every_word_goes_through_the_stream(documents, monkeypatch):
     """Tokens come from the transducer for all words; of a long one it never holds more than its lookahead, a block and a token."""
     t, seen, held = bpe.Transducer(bpe.tokenizer_path()), [], []
     stream, merged = bpe.Transducer.stream, bpe.Transducer.merged
-    monkeypatch.setattr(bpe.Transducer, "stream", lambda self, symbols, block=64: (seen.append(1), stream(self, symbols, block))[1])
+    monkeypatch.setattr(bpe.Transducer, "stream", lambda self, blocks: (seen.append(1), stream(self, blocks))[1])
+    blocks = bpe.Transducer.symbols
+    monkeypatch.setattr(bpe.Transducer, "symbols", lambda self, word: blocks(self, word, 64))
     monkeypatch.setattr(bpe.Transducer, "merged", lambda self, symbols: (held.append(len(symbols)), merged(self, symbols))[1])
     text = documents.where("length(text) > 2000").first()["text"] + " " + "lorem" * 4000
     from tokenizers import Tokenizer
