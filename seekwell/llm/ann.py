@@ -5,12 +5,13 @@ the smallest hash of their id; the only bound in the operator); every row is the
 centroid.  Search.  A query looks at its ``probes`` nearest lists.  In a cell it scores all codes by table look-ups
 and reranks the best of them by exact cosine on the original vectors, in double precision, and after these every other row
 that its code does not exclude (a row is no nearer than its code less its quantisation error), so a cell's answer is exact;
-the best of all cells are merged per query.  A long list is dealt over several cells by a hash of the row's id, so that a list with a third of
-all rows (copies of one vector, say) is no single task.  Within a cell, equal codes stand in the order of ids, so copies
+the best of all cells are merged per query.  A long list is dealt over several cells by a hash of the row's id, and its queries over several
+blocks that each meet every cell, so that a list with a third of all rows and queries (copies of one vector, say) is no single task.  Within a cell, equal codes stand in the order of ids, so copies
 of one vector yield their smallest ids.
 
 Defined cases: rows with a null id, a null, empty or zero vector, or one with null or non-finite components, or of another
-width than most, take no part; repeated rows are one row if id and vector are equal; an empty table gives an empty result;
+width than most, take no part; repeated rows are one row if id and vector are equal, and rows of one id with
+different vectors are rows (and queries, each with its own ranks) of their own; an empty table gives an empty result;
 extra columns do not matter.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import read, stage
 
 FIT_ROWS = 20_000
-CELL_ROWS = 4_000
+CELL_ROWS, BLOCK_QUERIES = 4_000, 1_000
 SLACK = 1e-6  # above the rounding of distances
 
 
@@ -137,8 +138,6 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
 
     filed = stage(rows.mapInPandas(file, "list int, id bigint, codes binary, vec binary").dropDuplicates(["list", "id", "vec"]))
     sizes = filed.groupBy("list").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("cells"))  # as many rows as lists
-    cells = filed.join(F.broadcast(sizes), "list").select(
-        "list", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int").alias("cell"), "id", "codes", "vec")
 
     def aim(batches):
         ix = index.value
@@ -149,29 +148,36 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
             unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
             m = min(probes, len(ix.coarse))
             near = np.argsort(distances(unit, ix.coarse), axis=1, kind="stable")[:, :m]
-            yield pd.DataFrame({"list": near.ravel(), "query_id": np.repeat(b["id"].to_numpy(), m), "qvec": np.repeat(b["vec"].to_numpy(), m)})
+            yield pd.DataFrame({"list": near.ravel(), "query_id": np.repeat(b["id"].to_numpy(), m), "query_row": np.repeat(b["row"].to_numpy(), m), "qvec": np.repeat(b["vec"].to_numpy(), m)})
 
-    asked = filed.where(is_query(F.col("id"))).select("id", "vec").mapInPandas(aim, "list int, query_id bigint, qvec binary")
-    asked = asked.join(F.broadcast(sizes), "list").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells")
+    row = F.xxhash64("id", "vec")
+    asked = stage(filed.where(is_query(F.col("id"))).select("id", row.alias("row"), "vec").mapInPandas(aim, "list int, query_id bigint, query_row bigint, qvec binary"))
+    blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("blocks"))
+    sizes = stage(sizes.join(F.broadcast(blocks), "list"))  # lists that nothing asks for go
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cells = filed.join(F.broadcast(sizes), "list").withColumn("block", upto("blocks")).select(
+        "list", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int").alias("cell"), "block", "id", row.alias("row"), "codes", "vec")
+    asked = asked.join(F.broadcast(sizes), "list").withColumn("block", F.pmod("query_row", F.col("blocks")).cast("int")).withColumn("cell", upto("cells")).drop("cells", "blocks")
 
     def look(key, own, queries):
         if not len(own) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "query_row": [], "vec_id": [], "score": []})
         ix, own = index.value, own.sort_values("id", kind="stable")
-        ids, codes = own["id"].to_numpy(), np.stack([np.frombuffer(c, np.uint8) for c in own["codes"]])
+        ids, rows_ = own["id"].to_numpy(), own["row"].to_numpy()
+        codes = np.stack([np.frombuffer(c, np.uint8) for c in own["codes"]])
         vec = np.stack([np.frombuffer(v) for v in own["vec"]])
         norm = np.sqrt((vec * vec).sum(1))
         error = ix.errors(vec / norm[:, None], key[0], codes)
         found = []
         for at in range(0, len(queries), 256):
-            q_ids = queries["query_id"].to_numpy()[at : at + 256]
+            q_ids, q_rows = (queries[c].to_numpy()[at : at + 256] for c in ("query_id", "query_row"))
             q = np.stack([np.frombuffer(v) for v in queries["qvec"].iloc[at : at + 256]])
             q_norm = np.sqrt((q * q).sum(1))
             unit = q / q_norm[:, None]
             tables, base = ix.tables(unit, key[0]), ((unit - ix.coarse[key[0]]) ** 2).sum(1)
             for i in range(len(q)):
                 near = tables[i][np.arange(ix.parts)[None, :], codes].sum(1)
-                near[ids == q_ids[i]] = np.inf
+                near[(ids == q_ids[i]) & (rows_ == q_rows[i])] = np.inf
                 order = np.argsort(near, kind="stable")  # ties in the order of ids
                 order = order[np.isfinite(near[order])]
                 best, rest = order[: max(rerank, k)], order[max(rerank, k) :]
@@ -182,11 +188,12 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
                     score = np.append(score, (vec[rest] * q[i]).sum(1) / (norm[rest] * q_norm[i]))
                     best = np.append(best, rest)
                 top = np.lexsort((ids[best], -score))[:k]
-                found.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[best][top], "score": score[top]}))
+                found.append(pd.DataFrame({"query_id": q_ids[i], "query_row": q_rows[i], "vec_id": ids[best][top], "score": score[top]}))
         return pd.concat(found)
 
-    hits = cells.groupBy("list", "cell").cogroup(asked.groupBy("list", "cell")).applyInPandas(look, "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    by = ("list", "cell", "block")
+    hits = cells.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(look, "query_id bigint, query_row bigint, vec_id bigint, score double")
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
