@@ -2,7 +2,7 @@
 
 A text is its lower-cased runs of letters and digits.  Each run of common words (of English, German, French and Spanish) is an
 anchor, and so is the start of the text; the chain of the ``CHAIN`` content words that follow an anchor is one signature.
-A text's fingerprint is its set of signatures, as 32-bit hashes in ascending order, eight hex digits each.  Likeness is
+A text's fingerprint is its set of signatures, as the first eight hex digits of their MD5 in ascending order.  Likeness is
 the Jaccard coefficient of two sets.  :func:`spotsig_pairs` joins near copies: sets are partitioned by their length so
 that a set only meets its own and the next partition, a common rare signature makes a candidate, lengths bound the
 Jaccard coefficient, and the rest is compared exactly.
@@ -43,20 +43,21 @@ def _let(value: Column, body) -> Column:
 
 
 def signatures(text: Column, chain: int = CHAIN, common=tuple(sorted(set(COMMON)))) -> Column:
-    """Sorted distinct 32-bit signatures of a text."""
+    """Sorted distinct signatures of a text, eight hex digits each."""
+    sign = lambda x: F.substring(F.md5(x), 1, 8)
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     marked = F.concat(F.lit("\u0001 "), F.array_join(F.transform(words, lambda w: F.when(w.isin(*common), F.lit("\u0001")).otherwise(w)), " "), F.lit(" "))
     content = F.split(F.trim(F.regexp_replace(F.regexp_replace(marked, "(?:\u0001 )+", MARK), f" {MARK}$|^{MARK}$", "")), " ")
     spots = _let(F.filter(content, lambda w: w != ""), lambda m: F.filter(
-        F.transform(m, lambda w, i: F.when(w.startswith(MARK), F.hash(F.translate(F.array_join(F.slice(m, i + 1, chain), " "), MARK, "")))), lambda x: x.isNotNull()))
+        F.transform(m, lambda w, i: F.when(w.startswith(MARK), sign(F.translate(F.array_join(F.slice(m, i + 1, chain), " "), MARK, "")))), lambda x: x.isNotNull()))
     plain = F.lower(F.coalesce(text, F.lit("")))
-    whole = F.when(plain.rlike(r"[\p{L}\p{N}]"), F.array(F.hash(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")))).otherwise(F.array().cast("array<int>"))
+    whole = F.when(plain.rlike(r"[\p{L}\p{N}]"), F.array(sign(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")))).otherwise(F.array().cast("array<string>"))
     return _let(F.array_sort(F.array_distinct(spots)), lambda s: F.when(F.size(s) > 0, s).otherwise(whole))
 
 
 def fingerprint(sigs: Column) -> Column:
-    """The set as text: eight hex digits for each signature."""
-    return F.array_join(F.transform(sigs, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0"))), "")
+    """The set as text."""
+    return F.array_join(sigs, "")
 
 
 def likeness(a: Column, b: Column, at_least: float | None = None) -> Column:

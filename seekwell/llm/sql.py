@@ -1,5 +1,7 @@
 """DuckDB SQL for the rows of the queries that SQL can express."""
 
+from .spotsigs import COMMON
+
 WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -49,4 +51,22 @@ passages as (select rid, sum(b - a)::bigint n from (select rid, a, b, substr(x,
 select doc_id, d.n::bigint n_bytes, coalesce(removed, 0) n_removed, coalesce(spans, 0) n_spans, sha256(unhex(coalesce(kept.x, d.x))) kept_sha256, coalesce(p.n, 0) n_passage
 from d left join kept using (rid) left join passages p using (rid)"""
 
-SQL = {"op1_ngram_join": NGRAM_JOIN, "op5_mix_sources": MIX_SOURCES, "op9_suffix_dedup": SUFFIX_DEDUP}
+COMMON_LIST = ", ".join(f"'{w}'" for w in sorted(set(COMMON)))
+SIGNS = """
+{0}_words as (select doc_id, list_filter(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') w, lower(t) plain from {0}),
+{0}_content as (select *, list_filter(range(1, len(w) + 1), lambda i: w[i] not in ({1})) pos from {0}_words),
+{0}_spots as (select *, list_transform(list_filter(range(1, len(pos) + 1), lambda k: pos[k] = 1 or w[pos[k] - 1] in ({1})),
+  lambda k: md5(array_to_string(list_transform(pos[k : k + 2], lambda i: w[i]), ' '))[1:8]) spots from {0}_content),
+{0}_signs as (select doc_id, case when len(spots) > 0 then list_sort(list_distinct(spots)) when len(w) > 0 then [md5(regexp_replace(plain, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))[1:8]] else []::varchar[] end s from {0}_spots)"""
+LIKE = "case when len({0}) = 0 and len({1}) = 0 then 1.0::double when len({0}) = 0 or len({1}) = 0 then 0.0::double else len(list_intersect({0}, {1}))::double / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) end"
+
+#: Signatures of every text and of its edited form.
+SPOTSIGS = f"""
+with o as (select doc_id, coalesce(text, '') t, lead(coalesce(text, '')) over w next_t, first_value(coalesce(text, '')) over w first_t,
+  lead(doc_id) over w next_id, first_value(doc_id) over w first_id from documents window w as (order by doc_id nulls first rows between unbounded preceding and unbounded following)),
+e as (select doc_id, coalesce(next_id, first_id) after, length(t)::bigint n_chars, substring(t, 1, length(t) - length(t) // 4) || substring(coalesce(next_t, first_t), 1, length(t) // 4) t from o),
+{SIGNS.format("o", COMMON_LIST)}, {SIGNS.format("e", COMMON_LIST)}
+select e.doc_id, n_chars, sha256(e.t) edited_sha256, array_to_string(a.s, '') fingerprint, array_to_string(b.s, '') edited_fingerprint, {LIKE.format("a.s", "b.s")} near_edited, {LIKE.format("a.s", "c.s")} near_next
+from e join o_signs a using (doc_id) join e_signs b using (doc_id) join o_signs c on c.doc_id = e.after"""
+
+SQL = {"op1_ngram_join": NGRAM_JOIN, "op2_spotsigs": SPOTSIGS, "op5_mix_sources": MIX_SOURCES, "op9_suffix_dedup": SUFFIX_DEDUP}
