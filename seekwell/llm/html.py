@@ -20,10 +20,11 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections import defaultdict
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,42 +137,45 @@ def lines_of(html: str) -> tuple[list[tuple[str, int]], bool]:
     return out, marked
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Numbers of the lines of ``a`` in a longest common subsequence with ``b``.
-
-    Matches are worked off line by line (their number sets the cost).  Of a line that stands many times on both pages, only the k-th
-    is aligned with the k-th.
-    """
-    places = defaultdict(list)
+def _reached(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` and the first 0, 1, 2, ... lines of ``b``, all bits of a row at once."""
+    masks: dict[int, int] = defaultdict(int)
     for j, line in enumerate(b):
-        places[line].append(j)
-    times = defaultdict(int)
+        masks[line] |= 1 << j
+    full = (1 << len(b)) - 1
+    row = full
     for line in a:
-        times[line] += 1
-    seen: dict[str, int] = defaultdict(int)
-    ends: list[int] = []
-    chain: list[tuple] = []
-    for i, line in enumerate(a):
-        where = places.get(line)
-        if not where:
-            continue
-        if len(where) * times[line] > 256:
-            k = seen[line]
-            seen[line] += 1
-            where = where[k : k + 1]
-        for j in reversed(where):
-            p = bisect_left(ends, j)
-            node = (i, chain[p - 1] if p else None)
-            if p == len(ends):
-                ends.append(j)
-                chain.append(node)
-            else:
-                ends[p], chain[p] = j, node
-    found, node = set(), chain[-1] if chain else None
-    while node:
-        found.add(node[0])
-        node = node[1]
-    return found
+        both = row & masks.get(line, 0)
+        row = ((row + both) | (row - both)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _aligned(a: list[int], b: list[int], at: int, found: set[int]) -> None:
+    """Adds the places (from ``at``) of the lines of ``a`` in one longest common subsequence with ``b``, by halving ``a``."""
+    same = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    found.update(range(at, at + same))
+    a, b, at = a[same:], b[same:], at + same
+    if not a or not b:
+        return
+    if len(a) == 1:
+        if a[0] in b:
+            found.add(at)
+        return
+    half = len(a) // 2
+    split = int(np.argmax(_reached(a[:half], b) + _reached(a[half:][::-1], b[::-1])[::-1]))
+    _aligned(a[:half], b[:split], at, found)
+    _aligned(a[half:], b[split:], at + half, found)
+
+
+def common_lines(a: list[str], b: list[str]) -> set[int]:
+    """Numbers of the lines of ``a`` in a longest common subsequence with ``b``, in memory that grows with the lines alone."""
+    number = {line: k for k, line in enumerate(dict.fromkeys(b))}
+    places = [i for i, line in enumerate(a) if line in number]  # other lines are in no common subsequence
+    own, there = [number[a[i]] for i in places], set(a)
+    found: set[int] = set()
+    _aligned(own, [number[line] for line in b if line in there], 0, found)
+    return {places[k] for k in found}
 
 
 def is_copy(lines: list[tuple[str, int]], shared: set[int], other: list[str]) -> bool:
