@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder
+
 #: Bytes that separate words: space and the ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    own = getattr(spark, "_seekwell_dir", None)
-    if own is None:
-        own = spark._seekwell_dir = "file://" + tempfile.mkdtemp(prefix="seekwell-")
-    return own
-
-
 def stage(df: DataFrame, partition_by: tuple[str, ...] = (), codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: one computation, no lineage, safe against lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = new_folder(spark, "stage")
     writer = df.write.option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

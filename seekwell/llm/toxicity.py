@@ -2,15 +2,16 @@
 
 A text is its runs of letters and digits, lower-cased.  A word enters with two inputs: a hashed word vector, and the sum
 of the hashed vectors of its byte n-grams (3 to 5) over the root of their number, so words never seen still have a shape.  Windows of ``WINDOW`` words,
-``STRIDE`` apart, cover the whole text; each runs through a GRU in both directions, attention pools the states, and
+``STRIDE`` (half a window) apart, cover the whole text, so any 13 words in a row lie in one of them; each runs through a GRU in both directions, attention pools the states, and
 a logistic unit scores the window.  A document's score is that of its highest window, calibrated on training documents.
 
-Training sees labelled rows only, at most ``FIT_ROWS`` of them (those with the smallest hash of their id), whole texts.
+Training sees labelled rows only, at most ``FIT_ROWS`` of them and ``FIT_BYTES`` of whole texts (those with the smallest hash of their
+id and text), and brings them to the driver.
 Only documents carry labels, so a toxic document teaches through its most telling window: at first the one whose
 words have the highest summed log-odds, later the one that the network itself scores highest.
 
 Defined cases: null and empty texts have one window of padding and the score that follows from it; repeated rows each
-score; labels that are null or without a document are left out; with no label of one kind all scores are the share of
+score, and texts of one id all teach; labels that are null or without a document are left out; with no label of one kind all scores are the share of
 toxic labels (0 without labels); an empty table gives an empty result; extra columns do not matter.
 """
 
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from .bytescan import ALNUM, LOWER, buffers, pieces, span_hashes, words
 from .common import crc_mod5, read
 
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE = 24, 12
 WORDS, GRAMS, DIM, HIDDEN = 8192, 16384, 8, 8
-FIT_ROWS = 3_200
+FIT_ROWS, FIT_BYTES = 3_200, 24 << 20
 PIECE = 1 << 20
 
 
@@ -235,17 +236,20 @@ def train(texts: Texts, y: np.ndarray, rounds: int = 7, batch: int = 128, rate:
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Network | float:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Network | float:
     """A network from the labelled rows outside the held-out fifth, or the share of toxic labels if one kind is missing."""
     known = labels.where(F.col("toxic").isin(0, 1) & (crc_mod5() != 0) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("double").alias("_toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    own = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "_toxic", "doc_id")  # bounded by fit_rows
-    table = own.limit(2 * fit_rows).toPandas().sort_values(["doc_id", "text"], kind="stable", na_position="first")
-    y = table["_toxic"].to_numpy(np.float64)
+    text = F.coalesce("text", F.lit("")).alias("text")
+    own = docs.select("doc_id", text).join(F.broadcast(known), "doc_id")  # bounded by fit_rows
+    order = [F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text"]
+    sizes = own.select(*order[:3], F.octet_length("text").alias("n")).toDF("h", "doc_id", "t", "n").orderBy("h", "doc_id", "t", "n").limit(fit_rows).collect()
+    rows = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), fit_bytes, "right"))
+    table = own.orderBy(*order).limit(max(1, rows)).select("text", "_toxic").toArrow()
+    y = table.column("_toxic").to_numpy()
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
-    data, offsets = buffers(pa.array(table["text"], pa.large_string()))
-    return train(Texts(data, offsets), y)
+    return train(Texts(*buffers(table.column("text"))), y)
 
 
 def _score(batches, model):
