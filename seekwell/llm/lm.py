@@ -1,21 +1,22 @@
 """Language-model scoring with an Elias-Fano n-gram trie that is spread over shards.
 
-Model.  Unigrams have add-half probabilities; a bigram has the Dirichlet-smoothed probability
-(c(a b) + MU * p(b)) / (c(a) + MU).  A text is its lower-cased words and one end token; before the first word stands
-a start context.  Bigram counts live in tries, one a shard: a monotone Elias-Fano level of contexts, a monotone level
-of pointers, and a level of successors that are made monotone by adding the number of their context (so a search
-stays within one context's range).  Counts are quantised to 8 bits: exact up to 32, then in steps of about 6 %.  A
-shard writes its levels to one file of its task and queries them through a memory map.
+Model.  Unigrams have add-half probabilities; bigrams are smoothed by absolute discounting with interpolation,
+max(c(a b) - DISCOUNT, 0) / c(a) + DISCOUNT * successors(a) / c(a) * p(b).  A text is its lower-cased words and one end token; before the
+first word stands a start context.  Tries, one a shard, hold the discounted probabilities and the back-off weights: a
+monotone Elias-Fano level of contexts, a monotone level of pointers, and a level of successors that are made monotone by
+adding the number of their context (so a search stays within one context's range), with log probabilities and weights
+quantised to 8 bits in steps of ``STEP`` decades.  A search finds the bucket of equal high bits by two selections and goes on in there.
+A shard writes its levels to one file of its task and queries them through a memory map.
 
 Jobs.  (1) Tasks scan whole texts into chunks of about a million tokens: word numbers for each token and the chunk's
 distinct words.  (2) Each chunk asks for its distinct words and bigrams, once each, and brings its own training
-counts along; shards (by word, or by context and a slice of the successor, so that a frequent word is spread over
-many tasks) add up the counts, build tries, and answer.  (3) Answers meet their chunk, which sums log
-probabilities per document.  What is shuffled grows with the distinct n-grams of chunks, nothing is broadcast, and the
-driver sees two totals.
+counts along; shards (by word, or by context) add up the counts, build tries, and answer.  A context with more than 1 / ``HOT`` of all
+tokens (so of at most ``HOT`` such words) is spread over many shards by slices of its successors: each holds probabilities
+within its slice and the slice's total.  (3) Answers meet their chunk, which sums log probabilities per document.  What is
+shuffled grows with the distinct n-grams of chunks, nothing but the hot words is broadcast, and the driver sees totals and hot words.
 
 Defined cases: null text counts as empty (one end token); a null doc_id trains; repeated rows each count; with no
-training rows all scores come from the add-half formula with N = V = 0.
+training rows all scores come from the add-half formula with N = V = 0; an empty table gives an empty result; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 from .bytescan import LOWER, buffers, mix, pieces, span_hashes, words
 from .common import crc_mod5, read, stage
 
-MU = 64.0
+DISCOUNT, STEP = 0.75, 0.04
 CHUNK_TOKENS = 1 << 20
-SLICES = 16
+HOT = 4096
 END, START = np.uint64(0x1), np.uint64(0x2)
 SHARD_BYTES = 24_000_000
 
@@ -70,6 +71,18 @@ class Bits:
         left = left - np.where(byte > 0, upto[at, np.maximum(byte - 1, 0)], 0).astype(np.int64)
         return word.astype(np.int64) * 64 + byte * 8 + _NTH[rows[at, byte], left]
 
+    def select_zero(self, i: np.ndarray) -> np.ndarray:
+        """Place of the i-th bit that is not set."""
+        words = np.arange(len(self.sums), dtype=np.int64) * 64 - self.sums
+        word = np.searchsorted(words, i, "right") - 1
+        left = i.astype(np.int64) - words[word]
+        rows = ~self.raw.reshape(-1, 8)[word]
+        upto = np.cumsum(_POP[rows], axis=1)
+        byte = (upto <= left[:, None]).sum(1)
+        at = np.arange(len(i))
+        left = left - np.where(byte > 0, upto[at, np.maximum(byte - 1, 0)], 0).astype(np.int64)
+        return word.astype(np.int64) * 64 + byte * 8 + _NTH[rows[at, byte], left]
+
 
 class EliasFano:
     """A non-decreasing sequence of unsigned integers: low bits packed, high bits in unary."""
@@ -89,7 +102,7 @@ class EliasFano:
             low = np.zeros(0, np.uint8)
         low = np.concatenate([low, np.zeros(8, np.uint8)])
         high = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        unary = np.zeros(int(high[-1]) + 1 if n else 0, np.uint8)
+        unary = np.zeros(int(high[-1]) + 2 if n else 0, np.uint8)  # ends with a bit that is not set
         unary[high] = 1
         return EliasFano(n, bits, low, Bits.of(np.packbits(unary, bitorder="little")))
 
@@ -104,8 +117,19 @@ class EliasFano:
         return (high << np.uint64(self.low_bits)) | ((window >> (at & 7).astype(np.uint64)) & mask)
 
     def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """First place in [lo, hi) with a value of at least x (hi if none), for many queries at once."""
+        """First place in [lo, hi) with a value of at least x (hi if none), for many queries at once.
+
+        Values with fewer high bits than x end where a zero of the unary part says; only those with equal high bits are compared.
+        """
         lo, hi = lo.astype(np.int64).copy(), hi.astype(np.int64).copy()
+        if not self.n:
+            return hi
+        last = int(self.ones.select(np.array([self.n - 1]))[0]) - (self.n - 1)
+        high = (x >> np.uint64(self.low_bits)).astype(np.int64)
+        known = np.minimum(high, last)
+        first = np.where(known > 0, self.ones.select_zero(np.maximum(known - 1, 0)) - np.maximum(known - 1, 0), 0)
+        after = np.where(high > last, self.n, self.ones.select_zero(known) - known)
+        lo, hi = np.minimum(np.maximum(lo, np.where(high > last, self.n, first)), hi), np.minimum(hi, np.maximum(lo, after))
         live = np.flatnonzero(lo < hi)
         while len(live):
             mid = (lo[live] + hi[live]) >> 1
@@ -116,21 +140,22 @@ class EliasFano:
         return lo
 
 
-def quantise(counts: np.ndarray) -> np.ndarray:
-    c = np.maximum(counts.astype(np.float64), 1)
-    return np.where(c <= 32, c, np.minimum(255, 32 + np.round(np.log(c / 32) / np.log(1.06)))).astype(np.uint8)
+def quantise(p: np.ndarray) -> np.ndarray:
+    """Codes 1 to 255 of positive numbers up to 1, by their logarithm; 0 for 0."""
+    with np.errstate(divide="ignore"):
+        return np.where(p > 0, 1 + np.clip(np.round(-np.log10(p) / STEP), 0, 254), 0).astype(np.uint8)
 
 
 def dequantise(codes: np.ndarray) -> np.ndarray:
-    q = codes.astype(np.float64)
-    return np.where(q <= 32, q, 32 * 1.06 ** (q - 32))
+    return np.where(codes > 0, 10.0 ** (-STEP * (codes.astype(np.float64) - 1)), 0.0)
 
 
 class Trie:
-    """Contexts -> pointers -> successors with quantised counts, in Elias-Fano levels of one file."""
+    """Contexts -> pointers -> successors with quantised probabilities, in Elias-Fano levels of one file; contexts have a back-off weight and a total."""
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
-        self.contexts, self.pointers, self.successors, self.codes = contexts, pointers, successors, codes
+    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, probabilities: np.ndarray, weights: np.ndarray, totals: np.ndarray):
+        self.contexts, self.pointers, self.successors = contexts, pointers, successors
+        self.probabilities, self.weights, self.totals = probabilities, weights, totals
 
     @staticmethod
     def of(ctx: np.ndarray, succ: np.ndarray, counts: np.ndarray) -> Trie:
@@ -145,15 +170,18 @@ class Trie:
         start = np.ones(len(ctx), bool)
         start[1:] = ctx[1:] != ctx[:-1]
         heads = np.flatnonzero(start)
-        number = (np.cumsum(start) - 1).astype(np.uint64)
+        number = (np.cumsum(start) - 1).astype(np.int64)
+        totals = np.add.reduceat(counts, heads).astype(np.float64) if len(heads) else np.zeros(0)
+        fan = np.diff(np.append(heads, len(ctx)))
         return Trie(
             EliasFano.of(ctx[heads], 1 << 64), EliasFano.of(np.concatenate([heads, [len(ctx)]]), len(ctx) + 1),
-            EliasFano.of((number << np.uint64(32)) | succ, max(1, len(heads)) << 32), quantise(counts))
+            EliasFano.of((number.astype(np.uint64) << np.uint64(32)) | succ, max(1, len(heads)) << 32),
+            quantise((counts - DISCOUNT) / totals[number]), quantise(DISCOUNT * fan / totals), totals)
 
     def mapped(self, file) -> Trie:
         """The same trie with its levels in ``file``, read through a memory map."""
         levels, parts, at = (self.contexts, self.pointers, self.successors), [], 0
-        arrays = [a for e in levels for a in (e.low, e.ones.raw, e.ones.sums)] + [self.codes]
+        arrays = [a for e in levels for a in (e.low, e.ones.raw, e.ones.sums)] + [self.probabilities, self.weights, self.totals]
         for a in arrays:
             raw = a.tobytes()
             file.write(raw + b"\0" * (-len(raw) % 8))
@@ -164,13 +192,13 @@ class Trie:
         whole = np.memmap(file.name, np.uint8, "r")
         views = [whole[o : o + n * np.dtype(t).itemsize].view(t) for o, t, n in parts]
         made = [EliasFano(e.n, e.low_bits, views[3 * i], Bits(views[3 * i + 1], views[3 * i + 2])) for i, e in enumerate(levels)]
-        return Trie(*made, views[9])
+        return Trie(*made, *views[9:])
 
-    def codes_of(self, ctx: np.ndarray, sizes: np.ndarray, succ: np.ndarray) -> np.ndarray:
-        """Code of each asked bigram, 0 if never seen; ``ctx[i]`` is asked for ``sizes[i]`` successors in turn."""
+    def look_up(self, ctx: np.ndarray, sizes: np.ndarray, succ: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code of each asked bigram, weight code and total of each context), 0 if never seen; ``ctx[i]`` is asked for ``sizes[i]`` successors in turn."""
         n = self.contexts.n
         if not n or not len(ctx):
-            return np.zeros(len(succ), np.uint8)
+            return np.zeros(len(succ), np.uint8), np.zeros(len(ctx), np.uint8), np.zeros(len(ctx))
         at = self.contexts.successor(ctx, np.zeros(len(ctx), np.int64), np.full(len(ctx), n))
         safe = np.minimum(at, n - 1)
         known = (at < n) & (self.contexts.get(safe) == ctx)
@@ -181,13 +209,13 @@ class Trie:
         hit = np.flatnonzero(found < hi)
         hit = hit[self.successors.get(found[hit]) == key[hit]]
         out = np.zeros(len(succ), np.uint8)
-        out[hit] = self.codes[found[hit]]
-        return out
+        out[hit] = self.probabilities[found[hit]]
+        return out, np.where(known, self.weights[safe], 0).astype(np.uint8), np.where(known, self.totals[safe], 0.0)
 
 
 # ------------------------------------------------------------------ chunks
 
-CHUNK = "chunk long, doc_ids array<bigint>, held_out array<boolean>, n_tokens array<bigint>, words binary, tokens binary"
+CHUNK = "chunk long, doc_ids array<bigint>, held_out array<boolean>, n_tokens array<bigint>, words binary, tokens binary, hot array<struct<word:bigint,n:bigint>>"
 
 
 def _chunks(batches, chunk_tokens: int):
@@ -198,10 +226,14 @@ def _chunks(batches, chunk_tokens: int):
     def flush():
         nonlocal number, ids, held, counts, hashes, total
         uniq, idx = np.unique(np.concatenate(hashes), return_inverse=True)
+        often = np.bincount(idx)
+        names, often = np.append(uniq, START), np.append(often, sum(map(len, counts)))  # a start context for each text
+        top = np.flatnonzero(often * HOT > len(idx))
         row = pa.RecordBatch.from_arrays(
             [pa.array([part << 32 | number], pa.int64()), pa.array([sum(ids, [])], pa.list_(pa.int64())), pa.array([sum(held, [])], pa.list_(pa.bool_())),
-             pa.array([np.concatenate(counts)], pa.list_(pa.int64())), pa.array([uniq.tobytes()], pa.binary()), pa.array([idx.astype("<u4").tobytes()], pa.binary())],
-            ["chunk", "doc_ids", "held_out", "n_tokens", "words", "tokens"])
+             pa.array([np.concatenate(counts)], pa.list_(pa.int64())), pa.array([uniq.tobytes()], pa.binary()), pa.array([idx.astype("<u4").tobytes()], pa.binary()),
+             pa.array([[{"word": w, "n": n} for w, n in zip(names[top].view(np.int64).tolist(), often[top].tolist(), strict=True)]], pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())])))],
+            ["chunk", "doc_ids", "held_out", "n_tokens", "words", "tokens", "hot"])
         number, ids, held, counts, hashes, total = number + 1, [], [], [], [], 0
         return row
 
@@ -240,42 +272,70 @@ def _bigrams(row) -> dict:
     count = np.bincount(inverse[train], minlength=len(keys))
     ctx, succ = keys // len(uniq), keys % len(uniq)
     return {"uniq": uniq, "tok": tok, "n": n, "inverse": inverse, "ctx": ctx, "succ": succ, "count": count,
-            "word_count": np.bincount(tok[train], minlength=len(uniq)), "train_docs": int((~np.asarray(row["held_out"], bool)).sum())}
+            "word_count": np.bincount(tok[train], minlength=len(uniq))}
 
 
-def _routes(b: dict, shards: int):
-    """Shard of each word and of each bigram; order of bigrams by shard, context and successor."""
+def _shard(names: np.ndarray, slices: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(names + slices.astype(np.uint64) * np.uint64(0x9E37)) % np.uint64(shards)).astype(np.int64)
+
+
+def _routes(b: dict, shards: int, hot: dict[int, int]):
+    """Of a chunk: order of its bigrams by shard, context and successor; its heads (shard, context, number of bigrams) in that order, with all
+    shards of a hot context; order of its words by shard."""
     names = np.append(b["uniq"], START)
-    slices = (mix(b["uniq"] + np.uint64(9)) % np.uint64(SLICES))[b["succ"]]
-    shard = (mix(names[b["ctx"]] + slices * np.uint64(0x9E37)) % np.uint64(shards)).astype(np.int64)
+    of = np.ones(len(names), np.uint64)  # slices of each context
+    table = np.array(sorted(hot), np.int64).view(np.uint64)
+    table.sort()
+    if len(table):
+        at = np.minimum(np.searchsorted(table, names), len(table) - 1)
+        is_hot = table[at] == names
+        of[is_hot] = [hot[int(w)] for w in names[is_hot].view(np.int64)]
+    shard = _shard(names[b["ctx"]], mix(b["uniq"] + np.uint64(9))[b["succ"]] % of[b["ctx"]], shards)
     order = np.lexsort((b["succ"], b["ctx"], shard))
+    key = shard * len(names) + b["ctx"]
+    wide = np.flatnonzero(of > 1)
+    wide = wide[np.isin(wide, b["ctx"])]
+    every, at = np.repeat(wide, of[wide].astype(np.int64)), np.concatenate([np.zeros(0, np.int64), *[np.arange(int(of[c])) for c in wide]])
+    heads = np.unique(np.concatenate([key, _shard(names[every], at, shards) * len(names) + every]))
+    sizes = np.bincount(np.searchsorted(heads, key), minlength=len(heads))
     word_shard = (mix(b["uniq"] + np.uint64(3)) % np.uint64(shards)).astype(np.int64)
-    return names, shard[order], order, np.argsort(word_shard, kind="stable"), np.sort(word_shard)
+    return names, order, heads // len(names), heads % len(names), sizes, np.argsort(word_shard, kind="stable"), np.sort(word_shard)
+
+
+ASK = "kind string, shard int, chunk long, n_heads long, n_keys long, ctx binary, sizes binary, keys binary, counts binary"
 
 
-ASK = "kind string, shard int, chunk long, ctx binary, sizes binary, keys binary, counts binary"
+def _packed(x: np.ndarray) -> bytes:
+    """Small numbers by planes of their bytes, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
 
 
-def _asks(batches, shards: int):
+def _unpacked(raw: bytes, n: int, kind: str) -> np.ndarray:
+    if not n:
+        return np.zeros(0, kind)
+    width = np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.decompress(raw, n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(flat.T).view(kind).ravel()
+
+
+def _asks(batches, shards: int, hot: dict[int, int]):
     for batch in batches:
         for row in batch.to_pylist():
             b = _bigrams(row)
-            names, shard, order, words_by, word_shard = _routes(b, shards)
+            names, order, head_shard, head_ctx, sizes, words_by, word_shard = _routes(b, shards, hot)
             out = []
             for s, (lo, hi) in enumerate(_cuts(word_shard, shards)):
                 at = words_by[lo:hi]
                 if len(at):
-                    out.append(("w", s, row["chunk"], b"", b"", b["uniq"][at].tobytes(), b["word_count"][at].astype("<u4").tobytes()))
-            for s, (lo, hi) in enumerate(_cuts(shard, shards)):
-                at = order[lo:hi]
-                if len(at):
-                    heads = np.flatnonzero(np.concatenate([[True], np.diff(b["ctx"][at]) != 0]))
-                    sizes = np.diff(np.append(heads, len(at)))
+                    out.append(("w", s, row["chunk"], 0, len(at), b"", b"", b["uniq"][at].tobytes(), _packed(b["word_count"][at].astype("<u4"))))
+            ends = np.append(0, np.cumsum(sizes))
+            for s, (lo, hi) in enumerate(_cuts(head_shard, shards)):
+                if hi > lo:
+                    at = order[ends[lo] : ends[hi]]
                     succ = (b["uniq"][b["succ"][at]] >> np.uint64(32)).astype("<u4")
-                    out.append(("b", s, row["chunk"], names[b["ctx"][at[heads]]].tobytes(), sizes.astype("<u4").tobytes(), succ.tobytes(), b["count"][at].astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)],
-                ["kind", "shard", "chunk", "ctx", "sizes", "keys", "counts"])
+                    out.append(("b", s, row["chunk"], hi - lo, len(at), names[head_ctx[lo:hi]].tobytes(), _packed(sizes[lo:hi].astype("<u4")), succ.tobytes(), _packed(b["count"][at].astype("<u4"))))
+            types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in ASK.split(", ")])
 
 
 def _cuts(sorted_shard: np.ndarray, shards: int):
@@ -283,7 +343,7 @@ def _cuts(sorted_shard: np.ndarray, shards: int):
     return zip(edges[:-1], edges[1:], strict=True)
 
 
-ANSWER = "chunk long, kind string, shard int, answer binary, distinct long"
+ANSWER = "chunk long, kind string, shard int, answer binary, weights binary, totals binary, distinct long"
 
 
 def _answers(group):
@@ -291,17 +351,18 @@ def _answers(group):
     import pandas as pd
 
     kind, shard = group["kind"].iloc[0], group["shard"].iloc[0]
-    counts = [np.frombuffer(x, "<u4") for x in group["counts"]]
+    counts = [_unpacked(x, n, "<u4") for x, n in zip(group["counts"], group["n_keys"], strict=True)]
+    weights = totals = [b""] * len(group)
     if kind == "w":
         keys = [np.frombuffer(x, np.uint64) for x in group["keys"]]
         uniq, inv = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(inv, np.concatenate(counts)).astype("<u4" if sum(int(c.sum()) for c in counts) < 1 << 32 else "<u8")
+        sums = np.bincount(inv, np.concatenate(counts))
         cuts = np.cumsum([len(k) for k in keys])[:-1]
-        answers = [sums[x].astype("<u8").tobytes() for x in np.split(inv, cuts)]
+        answers = [_packed(sums[x].astype("<u8")) for x in np.split(inv, cuts)]
         distinct = int((sums > 0).sum())
     else:
         ctx = [np.frombuffer(x, np.uint64) for x in group["ctx"]]
-        sizes = [np.frombuffer(x, "<u4") for x in group["sizes"]]
+        sizes = [_unpacked(x, n, "<u4") for x, n in zip(group["sizes"], group["n_heads"], strict=True)]
         succ = [np.frombuffer(x, "<u4").astype(np.uint64) for x in group["keys"]]
         kept = [c > 0 for c in counts]
         trie = Trie.of(np.concatenate([np.repeat(a, n)[k] for a, n, k in zip(ctx, sizes, kept, strict=True)]),
@@ -309,16 +370,17 @@ def _answers(group):
                        np.concatenate([c[k] for c, k in zip(counts, kept, strict=True)]).astype(np.int64))
         with tempfile.NamedTemporaryFile() as f:
             trie = trie.mapped(f)
-            answers = [trie.codes_of(a, n, s).tobytes() for a, n, s in zip(ctx, sizes, succ, strict=True)]
+            found = [trie.look_up(a, n, s) for a, n, s in zip(ctx, sizes, succ, strict=True)]
             del trie
+        answers, weights, totals = [_packed(x) for x, _, _ in found], [_packed(x) for _, x, _ in found], [_packed(x.astype("<u8")) for _, _, x in found]
         distinct = 0
-    return pd.DataFrame({"chunk": group["chunk"], "kind": kind, "shard": shard, "answer": answers, "distinct": [distinct] + [0] * (len(group) - 1)})
+    return pd.DataFrame({"chunk": group["chunk"], "kind": kind, "shard": shard, "answer": answers, "weights": weights, "totals": totals, "distinct": [distinct] + [0] * (len(group) - 1)})
 
 
 SCORE = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _scores(shards: int, total: int, distinct: int, train_docs: int, mu: float):
+def _scores(shards: int, hot: dict[int, int], total: int, distinct: int):
     def run(chunk, answers):
         import pandas as pd
 
@@ -326,19 +388,26 @@ def _scores(shards: int, total: int, distinct: int, train_docs: int, mu: float):
             return pd.DataFrame(columns=[c.split()[0] for c in SCORE.split(", ")])
         row = chunk.iloc[0].to_dict()
         b = _bigrams(row)
-        _, shard, order, words_by, word_shard = _routes(b, shards)
-        got = {(k, s): a for k, s, a in zip(answers["kind"], answers["shard"], answers["answer"], strict=True)}
+        names, order, head_shard, head_ctx, sizes, words_by, word_shard = _routes(b, shards, hot)
+        got = {(k, s): x for k, s, *x in zip(*(answers[c] for c in ("kind", "shard", "answer", "weights", "totals")), strict=True)}
         c = np.zeros(len(b["uniq"]), np.int64)
         for s, (lo, hi) in enumerate(_cuts(word_shard, shards)):
             if hi > lo:
-                c[words_by[lo:hi]] = np.frombuffer(got["w", s], "<u8")
-        codes = np.zeros(len(order), np.uint8)
-        for s, (lo, hi) in enumerate(_cuts(shard, shards)):
+                c[words_by[lo:hi]] = _unpacked(got["w", s][0], hi - lo, "<u8")
+        own, weight, part, ends = np.zeros(len(order)), np.zeros(len(sizes)), np.zeros(len(sizes)), np.append(0, np.cumsum(sizes))
+        for s, (lo, hi) in enumerate(_cuts(head_shard, shards)):
             if hi > lo:
-                codes[order[lo:hi]] = np.frombuffer(got["b", s], np.uint8)
+                answer, w, t = got["b", s]
+                own[ends[lo] : ends[hi]] = dequantise(_unpacked(answer, int(ends[hi] - ends[lo]), "u1"))
+                weight[lo:hi], part[lo:hi] = dequantise(_unpacked(w, hi - lo, "u1")), _unpacked(t, hi - lo, "<u8")
+        # Slices of a context count by their share of its total; a context that was never seen leaves all to the unigram.
+        whole = np.bincount(head_ctx, part, minlength=len(names))
+        share = np.divide(part, whole[head_ctx], out=np.zeros(len(part)), where=part > 0)
+        back_off = np.where(whole > 0, np.bincount(head_ctx, weight * share, minlength=len(names)), 1.0)
         p1 = (c + 0.5) / (total + 0.5 * (distinct + 1))
-        context = np.append(c, train_docs)[b["ctx"]]
-        p2 = (np.where(codes > 0, dequantise(codes), 0.0) + mu * p1[b["succ"]]) / (context + mu)
+        p2 = np.empty(len(order))
+        p2[order] = own * np.repeat(share, sizes)
+        p2 += back_off[b["ctx"]] * p1[b["succ"]]
         cuts = np.cumsum(b["n"]) - b["n"]
         add = lambda x: np.add.reduceat(x, cuts)
         return pd.DataFrame({
@@ -349,23 +418,26 @@ def _scores(shards: int, total: int, distinct: int, train_docs: int, mu: float):
     return run
 
 
-def score_documents(docs: DataFrame, held_out, mu: float = MU, chunk_tokens: int = CHUNK_TOKENS, shards: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, chunk_tokens: int = CHUNK_TOKENS, shards: int | None = None) -> DataFrame:
     """Scores of all rows of ``docs`` (``doc_id, text``), learned from those where the column ``held_out`` is false."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     chunks = stage(rows.mapInArrow(lambda it: _chunks(it, chunk_tokens), CHUNK))
     sums = chunks.select(
         F.aggregate(F.arrays_zip("n_tokens", "held_out"), F.lit(0).cast("long"), lambda a, x: a + F.when(~x["held_out"], x["n_tokens"]).otherwise(0)).alias("t"),
-        F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), F.size(F.filter("held_out", lambda x: ~x)).alias("d"),
-    ).agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.sum("d").alias("d")).first()
+        F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"),
+    ).agg(F.sum("t").alias("t"), F.sum("n").alias("n")).first()
     if not sums["n"]:
         return spark.createDataFrame([], SCORE)
     count = shards or max(4, int(sums["n"] * 6 // SHARD_BYTES))
-    asks = chunks.select("chunk", "doc_ids", "held_out", "n_tokens", "words", "tokens").mapInArrow(lambda it: _asks(it, count), ASK)
+    # Words with more than 1 / HOT of all tokens (fewer than HOT of them) and the slices of their successors: about as many as the shards that they would fill.
+    often = chunks.select(F.explode("hot").alias("h")).groupBy("h.word").agg(F.sum("h.n").alias("n")).where(F.col("n") * HOT > sums["n"]).collect()
+    hot = {r["word"]: s for r in often if (s := -(-r["n"] * 2 * count // sums["n"])) > 1}
+    some = chunks.select("chunk", "doc_ids", "held_out", "n_tokens", "words", "tokens")
+    asks = some.mapInArrow(lambda it: _asks(it, count, hot), ASK)
     answers = stage(asks.repartition(2 * count, "kind", "shard").groupBy("kind", "shard").applyInPandas(_answers, ANSWER))
     distinct = answers.agg(F.sum("distinct").alias("v")).first()["v"] or 0
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
-        _scores(count, sums["t"] or 0, distinct, sums["d"] or 0, mu), SCORE)
+    return some.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_scores(count, hot, sums["t"] or 0, distinct), SCORE)
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:
