@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder
 from .text import blank, distinct_folded
 
 # Weights of the fields, and words for decades.
@@ -166,12 +167,24 @@ def render_rerank_requests(shortlist: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def plan_batches(df: DataFrame, size: int, group_col: str, order_col: str) -> DataFrame:
-    """Adds ``batch, pos``: rows of a group in chunks of ``size``, in the order of ``order_col``; batches are numbered across groups."""
-    own = df.withColumn("_n", F.row_number().over(Window.partitionBy(group_col).orderBy(order_col)) - 1)
-    per = df.groupBy(group_col).agg(F.ceil(F.count("*") / size).alias("_b"))
-    per = per.withColumn("_first", F.coalesce(F.sum("_b").over(Window.orderBy(group_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_b")
-    return own.join(F.broadcast(per), group_col).select(
-        *df.columns, (F.col("_first") + F.floor(F.col("_n") / size)).cast("long").alias("batch"), (F.col("_n") % size).cast("int").alias("pos"))
+    """Adds ``batch, pos``: rows of a group in chunks of ``size``, in the order of ``order_col``; batches are numbered across groups.
+
+    Rows are range-sorted and written once; a row's number is its place in its partition and what earlier partitions hold of its group, so
+    a group with very many rows is dealt over tasks.
+    """
+    keys = [F.col(group_col).asc_nulls_first(), F.col(order_col).asc_nulls_first()]
+    path = new_folder(df.sparkSession, "batches")
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_n", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumn("_p", F.shiftright("_n", 33))
+    parts = rows.groupBy(F.col(group_col).alias("_g"), F.col("_p").alias("_q")).agg(F.min("_n").alias("_low"), F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("_g").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = parts.groupBy("_g").agg(F.ceil(F.sum("_c") / size).alias("_b"))
+    first = F.coalesce(F.sum("_b").over(Window.orderBy(F.col("_g").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a group
+    groups = groups.select(F.col("_g").alias("_h"), first.alias("_first"))
+    parts = parts.withColumn("_before", before).join(groups, F.col("_g").eqNullSafe(F.col("_h")))
+    at = (F.col("_n") - F.col("_low") + F.col("_before")).alias("_at")
+    own = rows.join(parts, F.col(group_col).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q"))).select(*df.columns, "_first", at)
+    return own.select(*df.columns, (F.col("_first") + F.floor(F.col("_at") / size)).cast("long").alias("batch"), (F.col("_at") % size).cast("int").alias("pos"))
 
 
 def allows_enrichment(spent: Column, cap: Column, estimate: Column) -> Column:

@@ -39,7 +39,7 @@ def tokenize(text: Column) -> Column:
 
 def stem(token: Column) -> Column:
     """A final ``s`` off tokens of four letters or more that do not end in ss, us or is and hold no digit."""
-    plural = token.rlike(r"^[^\p{Nd}]{3,}s$") & ~token.rlike("(?:ss|us|is)$")
+    plural = token.endswith("s") & token.rlike(r"^[^\p{Nd}]{3,}s$") & ~token.rlike("(?:ss|us|is)$")  # most tokens need no pattern
     return F.when(plural, F.substring(token, F.lit(1), F.length(token) - 1)).otherwise(token)
 
 
@@ -62,12 +62,14 @@ def query_key(query: Column, user: Column, generation: Column) -> Column:
 def trigrams(tokens: Column) -> Column:
     """Distinct character trigrams of tokens joined by spaces; none for fewer than three characters.
 
-    Characters are laid beside their successors, which takes one pass; cutting each trigram out of the text would take one pass each.
+    One pass of a pattern that looks ahead.  It steps by code units, so texts with characters beyond the basic plane have theirs laid
+    beside their successors instead.
     """
-    chars = F.split(F.array_join(tokens, " "), "")
     beside = lambda c, k: F.slice(c, F.lit(k), F.greatest(F.size(c) - k + 1, F.lit(0)))
-    grams = F.transform(F.array(chars), lambda c: F.zip_with(F.zip_with(c, beside(c, 2), lambda a, b: F.concat(a, b)), beside(c, 3), lambda a, b: F.concat(a, b)))[0]
-    return F.array_distinct(F.filter(grams, lambda g: g.isNotNull()))
+    wide = lambda s: F.transform(F.array(F.split(s, "")), lambda c: F.zip_with(F.zip_with(c, beside(c, 2), lambda a, b: F.concat(a, b)), beside(c, 3), lambda a, b: F.concat(a, b)))[0]
+    plain = lambda s: F.regexp_extract_all(s, F.lit("(?s)(?=(...))"), F.lit(1))
+    grams = F.transform(F.array(F.array_join(tokens, " ")), lambda s: F.when(s.rlike(r"[\x{10000}-\x{10FFFF}]"), F.filter(wide(s), lambda g: g.isNotNull())).otherwise(plain(s)))[0]
+    return F.array_distinct(grams)
 
 
 def word_count(text: Column) -> Column:

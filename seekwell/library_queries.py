@@ -229,7 +229,8 @@ def hybrid_search(spark, d):
     qv = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(rows.withColumnRenamed("item_id", "query_id"), "query_id")
     answers = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(F.array(*[F.lit(x) for x in (2, 0, 99, 2)])).alias("pos", "i")).withColumn("why", F.lit("fits"))
     p = bench_plans(spark, d)
-    hits = search.hybrid_search(p.select("query_id", "text"), lexical.build_bm25(doc_sections(spark, d)), doc_items(spark, d), rows, p.select("query_id", "semantic", "plan"), qv, answers)
+    asked = p.select("query_id", "text")
+    hits = search.hybrid_search(asked, lexical.build_for(asked, doc_sections(spark, d)), doc_items(spark, d), rows, p.select("query_id", "semantic", "plan"), qv, answers)
     return hits.select("query_id", "item_id", *_long("rank"), F.round("score", 9).alias("score"), "name", "year", "why", "model_why")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stem, terms, tokenize
+from ..sources.shared import new_folder
 
 NAME_FIELDS = ("Title", "OriginalTitle", "People")
 
@@ -76,15 +77,27 @@ def bm25_search(queries: DataFrame, index: Bm25Tables, limit: int, k1: float = 1
     return top_k(scored, limit)
 
 
-def bm25_once(queries: DataFrame, sections: DataFrame, limit: int, **options) -> DataFrame:
-    """The same for sections that are searched once: only terms that are asked for are shuffled, and nothing is kept."""
-    asked = query_terms(queries).select("term").distinct()
-    each = sections.select("item_id", "weight", F.explode(terms(F.col("text"))).alias("term")).join(asked, "term", "left_semi")
-    postings = each.groupBy("item_id", "term").agg(F.sum("weight").alias("tf"))
-    lengths = lengths_of(sections)
+def build_for(queries: DataFrame, sections: DataFrame) -> Bm25Tables:
+    """Index of the terms that ``queries`` ask for, written to the shared folder: sections are tokenised once, and only asked terms are shuffled.
+
+    The empty term stands for an item's length.
+    """
+    asked = query_terms(queries).select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    pair = lambda term, weight: F.struct(term.alias("term"), weight.cast("double").alias("weight"))
+    both = lambda t: F.concat(F.transform(t, lambda x: pair(x, F.col("weight"))), F.array(pair(F.lit(""), F.col("weight") * F.size(t))))
+    each = sections.select("item_id", F.explode(F.transform(F.array(terms(F.col("text"))), both)[0]).alias("p")).select("item_id", "p.*").join(asked, "term", "left_semi")
+    path = new_folder(queries.sparkSession, "postings")
+    each.groupBy("item_id", "term").agg(F.sum("weight").alias("tf")).write.parquet(path)
+    all_of = queries.sparkSession.read.parquet(path)
+    postings, lengths = all_of.where("term <> ''"), all_of.where("term = ''").select("item_id", F.col("tf").alias("len"))
     frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
     corpus = lengths.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("len")).alias("avg_len"))
-    return bm25_search(queries, Bm25Tables(postings, lengths, frequencies, corpus), limit, **options)
+    return Bm25Tables(postings, lengths, frequencies, corpus)
+
+
+def bm25_once(queries: DataFrame, sections: DataFrame, limit: int, **options) -> DataFrame:
+    """The same for sections that are searched once."""
+    return bm25_search(queries, build_for(queries, sections), limit, **options)
 
 
 def name_tokens(sections: DataFrame) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lexical import top_k
 
+SLICE_ROWS = 20_000
+
 
 def check_vectors(rows: DataFrame) -> int:
     """Common width of all vectors; refuses tables of mixed widths (0 for an empty table)."""
@@ -30,19 +32,27 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _slices(rows: DataFrame) -> int:
+    """So many that each holds at most ``SLICE_ROWS`` rows, and one for each core at least."""
+    return max(1, rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // SLICE_ROWS))
+
+
 def knn_items(query_vectors: DataFrame, rows: DataFrame, limit: int, blocks: int = 16, digits: int = 9) -> DataFrame:
     """``query_id, item_id, score, rank``: items by the best cosine of their rows to each query vector.
 
-    Queries (a stated set) are dealt in ``blocks``; each block meets every row once, in slices, and only the best score per
-    query and item leaves a task.  Nothing is broadcast, so either side may grow.
+    Queries (a stated set) are dealt in ``blocks``; each block meets every row once, in slices.  A slice gives out its ``limit`` best
+    items for each query: an item among the best of all is among the best of the slice that holds its nearest row.  Nothing is
+    broadcast, so either side may grow.
     """
-    slices = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    slices = _slices(rows)
     q = query_vectors.select("query_id", unit(F.col("vec")).alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_b"))
     q = q.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     r = rows.select("item_id", unit(F.col("vec")).alias("v"), F.pmod(F.xxhash64("item_id", "vec"), F.lit(slices)).cast("int").alias("_s"))
     r = r.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    scored = q.join(r, ["_b", "_s"]).select("query_id", "item_id", F.round(dot(F.col("q"), F.col("v")), digits).alias("score"))
-    return top_k(scored.groupBy("query_id", "item_id").agg(F.max("score").alias("score")), limit)
+    scored = q.join(r, ["_b", "_s"]).select("_b", "_s", "query_id", "item_id", F.round(dot(F.col("q"), F.col("v")), digits).alias("score"))
+    own = scored.groupBy("_b", "_s", "query_id", "item_id").agg(F.max("score").alias("score"))  # dealt as the join is: no shuffle
+    best = own.withColumn("_k", F.row_number().over(Window.partitionBy("_b", "_s", "query_id").orderBy(F.desc("score"), "item_id"))).where(F.col("_k") <= limit)
+    return top_k(best.groupBy("query_id", "item_id").agg(F.max("score").alias("score")), limit)
 
 
 def knn_blocks(query_vectors: DataFrame, rows: DataFrame, limit: int, slices: int | None = None) -> DataFrame:
@@ -50,7 +60,7 @@ def knn_blocks(query_vectors: DataFrame, rows: DataFrame, limit: int, slices: in
     import numpy as np
     import pandas as pd
 
-    slices = slices or max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    slices = slices or _slices(rows)
     q = query_vectors.select("query_id", unit(F.col("vec")).alias("q")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     r = rows.select("item_id", unit(F.col("vec")).alias("v"), F.pmod(F.xxhash64("item_id"), F.lit(slices)).cast("int").alias("_s"))  # rows of an item stay together
 
