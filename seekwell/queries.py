@@ -170,12 +170,17 @@ def short_queries(spark, d: str) -> DataFrame:
 
 SHORT = r"""(select conv_id*1000+turn query_id, case when turn % 4 = 3 then '"' || w || '"' when turn % 4 = 1 then (['red widget','small ri','the small ring','widget 1994','under blue'])[cast(conv_id % 5 + 1 as integer)] else w end "text"
 from (select conv_id, turn, array_to_string((string_split(regexp_replace(text,'\s+',' ','g'),' '))[1:cast(turn % 6 + 1 as integer)],' ') w from conversations))"""
-KNOWN = f"""names as (select distinct unnest({terms('x')}) token from (select p_name x from part union select p_brand from part)),
+def known_sql(queries: str) -> str:
+    """CTE ``known`` of queries (query_id, text)."""
+    return f"""names as (select distinct unnest({terms('x')}) token from (select p_name x from part union select p_brand from part)),
 pre as (select distinct substring(token,1,cast(n as integer)) k from names, range(1,40) r(n) where n <= length(token)),
-qt as (select query_id, unnest({tok('text')}) raw from {SHORT}),
+qt as (select query_id, unnest({tok('text')}) raw from {queries}),
 known as (select query_id, bool_and(raw in (select k from pre) or {STEM.format('raw')} in (select token from names)) known from qt group by 1)"""
 
 
+KNOWN = known_sql(SHORT)
+
+
 def part_names(spark, d: str) -> DataFrame:
     items = part_items(spark, d).withColumn("original_title", F.lit("")).withColumn("enrichment", F.lit(None).cast("struct<premise:string,moments:array<string>,themes:array<string>,asks:array<string>,spoiler:boolean>"))
     return lexical.name_tokens(fd.render_sections(items))
@@ -190,7 +195,9 @@ def _words(w) -> str:
     return "[" + ",".join("'" + x.replace("'", "''") + "'" for x in w) + "]"
 
 
-ROUTE = f"""with {KNOWN}, r as (select q.query_id, text, {tok('text')} t, coalesce(known,false) known from {SHORT} q left join known using(query_id)),
+def route_sql(queries: str) -> str:
+    """CTE ``routed`` of queries (query_id, text)."""
+    return f"""with {known_sql(queries)}, r as (select q.query_id, text, {tok('text')} t, coalesce(known,false) known from {queries} q left join known using(query_id)),
 f as (select *, len(t) n, len(list_filter(t, x -> list_contains({_words(routing.FUNCTION_WORDS)}, x))) > 0 fw,
 len(list_filter(t, x -> list_contains({_words(routing.CONSTRAINT_WORDS + routing.ERA_WORDS)}, x) or regexp_matches(x,'^[12]\\d{{3}}$'))) > 0 cw from r),
 routed as (select query_id, text, case when trim(text)='' then 'Native' when length(text)>2 and text[1]='"' and text[-1]='"' then 'Own' when n=0 then 'Native' when n<=6 and known then 'Native'
@@ -199,6 +206,9 @@ case when trim(text)='' then false when length(text)>2 and text[1]='"' and text[
 when cw then true when fw then cw or n>=5 when not known then cw or n>=5 else false end may_plan from f)"""
 
 
+ROUTE = route_sql(SHORT)
+
+
 @query(ROUTE + " select query_id, route, may_plan from routed")
 def route_queries(spark, d):
     q = short_queries(spark, d)
@@ -697,27 +707,32 @@ def library_audit(spark, d):
 
 # ------------------------------------------------------------------ evaluation
 
-@query(SEARCH + """, rel as (select b.item_id query_id, d.doc_id item_id from benchmark b, documents d where contains(d.text, substring(b.text,1,40))), hit as (select r.query_id, min(rank) rank from rel r join (select * from lex where rank<=40) l on l.query_id=r.query_id and l.item_id=r.item_id group by 1),
+@query(SEARCH + """, rel as (select b.item_id query_id, d.doc_id item_id from benchmark b, documents d where contains(d.text, b.text)), hit as (select r.query_id, min(rank) rank from rel r join (select * from lex where rank<=40) l on l.query_id=r.query_id and l.item_id=r.item_id group by 1),
 f as (select distinct query_id, cast(query_id%3 as varchar) "group" from rel), z as (select "group", rank from f left join hit using(query_id))
 select "group", count(*) queries, round(avg(case when rank<=40 then 1.0 else 0 end),6) recall_40, round(avg(case when rank<=5 then 1.0 else 0 end),6) recall_5, round(avg(case when rank<=1 then 1.0 else 0 end),6) recall_1, round(avg(coalesce(1.0/rank,0)),6) mrr from z group by rollup("group")""")
 def recall_mrr(spark, d):
-    """Benchmark texts as queries; documents that hold their first 40 characters are relevant."""
+    """Benchmark texts as queries; documents that hold one in whole are relevant to it."""
     q = bench_queries(spark, d)
     found = lexical.bm25_once(q, doc_sections(spark, d), 40)
-    heads = q.select("query_id", F.substring("text", 1, 40).alias("text"))
     docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("whole"))
-    held = dialogue.phrase_exact(heads.withColumn("text", F.regexp_replace("text", r"[\p{L}\p{Nd}]+$", "")).withColumnRenamed("query_id", "phrase_id"), doc_windows(spark, d)).select(F.col("phrase_id").alias("query_id"), F.col("window_id").alias("item_id"))
-    qrels = held.join(heads, "query_id").join(docs, F.col("item_id") == F.col("doc_id")).where(F.col("whole").contains(F.col("text"))).select("query_id", "item_id")
+    # Whatever holds the whole text holds five tokens from its inside, which finds the candidates.
+    held = dialogue.phrase_exact(phrases(spark, d), doc_windows(spark, d)).select(F.col("phrase_id").alias("query_id"), F.col("window_id").alias("item_id"))
+    qrels = held.join(q, "query_id").join(docs, F.col("item_id") == F.col("doc_id")).where(F.col("whole").contains(F.col("text"))).select("query_id", "item_id")
     ranked = evaluation.first_relevant_ids(found, qrels).withColumn("group", (F.col("query_id") % 3).cast("string"))
     out = evaluation.quality_by_group(ranked)
     return out.select("group", "queries", *[F.round(c, 6).alias(c) for c in ("recall_40", "recall_5", "recall_1", "mrr")])
 
 
-@query(ROUTE + " select cast(count(*) filter (route='Native') as bigint) native, cast(count(*) as bigint) total from routed where query_id%1000%4=1")
+ASKED = "(select cast(p_partkey as bigint) query_id, p_name \"text\" from part union all select 10000000000 + item_id, text from benchmark)"
+
+
+@query(route_sql(ASKED) + " select cast(count(*) filter (route='Native') as bigint) native, cast(count(*) as bigint) total from routed where query_id < 10000000000")
 def router_accuracy(spark, d):
-    q = short_queries(spark, d)
-    routed = routing.route(q, lexical.looks_like_known_name(q, part_names(spark, d)))
-    return evaluation.router_accuracy(routed, q.select("query_id", (F.col("query_id") % 1000 % 4 == 1).alias("router_only")))[0]
+    """Names of all parts and all benchmark texts as queries: names are what should stay native."""
+    names = _t(spark, d, "part").select(F.col("p_partkey").cast("long").alias("query_id"), F.col("p_name").alias("text"), F.lit(True).alias("router_only"))
+    q = names.union(_t(spark, d, "benchmark").select(F.col("item_id") + 10_000_000_000, "text", F.lit(False)))
+    routed = routing.route(q.select("query_id", "text"), lexical.looks_like_known_name(q, part_names(spark, d)))
+    return evaluation.router_accuracy(routed, q)[0]
 
 
 @query(LOG + """, o as (select ms, row_number() over (order by ms) - 1 r, count(*) over () n from l) select round(avg(ms),6) mean_ms, cast(min(ms) filter (r = least(cast(floor(n*0.95) as bigint), n-1)) as integer) p95_ms from o""")
