@@ -55,9 +55,19 @@ def signatures(text: Column, chain: int = CHAIN, common=tuple(sorted(set(COMMON)
     return _let(F.array_sort(F.array_distinct(spots)), lambda s: F.when(F.size(s) > 0, s).otherwise(whole))
 
 
-def fingerprint(sigs: Column) -> Column:
-    """The set as text."""
-    return F.array_join(sigs, "")
+def packed(sigs: Column) -> Column:
+    """The set in four bytes a signature."""
+    return F.unhex(F.array_join(sigs, ""))
+
+
+def fingerprint(pack: Column) -> Column:
+    """A packed set as text."""
+    return F.lower(F.hex(pack))
+
+
+def unpacked(pack: Column) -> Column:
+    """The signatures of a packed set."""
+    return F.regexp_extract_all(fingerprint(pack), F.lit(".{8}"), F.lit(0))
 
 
 def likeness(a: Column, b: Column, at_least: float | None = None) -> Column:
@@ -130,11 +140,11 @@ def spotsig_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
 def op2_spotsigs(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, and that of its text with the last quarter taken from the next document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = with_next(docs, {"sigs": signatures(F.col("text"))})
+    both = with_next(docs, {"sigs": packed(signatures(F.col("text")))})
     n = F.length("text")
     q = F.floor(n / 4).cast("int")
     both = both.withColumn("n_chars", n.cast("long")).withColumn("_edited", F.concat(F.substring("text", F.lit(1), n - q), F.substring("next_text", F.lit(1), q)))
-    both = both.withColumn("_es", signatures(F.col("_edited")))
+    both = both.withColumns({"_own": unpacked(F.col("sigs")), "_next": unpacked(F.col("next_sigs")), "_es": signatures(F.col("_edited"))})
     return both.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), fingerprint(F.col("sigs")).alias("fingerprint"),
-                       fingerprint(F.col("_es")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("_es")).alias("near_edited"),
-                       likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
+                       F.array_join("_es", "").alias("edited_fingerprint"), likeness(F.col("_own"), F.col("_es")).alias("near_edited"),
+                       likeness(F.col("_own"), F.col("_next")).alias("near_next"))
