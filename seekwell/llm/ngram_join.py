@@ -3,7 +3,7 @@
 A text is its set of word five-grams (lower-cased, divided by white space; a shorter text is one gram of all its words).
 Equal sets are one node with a multiplicity.  (1) MinHash values in ``BANDS`` bands: sets that agree in a band are tied to
 the smallest of them, and connected components of these ties are candidate groups; a pair with Jaccard 0.8 shares no band with
-probability 3e-6.  (2) A group is cut into blocks of ``BLOCK`` sets, and each pair of blocks is one cell.  In a cell, MinHash
+probability 5e-7, one with 0.3 shares any with 0.03, so texts that are loosely alike do not chain.  (2) A group is cut into blocks of ``BLOCK`` sets, and each pair of blocks is one cell.  In a cell, ``SIGNATURE`` MinHash
 values are compared ``STEP`` at a time; a pair goes when the posterior probability (uniform prior) that its Jaccard
 coefficient reaches the threshold falls below ``TOLERANCE``; the rest is compared exactly, common grams by a matrix
 product and rare ones by their lists.  (3) A cell gives out a count of links for each set and a spanning forest of its links, never
@@ -32,7 +32,7 @@ from .common import pack, read, stage, unpack
 from .graph import components
 
 N, THRESHOLD = 5, 0.8
-BANDS, ROWS = 24, 4
+BANDS, ROWS, SIGNATURE = 48, 6, 96
 STEP, TOLERANCE = 16, 1e-6
 BLOCK, PACK = 2048, 4096
 
@@ -61,7 +61,7 @@ def _multipliers(k: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 32, k, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, k, dtype=np.uint32)
 
 
-def minhash(h: np.ndarray, cuts: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
+def minhash(h: np.ndarray, cuts: np.ndarray, k: int = SIGNATURE) -> np.ndarray:
     """MinHash values (rows, k) of non-empty rows; equal grams do not matter."""
     x, (a, b) = (h >> np.uint64(32)).astype(np.uint32) ^ h.astype(np.uint32), _multipliers(k)
     out = np.empty((len(cuts), k), np.uint32)
@@ -92,7 +92,7 @@ def _describe(batches):
             sid = np.zeros(j - i, np.int64)
             bands = [None] * (j - i)
             if len(full):
-                keys = minhash(h, at[:-1][full]).reshape(len(full), BANDS, ROWS).astype(np.uint64)
+                keys = minhash(h, at[:-1][full], BANDS * ROWS).reshape(len(full), BANDS, ROWS).astype(np.uint64)
                 key = np.zeros((len(full), BANDS), np.uint64)
                 for r in range(ROWS):
                     key = pair(key, keys[:, :, r])
@@ -124,7 +124,7 @@ def _contents(batches):
 
 
 @lru_cache(maxsize=8)
-def least_matches(threshold: float, k: int = BANDS * ROWS, step: int = STEP, tolerance: float = TOLERANCE) -> tuple[tuple[int, int], ...]:
+def least_matches(threshold: float, k: int = SIGNATURE, step: int = STEP, tolerance: float = TOLERANCE) -> tuple[tuple[int, int], ...]:
     """(compared, fewest matches for which the posterior reaches the tolerance): P(s >= t | m of n) = P(Binomial(n + 1, t) <= m)."""
     out = []
     for n in range(step, k + 1, step):
