@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seekwell.llm import ann, bpe, html, licenses, lm, mixing, ngram_join, queries, spotsigs, suffix_dedup, toxicity
+from seekwell.llm.bytescan import buffers
 from seekwell.llm.common import crc_mod5, read
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, sid string, _id string, size string, places string, comp string, score string"
@@ -278,6 +279,41 @@ def test_op4_windows_cover_all():
     assert seen.all() and list(t.per_doc[1:]) == [1, 1, 1]
 
 
+def test_op4_forward_by_hand():
+    """A window's logit by plain loops over its words."""
+    texts = toxicity.Texts(*buffers(pa.array(["a bad day for the old town and its river, said nobody", "", " ".join(f"word{i}" for i in range(40)), "x"])))
+    net = toxicity.Network(3)
+    x, at, n = net.inputs(texts), texts.window(0, len(texts.start)), toxicity.HIDDEN
+    got = net.forward(x, at)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(d, words_):
+        h, out = np.zeros(n), []
+        for v in words_:
+            g, gh = v @ net.p[f"x{d}"] + net.p[f"b{d}"], h @ net.p[f"h{d}"]
+            z, r = sig(g[:n] + gh[:n]), sig(g[n : 2 * n] + gh[n : 2 * n])
+            h = h + z * (np.tanh(g[2 * n :] + r * gh[2 * n :]) - h)
+            out.append(h)
+        return out
+
+    for row, logit in zip(at, got, strict=True):
+        words_ = [x[k].astype(float) for k in row if k < len(x)]
+        both = [np.concatenate(p) for p in zip(states("f", words_), states("b", words_[::-1])[::-1], strict=True)]
+        e = np.array([np.tanh(s @ net.p["att"]) @ net.p["att_v"] for s in both])
+        w = np.exp(e) / np.exp(e).sum() if len(e) else e
+        pooled = sum((a * s for a, s in zip(w, both, strict=True)), np.zeros(2 * n))
+        assert logit == pytest.approx(float(pooled @ net.p["out"] + net.p["bias"][0]), abs=1e-4)
+    per = np.maximum.reduceat(got, texts.doc_first)
+    assert net.scores(texts) == pytest.approx(sig(net.a * per + net.b), abs=1e-5)
+
+
+def test_op4_query(spark, sf, rows):
+    """Every document, the held-out fifth by its id, the same in a second run."""
+    once, again = ({r["doc_id"]: tuple(r) for r in toxicity.op4_toxicity(spark, sf).collect()} for _ in range(2))
+    assert once == again and set(once) == {i for i, _, _ in rows}
+    assert all(held == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= score <= 1 and predicted == (score >= 0.5) for i, held, score, predicted in once.values())
+
+
 # ------------------------------------------------------------------ 5
 
 def targets_by_hand(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
@@ -656,6 +692,22 @@ def test_elias_fano():
 
 # ------------------------------------------------------------------ the pipeline
 
+def test_pipeline_odd(spark, sf):
+    """Nulls, empty and long texts, repeated rows, extra columns with clashing names, and an empty table pass all stages."""
+    import corpus_pipeline as cp
+
+    df = odd(spark, *TEXTS)
+    for docs in (df, df.limit(0)):
+        for _, f in cp.STAGES[:-1]:
+            rows_ = f(spark, docs, sf).collect()
+            docs = spark.createDataFrame(rows_, docs.schema)
+            assert docs.columns == df.columns
+        got = cp.STAGES[-1][1](spark, docs, sf).collect()
+        assert len(got) == docs.count()
+    one, many = spark.createDataFrame([r for r in df.collect() if r["doc_id"] == 1], df.schema), [r for r in TEXTS if r and r.startswith("one")]
+    assert cp.near_duplicates(spark, one, sf).count() == 1 and len(many) == 2
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as cp
 
