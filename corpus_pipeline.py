@@ -1,4 +1,10 @@
-"""A training corpus from ``documents``: toxicity, near copies, repeated passages, source mix, token ids."""
+"""A training corpus from ``documents``: toxicity, near copies, repeated passages, source mix, token ids.
+
+Each stage but the last returns the columns it was given, extra ones too, and is written and read again.  Defined cases: null and blank
+texts are kept by all stages (they are not toxic unless the classifier says so of empty text, copies of nothing, and cost the mix nothing)
+and have no tokens; rows with null or repeated ids are rows of their own, exact copies one; the mix may give a row twice; an empty table
+gives an empty result.
+"""
 
 from __future__ import annotations
 

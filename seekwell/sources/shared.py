@@ -22,5 +22,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has been written to."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has been written to; :func:`remove_folders` takes it away."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not hasattr(spark, "_seekwell_folders"):
+        spark._seekwell_folders = []
+    spark._seekwell_folders.append(path)
+    return path
+
+
+def remove_folders(spark: SparkSession) -> int:
+    """Deletes the intermediate tables that this session has written, and says how many; results that are not yet written depend on them."""
+    paths, spark._seekwell_folders = getattr(spark, "_seekwell_folders", []), []
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    return sum(bool(p.getFileSystem(hadoop).delete(p, True)) for p in (spark._jvm.org.apache.hadoop.fs.Path(x) for x in paths))
