@@ -78,18 +78,27 @@ def likeness(a: Column, b: Column, at_least: float | None = None) -> Column:
     return value if at_least is None else F.when(F.least(n, m) >= at_least * F.greatest(n, m), value)
 
 
-def in_buckets(docs: DataFrame, id_col: str = "doc_id", rows_per_bucket: int = 2_000, coarse: int = 64) -> DataFrame:
-    """Adds ``_bucket``, which grows with the id and holds about ``rows_per_bucket`` rows: equal widths within quantiles."""
-    stats = docs.agg(F.count("*").alias("n"), F.expr(f"percentile_approx({id_col}, array({', '.join(str(i / coarse) for i in range(coarse + 1))}), 10000)").alias("q")).first()
-    edges = sorted(set(stats["q"] or [0]))
+def in_buckets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 2_000, coarse: int = 64) -> DataFrame:
+    """Adds ``_bucket``, which grows with (id, hash of the text) and holds about ``rows_per_bucket`` rows: equal widths within quantiles of ids.
+
+    An id that stands at several quantiles, and null if it is frequent, have a bucket of their own that is divided by the hash.
+    """
+    stats = docs.agg(F.count("*").alias("n"), F.count_if(F.col(id_col).isNull()).alias("none"),
+                     F.expr(f"percentile_approx({id_col}, array({', '.join(str(i / coarse) for i in range(coarse + 1))}), 10000)").alias("q")).first()
+    found = [int(e) for e in stats["q"] or [0]]
+    hot = {e for e in found if found.count(e) > 1}
+    edges = sorted({*found, *(e + 1 for e in hot)})
     per = max(rows_per_bucket, math.isqrt(stats["n"]))
-    split = max(1, math.ceil(stats["n"] / max(1, len(edges) - 1) / per))
-    lows = F.array(*[F.lit(int(e)).cast("long") for e in edges])
+    split = max(1, math.ceil(stats["n"] / max(1, len(set(found)) - 1) / per), math.ceil(stats["none"] / per), *(math.ceil(found.count(e) / coarse * stats["n"] / per) for e in hot))
+    lows = F.array(*[F.lit(e).cast("long") for e in edges])
     widths = F.array(*[F.lit(max(1, math.ceil((b - a) / split))).cast("long") for a, b in zip(edges, edges[1:] + [edges[-1] + 1], strict=True)])
+    alone = F.array(*[F.lit(e in hot) for e in edges])
     i = F.col(id_col).cast("long")
     at = F.greatest(F.size(F.filter(lows, lambda e: e <= i)), F.lit(1))
-    inner = F.least(F.greatest(F.floor((i - F.element_at(lows, at)) / F.element_at(widths, at)), F.lit(0)), F.lit(split - 1))
-    return docs.withColumn("_bucket", F.when(i.isNull(), F.lit(-1).cast("long")).otherwise(at.cast("long") * split + inner.cast("long")))
+    by_hash = F.floor((F.shiftright(F.xxhash64(text_col), 32) + (1 << 31)) * split / (1 << 32))
+    by_id = F.least(F.greatest(F.floor((i - F.element_at(lows, at)) / F.element_at(widths, at)), F.lit(0)), F.lit(split - 1))
+    inner = F.when(F.element_at(alone, at), by_hash).otherwise(by_id)
+    return docs.withColumn("_bucket", F.when(i.isNull(), by_hash - split).otherwise(at.cast("long") * split + inner.cast("long")))
 
 
 def with_next(docs: DataFrame, derived: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,17 +107,19 @@ def with_next(docs: DataFrame, derived: dict[str, Column], id_col: str = "doc_id
     After the last row comes the first.  Rows are dealt by bucket once; what follows a bucket's last row is looked up.
     """
     values = [text_col, *derived]
-    order = [F.col(id_col).asc_nulls_first(), F.xxhash64(text_col)]
+    sign = F.xxhash64(text_col)
+    order = [F.col(id_col).asc_nulls_first(), sign]
     packed = F.struct(*values)
     w = Window.partitionBy("_bucket").orderBy(*order)
-    here = in_buckets(docs, id_col).withColumns(derived).withColumn("_next", F.lead(packed).over(w))
-    slim = in_buckets(docs.select(id_col), id_col)
-    heads = stage(slim.groupBy("_bucket").agg(F.min(id_col).alias("_id")))
+    placed = in_buckets(docs, id_col, text_col)
+    here = placed.withColumns(derived).withColumn("_next", F.lead(packed).over(w))
+    key = F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), sign.alias("sign"))
+    heads = stage(placed.groupBy("_bucket").agg(F.min(key).alias("k")))
     whole = Window.orderBy("_bucket")  # one row a bucket
-    follow = heads.select(F.lag("_bucket").over(whole).alias("_before"), "_id")
+    follow = heads.select(F.lag("_bucket").over(whole).alias("_before"), F.col("k.id").alias("_id"), F.col("k.sign").alias("_sign"))
     last = heads.agg(F.max("_bucket")).first()[0]
     follow = follow.withColumn("_before", F.coalesce("_before", F.lit(last)))
-    first = docs.join(follow, F.col(id_col).eqNullSafe(F.col("_id")))
+    first = docs.join(follow, F.col(id_col).eqNullSafe(F.col("_id")) & (sign == F.col("_sign")))
     first = first.withColumn("_k", F.row_number().over(Window.partitionBy("_before").orderBy(*order))).where("_k = 1")
     first = first.withColumns(derived).select("_before", packed.alias("_first"))
     joined = here.join(first, F.col("_bucket") == F.col("_before"), "left").withColumn("_next", F.coalesce("_next", "_first"))
