@@ -41,47 +41,37 @@ SHARD_BYTES = 24_000_000
 
 # ------------------------------------------------------------------ Elias-Fano
 
-_POP = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint8)
-_NTH = np.zeros((256, 8), np.uint8)
-for _b in range(256):
-    for _k, _p in enumerate([i for i in range(8) if _b >> i & 1]):
-        _NTH[_b, _k] = _p
+#: For each 16 bits: how many are set, and the place of the k-th that is.
+_BITS = np.unpackbits(np.arange(1 << 16, dtype="<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+_POP = _BITS.sum(1).astype(np.uint8)
+_NTH = np.zeros((1 << 16, 16), np.uint8)
+_row, _bit = np.nonzero(_BITS)
+_NTH[_row, np.cumsum(_BITS, axis=1)[_row, _bit] - 1] = _bit
 
 
 class Bits:
-    """A bit vector with a rank directory per 64 bits; ``select`` gives the place of the i-th set bit."""
+    """A bit vector in words of 16 with a rank directory; ``select`` gives the place of the i-th set bit."""
 
     def __init__(self, raw: np.ndarray, sums: np.ndarray):
-        self.raw, self.sums = raw, sums
+        self.raw, self.sums, self.zeros = raw, sums, None
 
     @staticmethod
     def of(packed: np.ndarray) -> Bits:
-        raw = np.zeros(-(-len(packed) // 8) * 8, np.uint8)
+        raw = np.zeros(-(-len(packed) // 2) * 2, np.uint8)
         raw[: len(packed)] = packed
-        per = _POP[raw].reshape(-1, 8).sum(1)
-        return Bits(raw, np.concatenate([[0], np.cumsum(per)]).astype(np.uint32))
+        raw = raw.view("<u2")
+        return Bits(raw, np.concatenate([[0], np.cumsum(_POP[raw])]).astype(np.uint32))
 
     def select(self, i: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.sums, i, "right") - 1
-        left = i.astype(np.int64) - self.sums[word].astype(np.int64)
-        rows = self.raw.reshape(-1, 8)[word]
-        upto = np.cumsum(_POP[rows], axis=1)
-        byte = (upto <= left[:, None]).sum(1)
-        at = np.arange(len(i))
-        left = left - np.where(byte > 0, upto[at, np.maximum(byte - 1, 0)], 0).astype(np.int64)
-        return word.astype(np.int64) * 64 + byte * 8 + _NTH[rows[at, byte], left]
+        word = np.searchsorted(self.sums, i.astype(np.uint32), "right") - 1
+        return word * 16 + _NTH[self.raw[word], i - self.sums[word]]
 
     def select_zero(self, i: np.ndarray) -> np.ndarray:
         """Place of the i-th bit that is not set."""
-        words = np.arange(len(self.sums), dtype=np.int64) * 64 - self.sums
-        word = np.searchsorted(words, i, "right") - 1
-        left = i.astype(np.int64) - words[word]
-        rows = ~self.raw.reshape(-1, 8)[word]
-        upto = np.cumsum(_POP[rows], axis=1)
-        byte = (upto <= left[:, None]).sum(1)
-        at = np.arange(len(i))
-        left = left - np.where(byte > 0, upto[at, np.maximum(byte - 1, 0)], 0).astype(np.int64)
-        return word.astype(np.int64) * 64 + byte * 8 + _NTH[rows[at, byte], left]
+        if self.zeros is None:
+            self.zeros = (np.arange(len(self.sums), dtype=np.int64) * 16 - self.sums).astype(np.uint32)
+        word = np.searchsorted(self.zeros, i.astype(np.uint32), "right") - 1
+        return word * 16 + _NTH[~self.raw[word], i - self.zeros[word]]
 
 
 class EliasFano:
@@ -189,7 +179,7 @@ class Trie:
             at += len(raw) + -len(raw) % 8
         file.write(b"\0" * 8)
         file.flush()
-        whole = np.memmap(file.name, np.uint8, "r")
+        whole = np.memmap(file.name, np.uint8, "r").view(np.ndarray)
         views = [whole[o : o + n * np.dtype(t).itemsize].view(t) for o, t, n in parts]
         made = [EliasFano(e.n, e.low_bits, views[3 * i], Bits(views[3 * i + 1], views[3 * i + 2])) for i, e in enumerate(levels)]
         return Trie(*made, *views[9:])
