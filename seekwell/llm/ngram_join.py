@@ -34,7 +34,7 @@ from .graph import components
 N, THRESHOLD = 5, 0.8
 BANDS, ROWS, SIGNATURE = 48, 6, 96
 STEP, TOLERANCE = 16, 1e-6
-BLOCK, PACK = 2048, 4096
+BLOCK, PACK = 1024, 4096
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ from .common import crc_mod5, read
 WINDOW, STRIDE = 24, 12
 WORDS, GRAMS, DIM, HIDDEN = 8192, 16384, 8, 8
 FIT_ROWS, FIT_BYTES = 3_200, 24 << 20
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 class Texts:
@@ -162,7 +162,7 @@ class Network:
             dx += gx_ @ wx.T
         return g, dx[:-1]
 
-    def window_logits(self, texts: Texts, block: int = 8192) -> np.ndarray:
+    def window_logits(self, texts: Texts, block: int = 2048) -> np.ndarray:
         x = self.inputs(texts)
         return np.concatenate([self.forward(x, texts.window(i, min(i + block, len(texts.start)))) for i in range(0, len(texts.start), block)])
 
