@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes.util
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +47,11 @@ def unpack(df: DataFrame, columns: list[str], *own: str) -> DataFrame:
 def crc_mod5(doc_id: str = "doc_id"):
     """crc32 of the id written as text, modulo 5; 0 for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5, F.lit(0))
+
+
+def give_back() -> None:
+    """Returns free memory of a Python worker to its machine: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(trim := ctypes.CDLL(libc), "malloc_trim"):
+        trim.malloc_trim(0)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytescan import LOWER, buffers, mix, pair, pieces, span_hashes, words
-from .common import pack, read, stage, unpack
+from .common import give_back, pack, read, stage, unpack
 from .graph import components
 
 N, THRESHOLD = 5, 0.8
@@ -100,6 +100,7 @@ def _describe(batches):
                     sid[row] = set_id(np.unique(h[at[row] : at[row + 1]]))
                     bands[row] = key[k].view(np.int64)
             yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([None if b is None else s for s, b in zip(sid, bands, strict=True)], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "sid", "bands"])
+    give_back()
 
 
 def _contents(batches):

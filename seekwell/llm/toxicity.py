@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytescan import ALNUM, LOWER, buffers, pieces, span_hashes, words
-from .common import crc_mod5, read
+from .common import crc_mod5, give_back, read
 
 WINDOW, STRIDE = 24, 12
 WORDS, GRAMS, DIM, HIDDEN = 8192, 16384, 8, 8
@@ -240,12 +241,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes:
     """A network from the labelled rows outside the held-out fifth, or the share of toxic labels if one kind is missing."""
     known = labels.where(F.col("toxic").isin(0, 1) & (crc_mod5() != 0) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("double").alias("_toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    text = F.coalesce("text", F.lit("")).alias("text")
-    own = docs.select("doc_id", text).join(F.broadcast(known), "doc_id")  # bounded by fit_rows
-    order = [F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text"]
-    sizes = own.select(*order[:3], F.octet_length("text").alias("n")).toDF("h", "doc_id", "t", "n").orderBy("h", "doc_id", "t", "n").limit(fit_rows).collect()
-    rows = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), fit_bytes, "right"))
-    table = own.orderBy(*order).limit(max(1, rows)).select("text", "_toxic").toArrow()
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").withColumn("_sign", F.xxhash64("text"))  # bounded by fit_rows
+    sizes = own.select("doc_id", "_sign", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id", "_sign").limit(fit_rows).collect()
+    rows = max(1, int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), fit_bytes, "right")))
+    keys = docs.sparkSession.createDataFrame([(r["doc_id"], r["_sign"]) for r in dict.fromkeys(sizes[:rows])], T.StructType([docs.schema["doc_id"], T.StructField("_sign", T.LongType())]))
+    table = own.join(F.broadcast(keys.distinct()), ["doc_id", "_sign"]).dropDuplicates(["doc_id", "_sign"]).select("text", "_toxic", "doc_id", "_sign").toArrow()
+    table = table.sort_by([("doc_id", "ascending"), ("_sign", "ascending")])
     y = table.column("_toxic").to_numpy()
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
@@ -264,6 +265,7 @@ def _score(batches, model):
                 out.append(net.scores(Texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])).astype(np.float64))
         cols = [batch.column(c) for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(out), pa.float64())], [*(c for c in batch.schema.names if c != "text"), "score"])
+    give_back()
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -282,6 +284,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
         for batch in batches:
             got = next(_score([batch.select(["text"])], model)).column("score").to_numpy()
             yield batch.filter(pa.array(got < 0.5))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
