@@ -18,6 +18,7 @@ MODULES = {
     "op8_html": "html",
     "op9_suffix_dedup": "suffix_dedup",
     "op10_lm_score": "lm",
+    "op11_conversation_repair": "turns",
 }
 
 
