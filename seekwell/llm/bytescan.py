@@ -78,3 +78,22 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed:
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of an ordered pair of hashes."""
     return mix(a * M1 ^ ((b << np.uint64(23)) | (b >> np.uint64(41))))
+
+
+def byte_ngrams(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the byte n-grams (``least`` to ``most``) of spans between two marks, span by span, and how many each span has."""
+    length = lengths + 2
+    chars, head = np.ones(int(length.sum()), np.uint32), np.cumsum(length) - length
+    inner = np.repeat(head + 1, lengths) + np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    chars[inner] = data[np.repeat(starts, lengths) + inner - np.repeat(head + 1, lengths)]
+    whose, left = np.repeat(np.arange(len(starts)), length), np.repeat(head + length, length) - np.arange(len(chars))
+    code, own, found = chars.copy(), [], []
+    for n in range(2, most + 1):
+        code = code * np.uint32(65599) + np.concatenate([chars[n - 1 :], np.zeros(min(n - 1, len(chars)), np.uint32)])[: len(chars)]
+        if n >= least:
+            at = np.flatnonzero(left >= n)
+            own.append(whose[at])
+            found.append(code[at] * np.uint32(2654435761) + np.uint32(n))
+    whose = np.concatenate(own)
+    by = np.argsort(whose, kind="stable")
+    return np.concatenate(found)[by], np.bincount(whose, minlength=len(starts))

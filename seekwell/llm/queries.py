@@ -19,6 +19,7 @@ MODULES = {
     "op9_suffix_dedup": "suffix_dedup",
     "op10_lm_score": "lm",
     "op11_conversation_repair": "turns",
+    "op12_quality": "quality",
 }
 
 
