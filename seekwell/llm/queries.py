@@ -20,6 +20,7 @@ MODULES = {
     "op10_lm_score": "lm",
     "op11_conversation_repair": "turns",
     "op12_quality": "quality",
+    "op13_ranked_search": "dualtree",
 }
 
 
