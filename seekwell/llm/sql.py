@@ -69,4 +69,47 @@ e as (select doc_id, coalesce(next_id, first_id) after, length(t)::bigint n_char
 select e.doc_id, n_chars, sha256(e.t) edited_sha256, array_to_string(a.s, '') fingerprint, array_to_string(b.s, '') edited_fingerprint, {LIKE.format("a.s", "b.s")} near_edited, {LIKE.format("a.s", "c.s")} near_next
 from e join o_signs a using (doc_id) join e_signs b using (doc_id) join o_signs c on c.doc_id = e.after"""
 
-SQL = {"op1_ngram_join": NGRAM_JOIN, "op2_spotsigs": SPOTSIGS, "op5_mix_sources": MIX_SOURCES, "op9_suffix_dedup": SUFFIX_DEDUP}
+TERMS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+#: Scores of all pairs of items and documents with a common term.
+RANKED_SEARCH = f"""
+with t as (select row_number() over () rid, doc_id, {TERMS.format("text")} w from documents),
+s as (select count(*)::bigint n, sum(len(w))::bigint l from t where len(w) > 0),
+p as (select rid, any_value(doc_id) doc_id, any_value(len(w))::bigint n, u.term, count(*)::bigint tf from t, unnest(w) u(term) group by rid, u.term),
+d as (select term, floor(1000 * ln((2 * (select n from s) + 2)::double / (2 * count(*) + 1)))::bigint w from p group by term),
+i as (select item_id, text, u.term, count(*)::bigint q from (select distinct item_id, text from benchmark) b, unnest({TERMS.format("b.text")}) u(term) group by all),
+c as (select i.item_id, i.text, p.rid, any_value(p.doc_id) doc_id,
+  sum(i.q * d.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * p.n * (select n from s)) // (select l from s)))))::bigint score
+  from i join p on i.term = p.term join d on d.term = i.term group by i.item_id, i.text, p.rid),
+r as (select *, row_number() over (partition by item_id, text order by score desc, doc_id, rid)::int "rank" from c where score > 0)
+select item_id, "rank", doc_id, score from r where "rank" <= 10"""
+
+#: CRC-32 by a table of 256; a forward search over all states of a conversation, one turn a round.
+CONVERSATION_REPAIR = r"""
+with recursive k as (select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n)) t),
+src as (select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint) b from conversations),
+named as (select *, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 20 f from src, k),
+rows_ as (select conv_id, turn, case when f = 4 then 'user' else role end role, case when f = 1 then '' when f = 2 then translate(text, '.!?', '') else text end text, unnest(case when f = 3 then [1, 2] else [1] end) again from named where f <> 0),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text)) i, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') body from rows_),
+told as (select *, case when body = '' then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate' when body[-1:] not in ('.', '!', '?') then 'truncated' else '' end fault,
+  role[1:1] ini, lag(role[1:1]) over (partition by conv_id order by i) before from placed),
+counts as (select conv_id, count(*) n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint gaps, count_if(fault = 'blank')::bigint blank, count_if(fault = 'duplicate')::bigint duplicate, count_if(fault = 'truncated')::bigint truncated,
+  count_if(before is not null and before || ini not in ('su', 'ua', 'au'))::bigint illegal from told group by conv_id),
+pre(st, letters, c, here, out) as (values (0, '', 0, 0, []::varchar[]), (0, 'I', 3, 2, ['user:']), (0, 'II', 6, 3, ['user:', 'assistant:']), (1, '', 0, 1, []), (1, 'I', 3, 2, ['user:']), (1, 'II', 6, 3, ['user:', 'assistant:']),
+  (2, '', 0, 2, []), (2, 'I', 3, 3, ['assistant:']), (2, 'II', 6, 2, ['assistant:', 'user:']), (3, '', 0, 3, []), (3, 'I', 3, 2, ['user:']), (3, 'II', 6, 3, ['user:', 'assistant:'])),
+edit(here, e, c, ini, "to") as (values (0, 'K', 0, 's', 1), (0, 'K', 0, 'u', 2), (1, 'K', 0, 'u', 2), (3, 'K', 0, 'u', 2), (2, 'K', 0, 'a', 3), (0, 'R', 3, null, 2), (1, 'R', 3, null, 2), (2, 'R', 3, null, 3), (3, 'R', 3, null, 2),
+  (0, 'D', 4, null, 0), (1, 'D', 4, null, 1), (2, 'D', 4, null, 2), (3, 'D', 4, null, 3)),
+s as (select distinct conv_id, 0::bigint i, 0 st, {'c': 0, 'a': '', 'o': []::varchar[]} b from conversations union all
+  select conv_id, i, "to", min(b) from (select s.conv_id, r.i, e."to", {'c': s.b.c + p.c + e.c + case when e.e <> 'D' and r.fault = 'truncated' then 3 else 0 end, 'a': s.b.a || p.letters || e.e,
+    'o': s.b.o || p.out || case when e.e = 'D' then [] else [case when e.e = 'K' then r.role when e."to" = 2 then 'user' else 'assistant' end || ':' || r.text] end} b
+    from s join told r on r.conv_id is not distinct from s.conv_id and r.i = s.i + 1 join pre p on p.st = s.st join edit e on e.here = p.here and (e.ini is null or e.ini = r.ini) and (e.e = 'D' or r.fault not in ('blank', 'duplicate')))
+  group by conv_id, i, "to"),
+done as (select s.conv_id, min({'c': s.b.c + case st when 1 then 6 when 2 then 3 else 0 end, 'a': s.b.a || case st when 1 then 'II' when 2 then 'I' else '' end,
+  'o': s.b.o || case st when 1 then ['user:', 'assistant:'] when 2 then ['assistant:'] else [] end}) b from s left join counts c on c.conv_id is not distinct from s.conv_id where s.i = coalesce(c.n, 0) group by s.conv_id)
+select d.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, b.c::bigint cost, b.a audit, sha256(array_to_string(b.o, chr(10))) repaired_sha256
+from done d left join counts c on c.conv_id is not distinct from d.conv_id"""
+
+SQL = {
+    "op1_ngram_join": NGRAM_JOIN, "op2_spotsigs": SPOTSIGS, "op5_mix_sources": MIX_SOURCES, "op9_suffix_dedup": SUFFIX_DEDUP,
+    "op11_conversation_repair": CONVERSATION_REPAIR, "op13_ranked_search": RANKED_SEARCH,
+}
