@@ -139,18 +139,37 @@ def least_matches(threshold: float, k: int = SIGNATURE, step: int = STEP, tolera
     return tuple(out)
 
 
+def survivors(sig_a: np.ndarray, sig_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs keep a chance of reaching the threshold at every look.  A pair that a look drops stays out, whatever else is compared.
+
+    Looks go over the whole block while most pairs live, then over the list of those that do.
+    """
+    matches, live = np.zeros((len(sig_a), len(sig_b)), np.uint8), np.ones((len(sig_a), len(sig_b)), bool)
+    looks, done = least_matches(threshold), 0
+    for at, (n, least) in enumerate(looks):
+        if live.sum() * 8 < live.size:
+            i, j = np.nonzero(live)
+            m = matches[i, j]
+            for upto, fewest in looks[at:]:
+                for k in range(done, upto):
+                    m += sig_a[i, k] == sig_b[j, k]
+                keep, done = m >= fewest, upto
+                i, j, m = i[keep], j[keep], m[keep]
+            live[:] = False
+            live[i, j] = True
+            return live
+        for k in range(done, n):
+            matches += sig_a[:, k, None] == sig_b[None, :, k]
+        live &= matches >= least
+        done = n
+    return live
+
+
 def links(a: list[np.ndarray], sig_a: np.ndarray, b: list[np.ndarray], sig_b: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs of the two lists of sets reach the threshold (a matrix)."""
     alive = np.zeros((len(a), len(b)), bool)
     for at in range(0, len(a), 256):
-        matches, live, done = np.zeros((len(sig_a[at : at + 256]), len(b)), np.uint8), None, 0
-        for n, least in least_matches(threshold):
-            for i in range(done, n):
-                matches += sig_a[at : at + 256, i, None] == sig_b[None, :, i]
-            live, done = matches >= least, n
-            if not live.any():
-                break
-        alive[at : at + 256] = live
+        alive[at : at + 256] = survivors(sig_a[at : at + 256], sig_b, threshold)
     na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     alive &= np.minimum(na[:, None], nb) >= threshold * np.maximum(na[:, None], nb) - 1e-9
     i, j = np.nonzero(alive)
@@ -252,9 +271,58 @@ def _cell(threshold: float):
     return run
 
 
-def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+FOUND = "sid bigint, other bigint, links bigint"
+
+
+def _forests(full: DataFrame, n_packs: int, threshold: float) -> DataFrame:
+    """Links that span every class, for groups of any size, without counting all links.
+
+    (1) Each block alone, so a set travels once.  (2) The smallest set of each class that this leaves in a group of several blocks stands for it, and these
+    meet in blocks of their own until that joins nothing more: blocks of near copies of one text become one class.  (3) In what is left, sets of a group's
+    largest class (``main``) and of others (``rest``) must still meet, and rest with rest; main never meets itself.
+    """
+    run = lambda placed: stage(placed.groupBy("pack", "i", "j").applyInPandas(_cell(threshold), FOUND))
+    columns = ["comp", "sid", "copies", "grams", "sig"]
+    small = run(full.where("cells = 1").select(F.pmod(F.xxhash64("comp"), F.lit(n_packs)).alias("pack"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), *columns))
+    large = full.where("cells > 1")
+    if not large.limit(1).count():
+        return small
+    block = F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int")
+    found = run(large.select(F.col("comp").alias("pack"), block.alias("i"), block.alias("j"), F.lit(0).alias("side"), *columns))
+
+    def classes() -> DataFrame:
+        own = components(found.where("sid <> other").select(F.col("sid").alias("a"), F.col("other").alias("b")))
+        return stage(large.select("comp", "sid").join(own.withColumnRenamed("id", "sid").withColumnRenamed("comp", "cls"), "sid", "left").select("comp", "sid", F.coalesce("cls", "sid").alias("cls")))
+
+    now, before = classes(), None
+    while True:
+        heads = now.groupBy("comp", "cls").agg(F.min("sid").alias("sid"))
+        sizes = heads.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1")
+        left = sizes.agg(F.sum("n")).first()[0] or 0
+        if not left or left == before:
+            break
+        before = left
+        # Heads are dealt anew each time, so those that stay apart meet others.
+        met = large.join(heads.join(sizes, "comp").select("sid", "n"), "sid").withColumn("i", F.pmod(F.xxhash64("sid", F.lit(left)), F.ceil(F.col("n") / BLOCK)).cast("int"))
+        found = stage(found.unionByName(run(met.select(F.col("comp").alias("pack"), "i", F.col("i").alias("j"), F.lit(0).alias("side"), *columns))))
+        now = classes()
+    if not left:
+        return small.unionByName(found)
+    per_class = now.groupBy("comp", "cls").agg(F.count("*").alias("c"))
+    per_group = per_class.groupBy("comp").agg(F.max(F.struct("c", "cls")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("n")).where("n > 1")
+    per_group = per_group.select("comp", F.col("top.cls").alias("main"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("m"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("r"))
+    rows = large.drop("cells").join(now.select("sid", "cls"), "sid").join(per_group, "comp").withColumn("is_main", F.col("cls") == F.col("main"))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("sid"), F.when(F.col("is_main"), F.col("m")).otherwise(F.col("r"))).cast("int"))
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    b, cell = F.col("b"), lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    rest = F.concat(F.transform(up_to(F.col("r")), lambda o: F.struct(F.least(b, o).alias("i"), F.greatest(b, o).alias("j"), F.when(b <= o, 0).otherwise(1).alias("side"))), F.transform(up_to(F.col("m")), lambda o: cell(b, -1 - o, 0)))
+    places = F.when(F.col("is_main"), F.transform(up_to(F.col("r")), lambda o: cell(o, -1 - b, 1))).otherwise(rest)
+    return small.unionByName(found).unionByName(run(rows.withColumn("p", F.explode(places)).select(F.col("comp").alias("pack"), "p.i", "p.j", "p.side", *columns)))
+
+
+def near_groups(docs: DataFrame, threshold: float = THRESHOLD, counts: bool = True) -> DataFrame:
     """``doc_id, class_id, n_links`` for each row of ``docs`` (``doc_id, text``), ``sid``, its set (null without grams), and ``first``:
-    whether the row has the smallest (id, set) of its class, null ids last."""
+    whether the row has the smallest (id, set) of its class, null ids last.  Without ``counts`` classes are the same, but ``n_links`` counts only links that were met."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     described = stage(rows.mapInArrow(_describe, "doc_id bigint, sid bigint, bands array<bigint>"))
     sets = stage(described.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
@@ -268,17 +336,19 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("_id"))).select("sid", "comp", "cells", "copies", "text")
     full = stage(texts.mapInArrow(_contents, "sid bigint, comp bigint, cells int, copies bigint, grams binary, sig binary"))
     block = F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int")
-    # Groups of one block are packed together; of others, block i meets every block j >= i once.
     n_packs = max(1, wanted.count() // PACK)
-    spread = full.withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    placed = spread.select(
-        F.when(F.col("cells") == 1, F.pmod(F.xxhash64("comp"), F.lit(n_packs))).otherwise(F.col("comp")).alias("pack"),
-        F.when(F.col("cells") == 1, -1).otherwise(F.least("b", "o")).alias("i"), F.when(F.col("cells") == 1, -1).otherwise(F.greatest("b", "o")).alias("j"),
-        F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "comp", "sid", "copies", "grams", "sig")
-    found = stage(placed.groupBy("pack", "i", "j").applyInPandas(_cell(threshold), "sid bigint, other bigint, links bigint"))
-    counts = found.groupBy("sid").agg(F.sum("links").alias("links"))
+    if not counts:
+        found = _forests(full, n_packs, threshold)
+    else:  # groups of one block are packed together; of others, block i meets every block j >= i once
+        spread = full.withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+        placed = spread.select(
+            F.when(F.col("cells") == 1, F.pmod(F.xxhash64("comp"), F.lit(n_packs))).otherwise(F.col("comp")).alias("pack"),
+            F.when(F.col("cells") == 1, -1).otherwise(F.least("b", "o")).alias("i"), F.when(F.col("cells") == 1, -1).otherwise(F.greatest("b", "o")).alias("j"),
+            F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "comp", "sid", "copies", "grams", "sig")
+        found = stage(placed.groupBy("pack", "i", "j").applyInPandas(_cell(threshold), FOUND))
+    linked = found.groupBy("sid").agg(F.sum("links").alias("links"))
     classes = components(found.where("sid <> other").select(F.col("sid").alias("a"), F.col("other").alias("b")))
-    nodes = sets.select("sid", "doc_id", "copies").join(counts, "sid", "left").join(classes.select(F.col("id").alias("sid"), "comp"), "sid", "left")
+    nodes = sets.select("sid", "doc_id", "copies").join(linked, "sid", "left").join(classes.select(F.col("id").alias("sid"), "comp"), "sid", "left")
     nodes = stage(nodes.select("sid", "doc_id", F.coalesce("comp", "sid").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     named = nodes.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sid")).alias("least"))
     by_set = nodes.join(named, "comp").select("sid", "class_id", "n_links", "least")
@@ -301,7 +371,7 @@ def _with_sid(batches):
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without near copies: of each class one row with the smallest id and set, null ids last; rows without words all stay."""
-    groups = near_groups(docs, threshold)
+    groups = near_groups(docs, threshold, counts=False)
     names, docs = docs.columns, pack(docs, "doc_id", "text")
     stay = groups.where("first").select(F.col("doc_id").alias("_id"), F.col("sid").alias("_stay")).distinct()
     blank = F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")

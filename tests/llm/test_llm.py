@@ -114,6 +114,43 @@ def test_op1_large_groups(spark, monkeypatch):
     assert len({got[k]["class_id"] for k, _ in docs}) == len(set(root))
 
 
+def test_op1_classes_without_counts(spark, monkeypatch):
+    """Groups over several blocks fall into the same classes if not all links are counted, outliers and loose chains too."""
+    r = random.Random(2)
+    base, docs = [f"w{i}" for i in range(120)], []
+    for k in range(260):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 5, 6, 7])):
+            w[r.randrange(len(w))] = f"x{r.randrange(300)}"
+        docs.append((k, " ".join(w)))
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = {x["doc_id"]: x["class_id"] for x in ngram_join.near_groups(df).collect()}
+    assert whole == {x["doc_id"]: x["class_id"] for x in ngram_join.near_groups(df, counts=False).collect()}
+    assert 1 < len(set(whole.values())) < 260
+    assert sorted(x["doc_id"] for x in ngram_join.keep_one(df).collect()) == sorted(set(whole.values()))
+
+
+def test_op1_pairs_go_for_themselves():
+    """What a look decides on a pair does not depend on the others in its block, and a dropped pair never comes back."""
+    r = np.random.default_rng(4)
+    a, b = (r.integers(0, 1 << 32, (200, ngram_join.SIGNATURE), dtype=np.uint32) for _ in range(2))
+    for k in range(200):
+        same = r.random(ngram_join.SIGNATURE) < r.choice([0.3, 0.6, 0.8, 0.95])
+        a[k, same] = b[k, same]
+    a[0] = b[0]
+    a[0, : ngram_join.STEP] += np.uint32(1)  # nothing equal at the first look, all after it
+    dense = np.concatenate([b, b[:40]]), np.concatenate([b, b[40:80]])
+    for left, right in ((a, b), dense):
+        whole = ngram_join.survivors(left, right, 0.8)
+        for k in range(0, len(left), 7):
+            assert (ngram_join.survivors(left[k : k + 1], right[k : k + 1], 0.8) == whole[k, k]).all()
+            assert (ngram_join.survivors(left[k : k + 1], right, 0.8) == whole[k]).all()
+    assert not ngram_join.survivors(a, b, 0.8)[0, 0]
+    looks = ngram_join.least_matches(0.8)
+    assert all(ngram_join.survivors(a, b, 0.8)[k, k] == all((a[k, :n] == b[k, :n]).sum() >= m for n, m in looks) for k in range(200))
+
+
 def test_op1_odd(spark):
     df = odd(spark, *TEXTS)
     out = ngram_join.near_groups(df)
