@@ -8,45 +8,70 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stem, terms, tokenize
-from ..sources.shared import new_folder
+from ..sources.shared import put
 
+BLOCK_ITEMS, SEED_ITEMS = 128, 8
 NAME_FIELDS = ("Title", "OriginalTitle", "People")
 
 
 @dataclass
 class Bm25Tables:
-    """``postings(term, item_id, tf)``, ``lengths(item_id, len)``, ``frequencies(term, df)`` and ``corpus(n, avg_len)`` of one row."""
+    """``postings(term, item_id, tf, block, part)``, ``blocks(term, block, top)``, ``lengths(item_id, len)``, ``frequencies(term, df, top)`` and ``corpus(n, avg_len)`` of one row.
+
+    A part is what a posting adds to a score but for the term's weight.  A block is a set of items of like length; ``top`` is the highest part of a
+    term in a block, or in all.
+    """
 
     postings: DataFrame
+    blocks: DataFrame
     lengths: DataFrame
     frequencies: DataFrame
     corpus: DataFrame
 
 
+TABLES = ("postings", "blocks", "lengths", "frequencies", "corpus")
+
+
 def lengths_of(sections: DataFrame) -> DataFrame:
     """``item_id, len``: weighted number of terms of every item, those without terms too."""
     return sections.groupBy("item_id").agg(F.sum(F.col("weight") * F.size(terms(F.col("text")))).cast("double").alias("len"))
 
 
-def build_bm25(sections: DataFrame) -> Bm25Tables:
+def with_parts(postings: DataFrame, lengths: DataFrame, corpus: DataFrame, k1: float, b: float) -> DataFrame:
+    """Adds ``block, part``.  Items whose lengths lie within an eighth of a doubling share a bin; a bin is dealt into blocks by the items' hash."""
+    tf, scale = F.col("tf"), F.broadcast(corpus)
+    part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    deal = F.ceil(F.col("n") / (32 * BLOCK_ITEMS)).cast("long")
+    block = F.floor(8 * F.log2(F.col("len") + 1)) * (1 << 32) + F.pmod(F.xxhash64("item_id"), deal)
+    return postings.join(lengths, "item_id").crossJoin(scale).select("term", "item_id", "tf", block.alias("block"), part.alias("part"))
+
+
+def _tables(postings: DataFrame, lengths: DataFrame, corpus: DataFrame) -> Bm25Tables:
+    blocks = postings.groupBy("term", "block").agg(F.max("part").alias("top"))
+    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("part").alias("top"))
+    return Bm25Tables(postings, blocks, lengths, frequencies, corpus)
+
+
+def build_bm25(sections: DataFrame, k1: float = 1.2, b: float = 0.75) -> Bm25Tables:
     """Index of sections (``item_id, weight, text``): a term counts its field's weight each time it stands there."""
     each = sections.select("item_id", "weight", F.explode(terms(F.col("text"))).alias("term"))
-    postings = each.groupBy("item_id", "term").agg(F.sum("weight").alias("tf"))
-    lengths = lengths_of(sections)
-    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
+    postings, lengths = each.groupBy("item_id", "term").agg(F.sum("weight").alias("tf")), lengths_of(sections)
     corpus = lengths.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("len")).alias("avg_len"))
-    return Bm25Tables(postings, lengths, frequencies, corpus)
+    return _tables(with_parts(postings, lengths, corpus, k1, b), lengths, corpus)
 
 
 def save_bm25(tables: Bm25Tables, path: str) -> None:
-    """Writes the four tables; postings are laid out by term, so that a search reads few row groups."""
-    tables.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    for name in ("lengths", "frequencies", "corpus"):
-        getattr(tables, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    """Writes the tables; postings and blocks are laid out by term, so that a search reads few row groups."""
+    tables.postings.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    postings = tables.postings.sparkSession.read.parquet(f"{path}/postings")
+    saved = _tables(postings, tables.lengths, tables.corpus)
+    saved.blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
+    for name in TABLES[2:]:
+        getattr(saved, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_bm25(spark, path: str) -> Bm25Tables:
-    return Bm25Tables(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "frequencies", "corpus")))
+    return Bm25Tables(*(spark.read.parquet(f"{path}/{n}") for n in TABLES))
 
 
 def top_k(df: DataFrame, k: int, score: str = "score", by: str = "query_id", id: str = "item_id", rank: str = "rank") -> DataFrame:
@@ -60,24 +85,56 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
 
 
-def bm25_search(queries: DataFrame, index: Bm25Tables, limit: int, k1: float = 1.2, b: float = 0.75, digits: int = 9) -> DataFrame:
+def weigh_terms(queries: DataFrame, index: Bm25Tables) -> DataFrame:
+    """``query_id, term, df, idf, most``: each query's terms that occur, and the most that each can add to a score."""
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return query_terms(queries).join(index.frequencies, "term").crossJoin(F.broadcast(index.corpus)).select("query_id", "term", "df", idf.alias("idf"), (idf * F.col("top") * (1 + 1e-9)).alias("most"))
+
+
+def least_scores(asked: DataFrame, index: Bm25Tables, limit: int, digits: int = 9) -> DataFrame:
+    """``query_id, least``: a score that each of the query's ``limit`` best items reaches, from its rarest terms alone; no row where they hold too few items."""
+    before = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    rare = asked.withColumn("_b", F.coalesce(F.sum("df").over(before), F.lit(0))).where(F.col("_b") < SEED_ITEMS * limit)
+    partial = rare.join(index.postings, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("idf") * F.col("part")).alias("score"))
+    return top_k(partial, limit).where(F.col("rank") == limit).select("query_id", (F.col("score") * (1 - 1e-9) - 2 * 10.0**-digits).alias("least"))
+
+
+def divide_terms(asked: DataFrame, least: DataFrame) -> DataFrame:
+    """Adds ``least, essential, rest``: the weakest terms, which together cannot lift an item to ``least``, make no candidates; ``rest`` is the most they add."""
+    running = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+    each = asked.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("essential", F.sum("most").over(running) >= F.col("least"))
+    return each.withColumn("rest", F.coalesce(F.sum(F.when(~F.col("essential"), F.col("most"))).over(Window.partitionBy("query_id")), F.lit(0.0)))
+
+
+def candidates(divided: DataFrame, index: Bm25Tables) -> DataFrame:
+    """``query_id, item_id, got``: what the essential terms add to items that may still reach the query's least score.
+
+    First by the most that the other terms add anywhere, then by the most that they add in the item's block.
+    """
+    gain = F.sum(F.col("idf") * F.col("part")).alias("got")
+    met = divided.where("essential").join(index.postings, "term").groupBy("query_id", "item_id", "block").agg(gain, F.first("rest").alias("rest"), F.first("least").alias("least")).where("got + rest >= least")
+    met = put(met.drop("rest"), "candidates")
+    others = divided.where("not essential").select("query_id", "term", "idf")
+    tops = met.select("query_id", "block").distinct().join(others, "query_id").join(index.blocks, ["term", "block"]).groupBy("query_id", "block").agg((F.sum(F.col("idf") * F.col("top")) * (1 + 1e-9)).alias("more"))
+    return met.join(tops, ["query_id", "block"], "left").where("got + coalesce(more, 0.0) >= least").select("query_id", "item_id", "got")
+
+
+def bm25_search(queries: DataFrame, index: Bm25Tables, limit: int, digits: int = 9) -> DataFrame:
     """``query_id, item_id, score, rank``: queries (``query_id, text``) against the index.
 
-    Scores are rounded to ``digits`` before ranking, so that the order of summation cannot turn ties.
+    A query's rarest terms give a least score; terms that cannot reach it together are only looked up for items that others have brought up
+    (see :func:`candidates`).  The result is that of a search over all postings.  Scores are rounded to ``digits`` before ranking, so
+    that the order of summation cannot turn ties.
     """
-    wanted = query_terms(queries)
-    # Weights of terms first: one row per distinct asked term, so that postings meet a small side that AQE may broadcast.
-    asked = wanted.select("term").distinct().join(index.frequencies, "term").crossJoin(F.broadcast(index.corpus)).select(
-        "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")
-    hits = index.postings.join(asked, "term").join(index.lengths, "item_id")
-    tf = F.col("tf")
-    norm = tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
-    part = hits.select("term", "item_id", (F.col("idf") * tf * (k1 + 1) / norm).alias("part"))
-    scored = wanted.join(part, "term").groupBy("query_id", "item_id").agg(F.round(F.sum("part"), digits).alias("score"))
-    return top_k(scored, limit)
-
-
-def build_for(queries: DataFrame, sections: DataFrame) -> Bm25Tables:
+    asked = put(weigh_terms(queries, index), "asked")
+    divided = put(divide_terms(asked, least_scores(asked, index, limit, digits)), "asked")
+    found = put(candidates(divided, index), "candidates")
+    looked = found.select("query_id", "item_id").join(divided.where("not essential").select("query_id", "term", "idf"), "query_id").join(index.postings, ["term", "item_id"])
+    more = looked.select("query_id", "item_id", (F.col("idf") * F.col("part")).alias("got"))
+    return top_k(found.unionByName(more).groupBy("query_id", "item_id").agg(F.round(F.sum("got"), digits).alias("score")), limit)
+
+
+def build_for(queries: DataFrame, sections: DataFrame, k1: float = 1.2, b: float = 0.75) -> Bm25Tables:
     """Index of the terms that ``queries`` ask for, written to the shared folder: sections are tokenised once, and only asked terms are shuffled.
 
     The empty term stands for an item's length.
@@ -86,13 +143,10 @@ def build_for(queries: DataFrame, sections: DataFrame) -> Bm25Tables:
     pair = lambda term, weight: F.struct(term.alias("term"), weight.cast("double").alias("weight"))
     both = lambda t: F.concat(F.transform(t, lambda x: pair(x, F.col("weight"))), F.array(pair(F.lit(""), F.col("weight") * F.size(t))))
     each = sections.select("item_id", F.explode(F.transform(F.array(terms(F.col("text"))), both)[0]).alias("p")).select("item_id", "p.*").join(asked, "term", "left_semi")
-    path = new_folder(queries.sparkSession, "postings")
-    each.groupBy("item_id", "term").agg(F.sum("weight").alias("tf")).write.parquet(path)
-    all_of = queries.sparkSession.read.parquet(path)
-    postings, lengths = all_of.where("term <> ''"), all_of.where("term = ''").select("item_id", F.col("tf").alias("len"))
-    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("len")).alias("avg_len"))
-    return Bm25Tables(postings, lengths, frequencies, corpus)
+    all_of = put(each.groupBy("item_id", "term").agg(F.sum("weight").alias("tf")), "postings")
+    lengths = all_of.where("term = ''").select("item_id", F.col("tf").alias("len"))
+    corpus = put(lengths.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("len")).alias("avg_len")), "corpus")
+    return _tables(put(with_parts(all_of.where("term <> ''"), lengths, corpus, k1, b), "postings"), lengths, corpus)
 
 
 def bm25_once(queries: DataFrame, sections: DataFrame, limit: int, **options) -> DataFrame:

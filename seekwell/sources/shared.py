@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +30,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def put(df: DataFrame, name: str) -> DataFrame:
+    """The table written to a new folder and read again, so that it is computed once."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove_folders(spark: SparkSession) -> int:
     """Deletes the intermediate tables that this session has written, and says how many; results that are not yet written depend on them."""
     paths, spark._seekwell_folders = getattr(spark, "_seekwell_folders", []), []
