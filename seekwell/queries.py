@@ -494,10 +494,8 @@ h as (select * from f where score>=0.28), b as (select *, row_number() over (par
 select phrase_id, source item_id, doc_id window_id, round(score,6) score, rank from (select *, row_number() over (partition by phrase_id order by score desc, doc_id, source) rank from b where k=1) where rank<=10""")
 def phrase_fuzzy(spark, d):
     """Phrases without an exact hit, by trigrams; the ten best sources of each."""
-    broken = phrases(spark, d)
-    exact = dialogue.phrase_exact(broken, doc_windows(spark, d))
-    rest = broken.join(exact.select("phrase_id"), "phrase_id", "left_anti")
-    hits = dialogue.phrase_fuzzy(rest, doc_windows(spark, d)).withColumn("score", F.round("score", 9))
+    found = dialogue.phrase_search(phrases(spark, d), doc_windows(spark, d), best=10).where("not exact")
+    hits = found.withColumn("score", F.round("score", 9))
     return dialogue.best_per_item(hits, 10).select("phrase_id", "item_id", "window_id", _dbl("score"), F.col("rank").cast("long").alias("rank"))
 
 
