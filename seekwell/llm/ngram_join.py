@@ -122,6 +122,7 @@ def _contents(batches):
             if keep:
                 part = part.take(pa.array(keep))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(own, pa.binary()), pa.array(sigs, pa.binary())], [*names, "grams", "sig"])
+    give_back()
 
 
 @lru_cache(maxsize=8)
@@ -266,6 +267,7 @@ def _cell(threshold: float):
                         break
                     label = new
                 out.append(pd.DataFrame({"sid": names, "other": names[label], "links": np.concatenate([link @ copies[1], link.T @ copies[0]]).astype(np.int64)}))
+        give_back()
         return pd.concat(out) if out else pd.DataFrame({"sid": [], "other": [], "links": []}).astype("int64")
 
     return run

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import M1, M2, buffers, mix, pair, pieces, span_hashes
-from .common import pack, read, stage, unpack
+from .common import give_back, pack, read, stage, unpack
 
 GRAM = 16
 
@@ -55,7 +55,7 @@ class Rule(NamedTuple):
 LENGTH, PASSAGE, WORDS = 400, 240, 50
 BOTH, SHORT = Rule(PASSAGE, 112, LENGTH), Rule(PASSAGE, 112, PASSAGE)
 CHUNK_BYTES, SEGMENT = 8 << 20, 1 << 20
-SHARD_ENTRIES = 1_500_000
+SHARD_ENTRIES = 600_000
 PACK, MOST_CONTEXTS = 20_000, 50_000
 
 
@@ -150,6 +150,7 @@ def _chunks(batches, rule: Rule):
                 yield flush()
     if ids:
         yield flush()
+    give_back()
 
 
 def _shard(prefix: np.ndarray, shards: int) -> np.ndarray:
@@ -167,6 +168,7 @@ def _asks(batches, shards: int):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)],
                                                  ["shard", "chunk", "prefix", "context", "count"])
+    give_back()
 
 
 ALONE, REPEATED, UNKNOWN, MODEL = 0, 1, 2, 3  # once; all repeated; text needed; all repeated, and this copy's text is needed
@@ -187,6 +189,8 @@ def _answers(group):
     code = np.where(total_c > 1, np.where((kinds > 1) & new_c, MODEL, REPEATED), np.where(kinds > 1, UNKNOWN, ALONE)).astype(np.uint8)
     back = np.empty(len(code), np.uint8)
     back[order] = code
+    del order, ps, cs, ns, p, c, n, f_no, g_no, total_c, kinds, code, new_p, new_c
+    give_back()
     return pd.DataFrame({"chunk": group["chunk"], "shard": group["shard"], "code": [x.tobytes() for x in np.split(back, np.cumsum(sizes)[:-1])]})
 
 
@@ -333,6 +337,7 @@ def _tree(group, rule: Rule):
         who.append(m)
         start.append(place[m] - longest[good])
         stop.append(place[m] + depth)
+    give_back()
     who = np.concatenate([np.zeros(0, np.int64), *who])
     return pd.DataFrame({"doc_id": group["doc_id"].to_numpy()[who], "sha": group["sha"].to_numpy()[who].astype(object), "start": np.concatenate([np.zeros(0), *start]).astype(np.int32),
                          "stop": np.concatenate([np.zeros(0), *stop]).astype(np.int32)})
@@ -383,6 +388,7 @@ def _finish(batches, rule: Rule, length: int):
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)],
                                              ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"])
+    give_back()
 
 
 def is_passage(run: bytes) -> bool:
@@ -477,6 +483,7 @@ def drop_repeats(docs: DataFrame, rule: Rule = SHORT) -> DataFrame:
                 texts.append("".join(k.decode("utf-8", "ignore") for k in kept))
             cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names)
+        give_back()
 
     out = joined.select(*names, "places", "codes", "found").mapInArrow(cut, docs.schema)
     out = unpack(out, columns, "doc_id", "text")
