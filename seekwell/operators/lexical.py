@@ -92,11 +92,18 @@ def weigh_terms(queries: DataFrame, index: Bm25Tables) -> DataFrame:
 
 
 def least_scores(asked: DataFrame, index: Bm25Tables, limit: int, digits: int = 9) -> DataFrame:
-    """``query_id, least``: a score that each of the query's ``limit`` best items reaches, from its rarest terms alone; no row where they hold too few items."""
+    """``query_id, least``: a score that each of the query's ``limit`` best items reaches; no row where its rarest terms hold too few items.
+
+    The items that score best by a query's rarest terms are scored in full, and the ``limit``-th of these is the least score.
+    """
     before = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-    rare = asked.withColumn("_b", F.coalesce(F.sum("df").over(before), F.lit(0))).where(F.col("_b") < SEED_ITEMS * limit)
-    partial = rare.join(index.postings, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("idf") * F.col("part")).alias("score"))
-    return top_k(partial, limit).where(F.col("rank") == limit).select("query_id", (F.col("score") * (1 - 1e-9) - 2 * 10.0**-digits).alias("least"))
+    dealt = asked.withColumn("rare", F.coalesce(F.sum("df").over(before), F.lit(0)) < SEED_ITEMS * limit)
+    gain = F.sum(F.col("idf") * F.col("part"))
+    partial = dealt.where("rare").join(index.postings, "term").groupBy("query_id", "item_id").agg(gain.alias("score"))
+    seeds = put(top_k(partial, 4 * limit).select("query_id", "item_id", "score"), "seeds")
+    more = seeds.select("query_id", "item_id").join(dealt.where("not rare"), "query_id").join(index.postings, ["term", "item_id"]).groupBy("query_id", "item_id").agg(gain.alias("score"))
+    whole = seeds.unionByName(more).groupBy("query_id", "item_id").agg(F.sum("score").alias("score"))
+    return top_k(whole, limit).where(F.col("rank") == limit).select("query_id", (F.col("score") * (1 - 1e-9) - 2 * 10.0**-digits).alias("least"))
 
 
 def divide_terms(asked: DataFrame, least: DataFrame) -> DataFrame:
@@ -140,10 +147,9 @@ def build_for(queries: DataFrame, sections: DataFrame, k1: float = 1.2, b: float
     The empty term stands for an item's length.
     """
     asked = query_terms(queries).select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    pair = lambda term, weight: F.struct(term.alias("term"), weight.cast("double").alias("weight"))
-    both = lambda t: F.concat(F.transform(t, lambda x: pair(x, F.col("weight"))), F.array(pair(F.lit(""), F.col("weight") * F.size(t))))
-    each = sections.select("item_id", F.explode(F.transform(F.array(terms(F.col("text"))), both)[0]).alias("p")).select("item_id", "p.*").join(asked, "term", "left_semi")
-    all_of = put(each.groupBy("item_id", "term").agg(F.sum("weight").alias("tf")), "postings")
+    whole = sections.withColumn("t", terms(F.col("text"))).select("item_id", "weight", (F.col("weight") * F.size("t")).cast("double").alias("len"), F.explode(F.array_append("t", F.lit(""))).alias("term"))
+    amount = F.when(F.col("term") == "", F.col("len")).otherwise(F.col("weight").cast("double"))
+    all_of = put(whole.join(asked, "term", "left_semi").groupBy("item_id", "term").agg(F.sum(amount).alias("tf")), "postings")
     lengths = all_of.where("term = ''").select("item_id", F.col("tf").alias("len"))
     corpus = put(lengths.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("len")).alias("avg_len")), "corpus")
     return _tables(put(with_parts(all_of.where("term <> ''"), lengths, corpus, k1, b), "postings"), lengths, corpus)
