@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import put
 from .lexical import top_k
 
-SLICE_ROWS = 20_000
+SLICE_ROWS, PIVOTS = 20_000, 256
+SMALL_QUERIES, SMALL_VALUES = 1_000, 1_000_000
 
 
 def check_vectors(rows: DataFrame) -> int:
@@ -32,27 +35,79 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def usable(rows: DataFrame) -> DataFrame:
+    """Rows whose vector is there and holds finite numbers only; others take no part in a search."""
+    return rows.where(F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
+
+
+def check_widths(query_vectors: DataFrame, rows: DataFrame) -> tuple[int, int, int]:
+    """(queries, rows, width); refuses query vectors of another width than the rows', and mixed widths on either side."""
+    ask = lambda df: df.agg(F.count("*").alias("n"), F.min(F.size("vec")).alias("a"), F.max(F.size("vec")).alias("b")).first()
+    q, r = ask(query_vectors), ask(rows)
+    for what, x in (("query vectors", q), ("rows", r)):
+        if x["a"] != x["b"]:
+            raise ValueError(f"{what} of {x['a']} to {x['b']} dimensions")
+    if q["n"] and r["n"] and q["a"] != r["a"]:
+        raise ValueError(f"query vectors of {q['a']} dimensions, rows of {r['a']}")
+    return q["n"], r["n"], r["a"] or 0
+
+
 def _slices(rows: DataFrame) -> int:
     """So many that each holds at most ``SLICE_ROWS`` rows, and one for each core at least."""
     return max(1, rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // SLICE_ROWS))
 
 
-def knn_items(query_vectors: DataFrame, rows: DataFrame, limit: int, blocks: int = 16, digits: int = 9) -> DataFrame:
-    """``query_id, item_id, score, rank``: items by the best cosine of their rows to each query vector.
+def knn_items(query_vectors: DataFrame, rows: DataFrame, limit: int, digits: int = 9) -> DataFrame:
+    """``query_id, item_id, score, rank``: items by the best cosine of their rows to each query vector, exactly.
+
+    A table of at most ``SMALL_QUERIES`` queries and ``SMALL_VALUES`` numbers is sent to the rows, and each task's best rows leave it; others go by cells of
+    pivots (:func:`knn_cells`).
+    """
+    query_vectors, rows = usable(query_vectors), usable(rows)
+    queries, _, width = check_widths(query_vectors, rows)
+    if queries > SMALL_QUERIES or queries * width > SMALL_VALUES:
+        return knn_cells(query_vectors, rows, limit, digits)[0]
+    sent = query_vectors.agg(F.collect_list(F.struct("query_id", unit(F.col("vec")).alias("q"))).alias("qs"))  # one row of checked size
+    near = rows.select("item_id", unit(F.col("vec")).alias("v")).crossJoin(F.broadcast(sent))
+    near = near.select("item_id", F.explode(F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(dot(x["q"], F.col("v")), digits).alias("score")))).alias("s"))
+    return top_k(near.select("s.query_id", "item_id", "s.score").groupBy("query_id", "item_id").agg(F.max("score").alias("score")), limit)
+
+
+def _angle(a: Column, b: Column) -> Column:
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b))))
+
+
+def knn_cells(query_vectors: DataFrame, rows: DataFrame, limit: int, digits: int = 9) -> tuple[DataFrame, DataFrame]:
+    """(nearest items as :func:`knn_items` gives them, the pairs that were scored), by triangle inequalities between angles.
 
-    Queries (a stated set) are dealt in ``blocks``; each block meets every row once, in slices.  A slice gives out its ``limit`` best
-    items for each query: an item among the best of all is among the best of the slice that holds its nearest row.  Nothing is
-    broadcast, so either side may grow.
+    Rows are filed under the nearest of at most ``PIVOTS`` pivots (rows with the smallest hash), each cell with the least and the largest angle to its
+    pivot.  A query scores its nearest cells first; its ``limit``-th item so far is an angle that the rest must come under, which
+    excludes cells by their intervals and rows by their own angle.  Large cells are divided into slices, so a crowd of near copies is dealt over tasks.
     """
-    slices = _slices(rows)
-    q = query_vectors.select("query_id", unit(F.col("vec")).alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_b"))
-    q = q.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    r = rows.select("item_id", unit(F.col("vec")).alias("v"), F.pmod(F.xxhash64("item_id", "vec"), F.lit(slices)).cast("int").alias("_s"))
-    r = r.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    scored = q.join(r, ["_b", "_s"]).select("_b", "_s", "query_id", "item_id", F.round(dot(F.col("q"), F.col("v")), digits).alias("score"))
-    own = scored.groupBy("_b", "_s", "query_id", "item_id").agg(F.max("score").alias("score"))  # dealt as the join is: no shuffle
-    best = own.withColumn("_k", F.row_number().over(Window.partitionBy("_b", "_s", "query_id").orderBy(F.desc("score"), "item_id"))).where(F.col("_k") <= limit)
-    return top_k(best.groupBy("query_id", "item_id").agg(F.max("score").alias("score")), limit)
+    count = rows.count()
+    pivots = rows.orderBy(F.xxhash64("item_id", "vec")).limit(max(1, min(PIVOTS, math.isqrt(count)))).agg(F.collect_set(unit(F.col("vec"))).alias("pv"))
+    own = rows.select("item_id", unit(F.col("vec")).alias("v")).crossJoin(F.broadcast(pivots)).withColumn("angles", F.transform("pv", lambda p: _angle(p, F.col("v"))))
+    own = own.select("item_id", "v", F.array_min("angles").alias("a"), (F.array_position("angles", F.array_min("angles")) - 1).cast("int").alias("cell"))
+    own = put(own, "filed")
+    cells = put(own.groupBy("cell").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count("*").alias("n"), F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("slices")), "cells")
+    filed = own.join(F.broadcast(cells.select("cell", "slices")), "cell").withColumn("slice", F.pmod(F.xxhash64("item_id", "v"), F.col("slices")).cast("int"))  # a row a pivot
+    asked = query_vectors.select("query_id", unit(F.col("vec")).alias("q")).crossJoin(F.broadcast(pivots))
+    asked = asked.select("query_id", "q", F.posexplode(F.transform("pv", lambda p: _angle(p, F.col("q")))).alias("cell", "qa")).join(F.broadcast(cells), "cell")
+    asked = put(asked.withColumn("bound", F.greatest(F.lit(0.0), F.col("qa") - F.col("hi"), F.col("lo") - F.col("qa"))), "cells")
+    order = Window.partitionBy("query_id").orderBy("bound", "qa", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = asked.withColumn("early", F.coalesce(F.sum("n").over(order), F.lit(0)) < 4 * limit)
+    kinds = ["query_id", "q", "qa", "cell", "slices", "reach"]
+
+    def meet(pairs: DataFrame) -> DataFrame:
+        met = pairs.select(*kinds, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")).drop("slices").join(filed.drop("slices"), ["cell", "slice"])
+        return met.where(F.abs(F.col("qa") - F.col("a")) <= F.col("reach")).select("query_id", "item_id", F.round(dot(F.col("q"), F.col("v")), digits).alias("score"))
+
+    first = put(meet(dealt.where("early").withColumn("reach", F.lit(math.pi + 1))), "scored")
+    best = first.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
+    least = top_k(best, limit).where(F.col("rank") == limit).select("query_id", (F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("score") - 10.0**-digits))) + 1e-6).alias("reach"))
+    later = dealt.where("not early").join(least, "query_id", "left").withColumn("reach", F.coalesce("reach", F.lit(math.pi + 1))).where("bound <= reach")
+    scored = put(first.unionByName(meet(later)), "scored")
+    return top_k(scored.groupBy("query_id", "item_id").agg(F.max("score").alias("score")), limit), scored
 
 
 def knn_blocks(query_vectors: DataFrame, rows: DataFrame, limit: int, slices: int | None = None) -> DataFrame:
@@ -60,6 +115,8 @@ def knn_blocks(query_vectors: DataFrame, rows: DataFrame, limit: int, slices: in
     import numpy as np
     import pandas as pd
 
+    query_vectors, rows = usable(query_vectors), usable(rows)
+    check_widths(query_vectors, rows)
     slices = slices or _slices(rows)
     q = query_vectors.select("query_id", unit(F.col("vec")).alias("q")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     r = rows.select("item_id", unit(F.col("vec")).alias("v"), F.pmod(F.xxhash64("item_id"), F.lit(slices)).cast("int").alias("_s"))  # rows of an item stay together

@@ -248,6 +248,15 @@ def knn_blocks(spark, d):
     return found.select("query_id", F.col("item_id").cast("long").alias("item_id"), _dbl("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(COS + " select query_id, cast(item_id as bigint) item_id, round(score,6) score, rank from near where rank <= 5")
+def knn_cells(spark, d):
+    """The same by cells of pivots, as large tables of queries go."""
+    e = _t(spark, d, "embeddings")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    found, _ = vectors.knn_cells(vectors.usable(q), vectors.usable(e.select(F.col("label").alias("item_id"), F.col("embedding").alias("vec"))), 5)
+    return found.select("query_id", F.col("item_id").cast("long").alias("item_id"), _dbl("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def doc_rankings(spark, d: str) -> tuple[DataFrame, DataFrame]:
     """Two rankings of documents per benchmark text: by words, and by how near its length is."""
     q = bench_queries(spark, d)
