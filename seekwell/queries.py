@@ -11,8 +11,9 @@ from .functions import documents as fd
 from .functions import text as ft
 from .operators import budget, dialogue, evaluation, lexical, logs, ranking, responses, routing, vectors
 from .plans import build
-from .sources import catalog, store
+from .sources import catalog, merged, store
 from .sources import logs as slogs
+from .sources.shared import new_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -687,6 +688,32 @@ def headline_counters(spark, d):
     return logs.headline_counters(s).select("run_id", "items_indexed", "items_enriched")
 
 
+@query("""select doc_id, coalesce(l.quality, -1) quality, coalesce(l.toxic, 0) toxic from documents d left join labels l using(doc_id) where doc_id % 7 <> 3""")
+def merged_table(spark, d):
+    """The same rows from a table that is merged when read: a first load, older and newer labels as batches (one of them run twice), keys taken away, compaction between."""
+    path = new_folder(spark, "merged")
+    fresh = _t(spark, d, "labels").select("doc_id", "quality", "toxic", F.lit(2).alias("v"))
+    merged.write_batch(_t(spark, d, "documents").select("doc_id", F.lit(-1).alias("quality"), F.lit(0).alias("toxic"), F.lit(0).alias("v")), path, "doc_id", "v", batch=0)
+    merged.write_batch(fresh, path, "doc_id", "v", batch=1)
+    merged.compact(spark, path)
+    merged.write_batch(fresh.withColumns({"quality": F.lit(7), "v": F.lit(1)}), path, "doc_id", "v", batch=2)
+    merged.write_batch(fresh, path, "doc_id", "v", batch=1)
+    merged.write_batch(_t(spark, d, "documents").where("doc_id % 7 = 3").select("doc_id", F.lit(0).alias("quality"), F.lit(0).alias("toxic"), F.lit(9).alias("v")), path, "doc_id", "v", batch=3, gone=True)
+    merged.compact(spark, path)
+    merged.expire(spark, path)
+    return merged.read_table(spark, path).select("doc_id", "quality", "toxic")
+
+
+@query("select o_orderkey from orders where strftime(o_orderdate,'%Y-%m') in (select distinct strftime(o_orderdate,'%Y-%m') m from orders order by m desc limit 24)")
+def retention_files(spark, d):
+    """The same from disk: a folder per month, all but the newest 24 deleted, then read again."""
+    path = new_folder(spark, "monthly")
+    rows = _t(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    rows.repartition("month").write.partitionBy("month").parquet(path)
+    slogs.drop_months(spark, path, 24)
+    return spark.read.schema("o_orderkey bigint, month string").parquet(path).select("o_orderkey")
+
+
 @query("select o_orderkey from orders where strftime(o_orderdate,'%Y-%m') in (select distinct strftime(o_orderdate,'%Y-%m') m from orders order by m desc limit 24)")
 def retention_months(spark, d):
     return slogs.keep_months(_t(spark, d, "orders"), 24, "o_orderdate").select("o_orderkey")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import QUERY_LOG
+from .commits import commit, delete, latest, names
 
 
 def append_query_log(records: DataFrame, path: str) -> None:
@@ -52,6 +53,19 @@ def keep_months(log: DataFrame, n: int = 24, by: str = "started") -> DataFrame:
     return log.withColumn("_m", month).join(F.broadcast(kept), "_m", "left_semi").drop("_m")
 
 
+def drop_months(spark: SparkSession, path: str, n: int = 24) -> list[str]:
+    """Retention on disk: of a log in folders per ``month``, those before the newest n go.  What stays is committed first (in ``_retention``), then files are deleted,
+    so a run that breaks off is taken up by the next one.  Returns the months that went."""
+    months = [x for x in names(spark, path) if x.startswith("month=")]
+    gone = months[: max(0, len(months) - n)]
+    if gone:
+        number, _ = latest(spark, f"{path}/_retention")
+        commit(spark, f"{path}/_retention", number + 1, {"kept": months[len(gone) :], "gone": gone})
+        for month in gone:
+            delete(spark, f"{path}/{month}")
+    return [m.split("=", 1)[1] for m in gone]
+
+
 def keep_runs(runs: DataFrame, n: int = 25) -> DataFrame:
     """The n runs that finished last (top-k, no global window)."""
     return runs.orderBy(F.desc_nulls_last("finished"), "run_id").limit(n)

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.vectors import check_vectors
+from .commits import Conflict, commit, delete, latest
 
 
 def upsert(stored: DataFrame, fresh: DataFrame, key: str = "item_id", version: str | None = None) -> DataFrame:
-    """``fresh`` rows replace stored ones of the same key, others survive; among fresh ones the highest ``version`` counts."""
+    """``fresh`` rows replace stored ones of the same key, others survive.
+
+    Among fresh rows of one key the highest ``version`` counts, of equal ones (or without a version) that whose JSON is greatest.  For a table that
+    is written often see :mod:`.merged`, which rewrites nothing.
+    """
     names = stored.columns
-    newest = fresh.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*names), version).alias("r")).select("r.*") if version else fresh.select(*names)
+    order = F.struct(*([F.col(version).alias("v")] if version else []), F.to_json(F.struct(*names)).alias("j"))
+    newest = fresh.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*names), order).alias("r")).select("r.*")
     return stored.join(newest.select(key), key, "left_anti").select(*names).unionByName(newest)
 
 
@@ -26,34 +34,46 @@ def forget(stored: DataFrame, keys: DataFrame, key: str = "item_id") -> tuple[Da
     return kept, stored.join(keys.select(key), key, "left_semi").count()
 
 
+class GenerationTaken(Conflict):
+    """Another writer has published the generation; nothing of this one is left."""
+
+
+def _published(spark: SparkSession, path: str) -> str:
+    number, at = latest(spark, f"{path}/commits")
+    if not number:
+        raise ValueError(f"nothing has been published at {path}")
+    return f"{path}/{at['folder']}"
+
+
 def current_state(spark: SparkSession, path: str) -> DataFrame:
     """The row of the newest published generation."""
-    state = spark.read.parquet(f"{path}/state")
-    return state.orderBy(F.desc("generation")).limit(1)
+    return spark.read.parquet(f"{_published(spark, path)}/state")
 
 
 def publish_generation(state: DataFrame, items: DataFrame, rows: DataFrame, path: str) -> int:
-    """Writes items and vector rows of the next generation, then its state, so that readers only ever see whole ones."""
+    """Writes items, vector rows and state of the next generation to a folder of its own, then commits its number, so that readers only ever see whole ones.
+
+    Of two writers of one number the second to commit gets :class:`GenerationTaken`, and its folder is removed.
+    """
     spark = state.sparkSession
     check_vectors(rows)
+    n = latest(spark, f"{path}/commits")[0] + 1
+    folder = f"gen={n}-{uuid.uuid4().hex}"
+    items.write.parquet(f"{path}/{folder}/items")
+    rows.write.parquet(f"{path}/{folder}/rows")
+    state.withColumn("generation", F.lit(n).cast("long")).write.parquet(f"{path}/{folder}/state")
     try:
-        last = current_state(spark, path).first()["generation"]
-    except Exception as e:  # nothing has been published there
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        last = 0
-    n = last + 1
-    items.write.mode("overwrite").parquet(f"{path}/gen={n}/items")
-    rows.write.mode("overwrite").parquet(f"{path}/gen={n}/rows")
-    state.withColumn("generation", F.lit(n).cast("long")).write.mode("append").parquet(f"{path}/state")
+        commit(spark, f"{path}/commits", n, {"folder": folder})
+    except Conflict as e:
+        delete(spark, f"{path}/{folder}")
+        raise GenerationTaken(f"generation {n} of {path} has been published by another writer") from e
     return n
 
 
 def read_generation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(state, items, vector rows) of the newest generation."""
-    state = current_state(spark, path)
-    n = state.first()["generation"]
-    return state, spark.read.parquet(f"{path}/gen={n}/items"), spark.read.parquet(f"{path}/gen={n}/rows")
+    folder = _published(spark, path)
+    return tuple(spark.read.parquet(f"{folder}/{name}") for name in ("state", "items", "rows"))
 
 
 def check_index(state: DataFrame, profile: dict) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..schemas import QUERY_LOG
+from ..sources import merged
 
 
 def read_log_stream(spark: SparkSession, path: str, schema: str = QUERY_LOG, format: str = "json") -> DataFrame:
@@ -80,22 +81,21 @@ def exact_paid(spend: DataFrame, late: str = "1 hour", mode: str = "update") ->
     return rows.groupBy("user_id").transformWithStateInPandas(TrailingHour(), "user_id string, us bigint, paid_hour bigint", mode, "eventTime")
 
 
-def upsert_stream(fresh: DataFrame, path: str, checkpoint: str, key: str = "item_id", version: str = "generated_utc"):
-    """Merges each batch of a stream into a table, the highest version of each key stays; a batch that is run again writes the same folder."""
+def upsert_stream(fresh: DataFrame, path: str, checkpoint: str, key: str = "item_id", version: str = "generated_utc", compact_every: int = 16):
+    """Merges a stream into a table (:mod:`..sources.merged`): each batch writes its own rows only, under its number, so a batch that is run again changes nothing."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch if number == 0 else batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/batch={number - 1}"))
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), version).alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        merged.write_batch(batch, path, key, version, batch=number)
+        if (number + 1) % compact_every == 0:
+            merged.compact(batch.sparkSession, path)
+            merged.expire(batch.sparkSession, path)
 
     return fresh.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_table(spark: SparkSession, path: str) -> DataFrame:
     """The table that :func:`upsert_stream` has merged last."""
-    every = spark.read.parquet(path)
-    newest = every.agg(F.max("batch")).first()[0]
-    return every.where(F.col("batch") == newest).drop("batch")
+    return merged.read_table(spark, path)
 
 
 def sessions(log: DataFrame, gap: str = "30 minutes", late: str = "1 hour", time: str = "started", user: str = "user_id") -> DataFrame:
