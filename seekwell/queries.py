@@ -688,6 +688,23 @@ def headline_counters(spark, d):
     return logs.headline_counters(s).select("run_id", "items_indexed", "items_enriched")
 
 
+@query("""with recursive r as (select row_number() over (order by ts, event_id) n, event_id, epoch_us(ts) us, case when user_id % 9 <> 0 then user_id::varchar else '-' end u, cast(round(value * 100) as bigint) cents from events),
+c as (select r.*, case when event_id % 11 = 0 then 0 else cents end p, case when event_id % 11 = 0 then 0 else 3 * cents end f, (select sum(cents) from r) lim from r),
+s as (select 0::bigint n, 0::bigint event_id, '' verdict, 0::bigint spent, 0::bigint total, []::struct(u varchar, us bigint)[] paid
+ union all select n, event_id, v, x, total + x, case when x > 0 then list_append(kept, {'u': u, 'us': us}) else kept end from (select *, case v when 'Full' then f when 'PlanOnly' then p else 0 end x from (
+  select *, case when len(list_filter(kept, y -> y.u = u)) >= 4 then 'FreeOnly' when total >= lim then 'FreeOnly' when total * 100 >= lim * 85 then 'PlanOnly' else 'Full' end v
+  from (select c.*, total, list_filter(paid, y -> y.us >= c.us - 3600000000) kept from s join c on c.n = s.n + 1))))
+select cast(event_id as varchar) id, verdict, cast(spent / 100.0 as double) spent from s where n > 0""")
+def budget_replay(spark, d):
+    """Limits replayed over all events, with four paid requests an hour and a third of what all would cost: what is granted decides what is spent, and the other way round."""
+    cents = F.round(F.col("value") * 100).cast("long")
+    free = F.col("event_id") % 11 == 0
+    cost = lambda k: F.when(free, 0).otherwise(cents * k).cast("decimal(20,2)") / 100
+    asked = _t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("at"), F.when(F.col("user_id") % 9 != 0, F.col("user_id")).alias("user_id"), cost(1).alias("plan_cost"), cost(2).alias("rerank_cost"), cents.alias("c"))
+    cap = asked.agg((F.sum("c").cast("decimal(20,2)") / 100).alias("cap")).first()["cap"]
+    return budget.budget_replay(asked, cap, 4).select(F.col("id").cast("string").alias("id"), "verdict", F.col("spent").cast("double").alias("spent"))
+
+
 @query("""select doc_id, coalesce(l.quality, -1) quality, coalesce(l.toxic, 0) toxic from documents d left join labels l using(doc_id) where doc_id % 7 <> 3""")
 def merged_table(spark, d):
     """The same rows from a table that is merged when read: a first load, older and newer labels as batches (one of them run twice), keys taken away, compaction between."""
