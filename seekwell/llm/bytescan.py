@@ -80,8 +80,13 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * M1 ^ ((b << np.uint64(23)) | (b >> np.uint64(41))))
 
 
-def byte_ngrams(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of the byte n-grams (``least`` to ``most``) of spans between two marks, span by span, and how many each span has."""
+def byte_ngrams(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int, most: int, part: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the byte n-grams (``least`` to ``most``) of spans between two marks, span by span, and how many each span has; ``part`` spans at a time."""
+    parts = [_byte_ngrams(data, starts[i : i + part], lengths[i : i + part], least, most) for i in range(0, len(starts), part)]
+    return np.concatenate([np.zeros(0, np.uint32), *(p[0] for p in parts)]), np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
+
+
+def _byte_ngrams(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     length = lengths + 2
     chars, head = np.ones(int(length.sum()), np.uint32), np.cumsum(length) - length
     inner = np.repeat(head + 1, lengths) + np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)

@@ -128,7 +128,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes:
     y = table.column("_y").to_numpy()
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
-    return train(Features(*buffers(table.column("text"))), y)
+    model = train(Features(*buffers(table.column("text"))), y)
+    del table
+    give_back()
+    return model
 
 
 def score_texts(column: pa.Array, model) -> np.ndarray:

@@ -34,6 +34,29 @@ FIT_ROWS, FIT_BYTES = 3_200, 24 << 20
 PIECE = 1 << 19
 
 
+PART = 1 << 15
+
+
+def _word_grams(low: np.ndarray, s: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams of 3 to 5 bytes of each word between two marks, word by word, and how many each word has."""
+    length = length + 2
+    chars = np.full(int(length.sum()), 1, np.uint32)
+    head = np.cumsum(length) - length
+    own = np.repeat(np.arange(len(s)), length - 2)
+    place = np.arange(len(own)) - np.repeat(np.cumsum(length - 2) - (length - 2), length - 2)
+    chars[head[own] + 1 + place] = low[s[own] + place]
+    whose = np.repeat(np.arange(len(s)), length)
+    left = np.repeat(head + length, length) - np.arange(len(chars))  # bytes from here to the end of the word
+    code, found = chars.copy(), []
+    for n in range(2, 6):
+        code = code * np.uint32(65599) + np.concatenate([chars[n - 1 :], np.zeros(n - 1, np.uint32)])
+        if n > 2:
+            at_n = np.flatnonzero(left >= n)
+            found.append((whose[at_n], ((code[at_n] * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int32) % GRAMS))
+    whose, grams = (np.concatenate(x) for x in zip(*found, strict=True))
+    return grams[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=len(s))
+
+
 class Texts:
     """Windows of some texts over their distinct words."""
 
@@ -44,25 +67,9 @@ class Texts:
         self.hashes, self.index, self.first = uniq, index.astype(np.int32), first
         self.word_ids = (uniq % np.uint64(WORDS)).astype(np.int32)
         s, length = starts[at], ends[at] - starts[at]
-        # n-grams of 3 to 5 bytes of each distinct word between two marks
-        length = length + 2
-        chars = np.full(int(length.sum()), 1, np.uint32)
-        head = np.cumsum(length) - length
-        own = np.repeat(np.arange(len(uniq)), length - 2)
-        place = np.arange(len(own)) - np.repeat(np.cumsum(length - 2) - (length - 2), length - 2)
-        chars[head[own] + 1 + place] = low[s[own] + place]
-        whose = np.repeat(np.arange(len(uniq)), length)
-        left = np.repeat(head + length, length) - np.arange(len(chars))  # bytes from here to the end of the word
-        code, found = chars.copy(), []
-        for n in range(2, 6):
-            code = code * np.uint32(65599) + np.concatenate([chars[n - 1 :], np.zeros(n - 1, np.uint32)])
-            if n > 2:
-                at_n = np.flatnonzero(left >= n)
-                found.append((whose[at_n], ((code[at_n] * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int32) % GRAMS))
-        whose, grams = (np.concatenate(x) for x in zip(*found, strict=True))
-        by = np.argsort(whose, kind="stable")
-        self.grams = grams[by]
-        self.gram_n = np.bincount(whose, minlength=len(uniq))
+        parts = [_word_grams(low, s[i : i + PART], length[i : i + PART]) for i in range(0, len(uniq), PART)]
+        self.grams = np.concatenate([np.zeros(0, np.int32), *(p[0] for p in parts)])
+        self.gram_n = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
         self.gram_at = np.cumsum(self.gram_n) - self.gram_n
         n = np.diff(first)
         self.per_doc = np.maximum(1, -(-np.maximum(n - WINDOW, 0) // STRIDE) + 1)
@@ -101,9 +108,12 @@ class Network:
 
     def inputs(self, texts: Texts) -> np.ndarray:
         """One vector for each distinct word: its own part, and that of its n-grams."""
-        g = self.p["grams"][texts.grams]
-        chars = np.add.reduceat(g, texts.gram_at, axis=0) / np.sqrt(texts.gram_n)[:, None] if len(g) else np.zeros((0, DIM), np.float32)
-        return np.concatenate([self.p["words"][texts.word_ids], chars], axis=1).astype(np.float32)
+        out = [np.zeros((0, 2 * DIM), np.float32)]
+        for i in range(0, len(texts.word_ids), PART):
+            own, n, at = texts.word_ids[i : i + PART], texts.gram_n[i : i + PART], texts.gram_at[i : i + PART]
+            g = self.p["grams"][texts.grams[at[0] : at[-1] + n[-1]]]
+            out.append(np.concatenate([self.p["words"][own], np.add.reduceat(g, at - at[0], axis=0) / np.sqrt(n)[:, None]], axis=1).astype(np.float32))
+        return np.concatenate(out)
 
     def forward(self, x: np.ndarray, at: np.ndarray, keep: bool = False):
         """Logits of windows ``at`` (numbers of rows of ``x``; len(x) is padding)."""
@@ -250,7 +260,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes:
     y = table.column("_toxic").to_numpy()
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
-    return train(Texts(*buffers(table.column("text"))), y)
+    net = train(Texts(*buffers(table.column("text"))), y)
+    del table
+    give_back()
+    return net
 
 
 def _score(batches, model):
