@@ -548,11 +548,11 @@ def live_exact_paid(spark, d):
     src = new_folder(spark, "live-spend")
     rows = _t(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"), F.col("user_id").cast("string").alias("user_id"), (F.col("value") * (F.col("event_id") % 4)).alias("amount"))
     rows.repartitionByRange(3, "at").write.parquet(src)
-    s = spark.readStream.schema("at timestamp, user_id string, amount double").parquet(src)
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # lists of times need it
-    try:
-        return _available(spark, live.exact_paid(s, mode="append")).groupBy("user_id", "us").agg(F.max("paid_hour").alias("paid_hour"))
-    finally:
-        spark.conf.set(provider, before)
+    own = spark.newSession()  # the state store is its setting alone
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # maps need it
+    s = own.readStream.schema("at timestamp, user_id string, amount double").parquet(src)
+    dst = new_folder(spark, "live-paid")
+    live.run_available(live.exact_paid(s, mode="append"), dst, dst + "-checkpoint")
+    return spark.read.schema("user_id string, us bigint, paid_hour bigint").parquet(dst).groupBy("user_id", "us").agg(F.max("paid_hour").alias("paid_hour"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -37,38 +38,51 @@ def sliding_paid(spend: DataFrame, width: str = "1 hour", step: str = "5 minutes
 
 
 class TrailingHour(StatefulProcessor):
-    """Exact number of a user's paid queries in the hour up to each time, ties included.
+    """Exact number of a user's paid queries in the hour up to each time, ties included; null is a user.
 
-    A time is told as soon as it comes, and again with a higher number if a row that comes late (but before the watermark) falls into its
-    hour.  Times more than an hour before the watermark are let go, and a user's state with the last of them.
+    State is a map of minutes to the times in them: a batch writes the minutes that it adds to, whatever else the hour holds, and full minutes between the edges of an
+    hour count as they are.  A time is told as soon as it comes, and again with a higher number if a row that comes late (but before the
+    watermark) falls into its hour.  Each minute has a timer that removes it an hour after its end.
     """
 
-    SPAN = 3_600_000_000
+    SPAN, MINUTE = 3_600_000_000, 60_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getListState("times", "us bigint")
-
-    def _keep(self, times: list[int], timer_values) -> None:
-        kept = times[bisect_left(times, timer_values.getCurrentWatermarkInMs() * 1000 - self.SPAN) :]
-        if kept:
-            self.times.put([(t,) for t in kept])
-            self.handle.registerTimer((kept[-1] + self.SPAN) // 1000 + 1)
-        else:
-            self.times.clear()
-
-    def _known(self) -> list[int]:
-        return sorted(t[0] for t in self.times.get()) if self.times.exists() else []
+        self.minutes = handle.getMapState("minutes", "minute bigint", "times array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = sorted(us for part in rows for us in part["us"].tolist())
-        times = sorted(self._known() + new)
-        touched = sorted({t for n in set(new) for t in times[bisect_left(times, n) : bisect_right(times, n + self.SPAN)]})
-        self._keep(times, timerValues)
-        yield pd.DataFrame({"user_id": key[0], "us": touched, "paid_hour": [bisect_right(times, t) - bisect_left(times, t - self.SPAN) for t in touched]})
+        fresh: dict[int, list[int]] = {}
+        for part in rows:
+            for us in part["us"].tolist():
+                fresh.setdefault(us // self.MINUTE, []).append(us)
+        held = {k[0]: list(v[0]) for k, v in self.minutes.iterator()}
+        for minute, times in fresh.items():
+            if minute not in held:
+                self.handle.registerTimer(((minute + 1) * self.MINUTE + self.SPAN) // 1000 + 1)
+            held[minute] = sorted(held.get(minute, []) + times)
+            self.minutes.updateValue((minute,), (held[minute],))
+        order = sorted(held)
+        sums = [0, *accumulate(len(held[m]) for m in order)]
+        new = sorted({us for times in fresh.values() for us in times})
+
+        def up_to(us: int, inclusive: bool) -> int:
+            """Times before ``us``, whole minutes by their sums and those of its own minute one by one."""
+            at = bisect_left(order, us // self.MINUTE)
+            own = held.get(us // self.MINUTE, [])
+            return sums[at] + (bisect_right(own, us) if inclusive else bisect_left(own, us))
+
+        touched: set[int] = set()
+        for us in new:
+            for minute in order[bisect_left(order, us // self.MINUTE) : bisect_right(order, (us + self.SPAN) // self.MINUTE)]:
+                touched.update(t for t in held[minute] if us <= t <= us + self.SPAN)
+        told = sorted(touched)
+        yield pd.DataFrame({"user_id": pd.Series([key[0]] * len(told), dtype=object), "us": told, "paid_hour": [up_to(t, True) - up_to(t - self.SPAN, False) for t in told]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._keep(self._known(), timerValues)
+        minute = (expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.SPAN) // self.MINUTE - 1
+        if self.minutes.containsKey((minute,)):
+            self.minutes.removeKey((minute,))
         yield from ()
 
     def close(self) -> None:
@@ -76,7 +90,7 @@ class TrailingHour(StatefulProcessor):
 
 
 def exact_paid(spend: DataFrame, late: str = "1 hour", mode: str = "update") -> DataFrame:
-    """``user_id, us, paid_hour`` of a stream of paid entries, the highest number of a time is its last; needs a state store that keeps lists (RocksDB)."""
+    """``user_id, us, paid_hour`` of a stream of paid entries, the highest number of a time is its last; needs a state store that keeps maps (RocksDB)."""
     rows = spend.where(F.col("amount") > 0).select("user_id", "at", F.unix_micros("at").alias("us")).withWatermark("at", late)
     return rows.groupBy("user_id").transformWithStateInPandas(TrailingHour(), "user_id string, us bigint, paid_hour bigint", mode, "eventTime")
 
