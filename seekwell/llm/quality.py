@@ -10,7 +10,7 @@ Scoring.  The layer is linear, so a trained model is three tables with one numbe
 and broadcast.  A task hashes the distinct words of a few hundred kilobytes of text once, and sums their numbers per document.
 
 Training sees labelled rows only, at most ``FIT_ROWS`` of them and ``FIT_BYTES`` of whole texts (those with the smallest hash of their id and
-text), and brings them to the driver.
+text), in one task; the driver holds the three tables alone.
 
 Defined cases: null and empty texts have no feature and the score of the layer's bias; repeated rows each score, and texts of one id all
 teach; labels that are null or without a document are left out; with one kind of label all scores are the share of label 1 (0 without labels); an
@@ -19,6 +19,7 @@ empty table gives an empty result; extra columns do not matter.
 
 from __future__ import annotations
 
+import pickle
 from functools import partial
 
 import numpy as np
@@ -123,15 +124,21 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes:
     sizes = own.select("doc_id", "_sign", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id", "_sign").limit(fit_rows).collect()
     rows = max(1, int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), fit_bytes, "right")))
     keys = docs.sparkSession.createDataFrame([(r["doc_id"], r["_sign"]) for r in dict.fromkeys(sizes[:rows])], T.StructType([docs.schema["doc_id"], T.StructField("_sign", T.LongType())]))
-    table = own.join(F.broadcast(keys.distinct()), ["doc_id", "_sign"]).dropDuplicates(["doc_id", "_sign"]).select("text", "_y", "doc_id", "_sign").toArrow()
-    table = table.sort_by([("doc_id", "ascending"), ("_sign", "ascending")])
-    y = table.column("_y").to_numpy()
-    if not len(y) or y.min() == y.max():
-        return float(y.mean()) if len(y) else 0.0
-    model = train(Features(*buffers(table.column("text"))), y)
+    sample = own.join(F.broadcast(keys.distinct()), ["doc_id", "_sign"]).dropDuplicates(["doc_id", "_sign"]).select("text", "_y", "doc_id", "_sign")
+    made = sample.repartition(1).mapInArrow(_fit, "model binary").collect()  # one task, of bounded rows and bytes
+    return pickle.loads(made[0]["model"]) if made else 0.0
+
+
+def _fit(batches):
+    """The pickled scorer of a sample; nothing without rows."""
+    table = pa.Table.from_batches(rows) if (rows := list(batches)) else None
+    if table is not None and len(table):
+        table = table.sort_by([("doc_id", "ascending"), ("_sign", "ascending")])
+        y = table.column("_y").to_numpy()
+        model = float(y.mean()) if y.min() == y.max() else train(Features(*buffers(table.column("text"))), y)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
     del table
     give_back()
-    return model
 
 
 def score_texts(column: pa.Array, model) -> np.ndarray:

@@ -6,7 +6,7 @@ of the hashed vectors of its byte n-grams (3 to 5) over the root of their number
 a logistic unit scores the window.  A document's score is that of its highest window, calibrated on training documents.
 
 Training sees labelled rows only, at most ``FIT_ROWS`` of them and ``FIT_BYTES`` of whole texts (those with the smallest hash of their
-id and text), and brings them to the driver.
+id and text), in one task, so the driver holds the model alone.
 Only documents carry labels, so a toxic document teaches through its most telling window: at first the one whose
 words have the highest summed log-odds, later the one that the network itself scores highest.
 
@@ -17,6 +17,7 @@ toxic labels (0 without labels); an empty table gives an empty result; extra col
 
 from __future__ import annotations
 
+import pickle
 from functools import partial
 
 import numpy as np
@@ -255,15 +256,21 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes:
     sizes = own.select("doc_id", "_sign", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id", "_sign").limit(fit_rows).collect()
     rows = max(1, int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), fit_bytes, "right")))
     keys = docs.sparkSession.createDataFrame([(r["doc_id"], r["_sign"]) for r in dict.fromkeys(sizes[:rows])], T.StructType([docs.schema["doc_id"], T.StructField("_sign", T.LongType())]))
-    table = own.join(F.broadcast(keys.distinct()), ["doc_id", "_sign"]).dropDuplicates(["doc_id", "_sign"]).select("text", "_toxic", "doc_id", "_sign").toArrow()
-    table = table.sort_by([("doc_id", "ascending"), ("_sign", "ascending")])
-    y = table.column("_toxic").to_numpy()
-    if not len(y) or y.min() == y.max():
-        return float(y.mean()) if len(y) else 0.0
-    net = train(Texts(*buffers(table.column("text"))), y)
+    sample = own.join(F.broadcast(keys.distinct()), ["doc_id", "_sign"]).dropDuplicates(["doc_id", "_sign"]).select("text", "_toxic", "doc_id", "_sign")
+    made = sample.repartition(1).mapInArrow(_fit, "model binary").collect()  # one task, of bounded rows and bytes
+    return pickle.loads(made[0]["model"]) if made else 0.0
+
+
+def _fit(batches):
+    """The pickled model of a sample; nothing without rows."""
+    table = pa.Table.from_batches(rows) if (rows := list(batches)) else None
+    if table is not None and len(table):
+        table = table.sort_by([("doc_id", "ascending"), ("_sign", "ascending")])
+        y = table.column("_toxic").to_numpy()
+        model = float(y.mean()) if y.min() == y.max() else train(Texts(*buffers(table.column("text"))), y)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
     del table
     give_back()
-    return net
 
 
 def _score(batches, model):
