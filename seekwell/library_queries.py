@@ -357,7 +357,7 @@ def phrase_index(spark, d):
 @query("""with t as (select user_id item_id, event_id idx, event_type <> 'error' sub, event_type <> 'login' txt, event_id % 11 = 0 forced from events),
 n as (select item_id, count(*) filter (sub) s, count(*) filter (sub and txt) x, count(*) filter (sub and txt and not forced) u from t group by 1),
 i as (select c_custkey item_id from customer union select user_id from events)
-select i.item_id, case when n.item_id is null then 'no media streams' when s = 0 then 'no subtitles' when x = 0 then 'image-only subtitles (PGS or VobSub)' when u = 0 then 'only a forced track, which carries a few dozen lines at most' else 'track' end reason
+select i.item_id, case when n.item_id is null then 'the item lists no streams' when s = 0 then 'no subtitle stream' when x = 0 then 'image-only subtitles, nothing to read' when u = 0 then 'the readable tracks are forced ones' else 'track' end reason
 from i left join n using (item_id)""")
 def track_choice_all(spark, d):
     """Every item has a row: those without any stream say so."""

@@ -222,7 +222,7 @@ case when len(list_filter(""" + tok("text") + """, x -> length(x)>=3))>=2 and no
 def dominance_upgrade(spark, d):
     q = bench_queries(spark, d)
     ranked = lexical.bm25_once(q, doc_sections(spark, d), 10)
-    routed = q.withColumns({"route": F.lit("Native"), "reason": F.lit("matches names in the library")})
+    routed = q.withColumns({"route": F.lit("Native"), "reason": F.lit("every word is a known name")})
     up = routing.upgrade_native(routed, ranked)
     return up.join(routing.has_dominant_winner(ranked), "query_id", "left").select("query_id", F.coalesce("dominant", F.lit(False)).alias("dominant"), routing.worth_upgrading(F.col("text")).alias("worth"), "route")
 
@@ -512,8 +512,8 @@ def phrase_fuzzy(spark, d):
 @query("""with t as (select user_id item_id, event_id idx, event_type<>'error' sub, event_type<>'login' txt, event_id%11=0 forced, event_id%3=0 sdh, event_id%4=0 ext, case event_id%3 when 0 then 'eng' when 1 then 'fra' else null end lang from events),
 u as (select item_id, count(*) filter (sub) s, count(*) filter (sub and txt) t, count(*) filter (sub and txt and not forced) u from t group by 1),
 b as (select item_id, idx, lang, sdh, ext, row_number() over (partition by item_id order by case when lang='eng' then 0 else 1 end, sdh, not ext, idx) k from t where sub and txt and not forced)
-select u.item_id, b.idx as "index", case when s=0 then 'no subtitles' when t=0 then 'image-only subtitles (PGS or VobSub)' when u=0 then 'only a forced track, which carries a few dozen lines at most'
-else (case when ext then 'external text track' else 'embedded text track' end) || (case when coalesce(lang,'')='eng' then '' else ' (not in the preferred language)' end) || (case when sdh then ' (hearing-impaired track, annotations stripped)' else '' end) end reason
+select u.item_id, b.idx as "index", case when s=0 then 'no subtitle stream' when t=0 then 'image-only subtitles, nothing to read' when u=0 then 'the readable tracks are forced ones'
+else (case when ext then 'text beside the file' else 'text inside the file' end) || (case when coalesce(lang,'')='eng' then '' else '; another language than asked for' end) || (case when sdh then '; with notes for the hard of hearing' else '' end) end reason
 from u left join b on b.item_id=u.item_id and k=1""")
 def track_choice(spark, d):
     e = F.col("event_id")
