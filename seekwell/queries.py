@@ -484,11 +484,11 @@ def doc_windows(spark, d: str) -> DataFrame:
 
 
 def phrases(spark, d: str) -> DataFrame:
-    """Five tokens of each benchmark text."""
-    return bench_queries(spark, d, 5).withColumnRenamed("query_id", "phrase_id")
+    """Whole benchmark texts."""
+    return bench_queries(spark, d).withColumnRenamed("query_id", "phrase_id")
 
 
-PH = f"""with p as (select item_id phrase_id, ({tok('text')})[3:7] t from benchmark), ps as (select phrase_id, array_to_string(t,' ') s, t from p), w as (select doc_id, source, {tok('text')} t from documents),
+PH = f"""with p as (select item_id phrase_id, {tok('text')} t from benchmark), ps as (select phrase_id, array_to_string(t,' ') s, t from p), w as (select doc_id, source, {tok('text')} t from documents),
 ws as (select doc_id, source, ' ' || array_to_string(t,' ') || ' ' s, t from w), ex as (select phrase_id, doc_id, source from ps, ws where contains(ws.s, ' ' || ps.s || ' '))"""
 
 
@@ -766,7 +766,7 @@ def recall_mrr(spark, d):
     q = bench_queries(spark, d)
     found = lexical.bm25_once(q, doc_sections(spark, d), 40)
     docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("whole"))
-    # Whatever holds the whole text holds five tokens from its inside, which finds the candidates.
+    # Whatever holds the whole text holds its tokens in a row, which finds the candidates.
     held = dialogue.phrase_exact(phrases(spark, d), doc_windows(spark, d)).select(F.col("phrase_id").alias("query_id"), F.col("window_id").alias("item_id"))
     qrels = held.join(q, "query_id").join(docs, F.col("item_id") == F.col("doc_id")).where(F.col("whole").contains(F.col("text"))).select("query_id", "item_id")
     ranked = evaluation.first_relevant_ids(found, qrels).withColumn("group", (F.col("query_id") % 3).cast("string"))
