@@ -135,15 +135,22 @@ def build_totals(calls: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def project_run(items: DataFrame, calls: DataFrame, planned: DataFrame) -> DataFrame:
-    """Per run (``run_id, planned``) what finishing will cost; nulls unless some but not all items are done."""
+    """Per run (``run_id, planned``) what finishing will cost; nulls unless some but not all items are done.
+
+    Holds runs of fewer than 10^10 items and 10^16 in money; beyond these it fails rather than rounds.
+    """
+    money = "decimal(26,10)"  # a sum over many calls outgrows a single call's decimal(20,10)
     done = items.groupBy("run_id").agg(F.count("*").alias("done"))
-    spent = calls.groupBy("run_id").agg(F.sum("cost").cast("decimal(20,10)").alias("spent"), F.sum("duration_ms").cast("long").alias("ms"))
-    rows = planned.join(done, "run_id", "left").join(spent, "run_id", "left").withColumns({"done": F.coalesce("done", F.lit(0)), "spent": F.coalesce("spent", F.lit(0).cast("decimal(20,10)")), "ms": F.coalesce("ms", F.lit(0))})
+    spent = calls.groupBy("run_id").agg(F.sum("cost").cast(money).alias("spent"), F.sum("duration_ms").cast("long").alias("ms"))
+    rows = planned.join(done, "run_id", "left").join(spent, "run_id", "left").withColumns({"done": F.coalesce("done", F.lit(0)), "spent": F.coalesce("spent", F.lit(0).cast(money)), "ms": F.coalesce("ms", F.lit(0))})
     open_ = (F.col("planned") > 0) & (F.col("done") > 0) & (F.col("done") < F.col("planned"))
-    cost = F.bround(F.col("spent") * F.col("planned").cast("decimal(10,0)") / F.col("done").cast("decimal(10,0)"), 4).cast("decimal(20,4)")
+    by = F.nullif(F.col("done"), F.lit(0)).cast("decimal(10,0)")
+    whole = F.col("spent") * F.col("planned").cast("decimal(10,0)")  # 37 digits
+    left = whole % by  # divided apart, so that the quotient keeps its digits
+    cost = ((whole - left) / by).cast("decimal(28,0)") + F.bround(left / by, 4)
     ms = F.floor(F.col("ms") * (F.col("planned") / F.col("done").cast("double")))
     return rows.select("run_id", F.when(open_, F.col("done")).alias("done"), F.when(open_, F.col("planned") - F.col("done")).alias("remaining"), F.when(open_, F.col("spent")).alias("spent"),
-                       F.when(open_, cost).alias("projected_cost"), F.when(open_, ms).cast("long").alias("projected_ms"))
+                       F.when(open_, cost).cast("decimal(32,4)").alias("projected_cost"), F.when(open_, ms).cast("long").alias("projected_ms"))
 
 
 HEADLINES = {"items": "items_indexed", "enriched": "items_enriched", "stale": "items_planned", "embedded": "rows_embedded", "reused": "rows_reused"}
