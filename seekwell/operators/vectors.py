@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import put
 from .lexical import top_k
 
-SLICE_ROWS, PIVOTS = 20_000, 256
+SLICE_ROWS, QUERY_ROWS, PIVOTS = 20_000, 256, 256
 SMALL_QUERIES, SMALL_VALUES = 1_000, 1_000_000
 
 
@@ -57,6 +59,42 @@ def _slices(rows: DataFrame) -> int:
     return max(1, rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // SLICE_ROWS))
 
 
+def _stack(vecs: pd.Series) -> np.ndarray:
+    return np.stack(vecs.to_numpy()) if len(vecs) else np.empty((0, 0))
+
+
+def _best(q: np.ndarray, v: np.ndarray, items: pd.Series, limit: int, digits: int) -> tuple[np.ndarray, pd.Series, np.ndarray]:
+    """(row of ``q``, item, score) of the ``limit`` best items of each row, an item by its best row of ``v``; ties to the smaller item."""
+    code, _ = pd.factorize(items, sort=True)  # null is -1, the first
+    order = np.argsort(code, kind="stable")
+    first = np.flatnonzero(np.diff(code[order], prepend=-2))
+    v, least_at, out = v[order].T, max(0, len(first) - limit), []
+    for at in range(0, len(q), QUERY_ROWS):
+        best = np.round(np.maximum.reduceat(q[at : at + QUERY_ROWS] @ v, first, axis=1), digits) + 0.0
+        r, c = np.nonzero(best >= np.partition(best, least_at, axis=1)[:, [least_at]])
+        s = best[r, c]
+        by = np.lexsort((c, -s, r))
+        r, c, s = r[by], c[by], s[by]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < limit
+        out.append((r[keep] + at, c[keep], s[keep]))
+    rows, at, scores = (np.concatenate(x) for x in zip(*out, strict=True))
+    return rows, items.iloc[order[first[at]]], scores
+
+
+def _found(names: pd.Series, q: np.ndarray, v: np.ndarray, items: pd.Series, limit: int, digits: int) -> pd.DataFrame:
+    rows, best, scores = _best(q, v, items, limit, digits)
+    return pd.DataFrame({"query_id": names.iloc[rows].to_numpy(), "item_id": best.to_numpy(), "score": scores})
+
+
+def _merged(found: DataFrame, limit: int) -> DataFrame:
+    """The best items of each query from the best of each part of the rows."""
+    return top_k(found.groupBy("query_id", "item_id").agg(F.max("score").alias("score")), limit)
+
+
+def _kinds(query_vectors: DataFrame, rows: DataFrame) -> tuple[str, str]:
+    return f"query_id {dict(query_vectors.dtypes)['query_id']}", f"item_id {dict(rows.dtypes)['item_id']}"
+
+
 def knn_items(query_vectors: DataFrame, rows: DataFrame, limit: int, digits: int = 9) -> DataFrame:
     """``query_id, item_id, score, rank``: items by the best cosine of their rows to each query vector, exactly.
 
@@ -67,77 +105,106 @@ def knn_items(query_vectors: DataFrame, rows: DataFrame, limit: int, digits: int
     queries, _, width = check_widths(query_vectors, rows)
     if queries > SMALL_QUERIES or queries * width > SMALL_VALUES:
         return knn_cells(query_vectors, rows, limit, digits)[0]
-    sent = query_vectors.agg(F.collect_list(F.struct("query_id", unit(F.col("vec")).alias("q"))).alias("qs"))  # one row of checked size
-    near = rows.select("item_id", unit(F.col("vec")).alias("v")).crossJoin(F.broadcast(sent))
-    near = near.select("item_id", F.explode(F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(dot(x["q"], F.col("v")), digits).alias("score")))).alias("s"))
-    return top_k(near.select("s.query_id", "item_id", "s.score").groupBy("query_id", "item_id").agg(F.max("score").alias("score")), limit)
+    sent = query_vectors.select("query_id", unit(F.col("vec")).alias("q")).toPandas()  # of checked size
+    names, q = sent["query_id"], _stack(sent["q"])
+
+    def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part) and len(q):
+                yield _found(names, q, _stack(part["v"]), part["item_id"], limit, digits)
+
+    return _merged(rows.select("item_id", unit(F.col("vec")).alias("v")).mapInPandas(meet, ", ".join((*_kinds(query_vectors, rows), "score double"))), limit)
 
 
-def _angle(a: Column, b: Column) -> Column:
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b))))
+def _angles(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(v @ pivots.T, -1.0, 1.0))
 
 
 def knn_cells(query_vectors: DataFrame, rows: DataFrame, limit: int, digits: int = 9) -> tuple[DataFrame, DataFrame]:
-    """(nearest items as :func:`knn_items` gives them, the pairs that were scored), by triangle inequalities between angles.
+    """(nearest items as :func:`knn_items` gives them, the best items of each query in each slice of a cell), by triangle inequalities between angles.
 
     Rows are filed under the nearest of at most ``PIVOTS`` pivots (rows with the smallest hash), each cell with the least and the largest angle to its
     pivot.  A query scores its nearest cells first; its ``limit``-th item so far is an angle that the rest must come under, which
-    excludes cells by their intervals and rows by their own angle.  Large cells are divided into slices, so a crowd of near copies is dealt over tasks.
+    excludes cells by their intervals and rows by their own angle.  Large cells are divided into slices, so a crowd of near copies is dealt over tasks; equal
+    rows of an item are one, and queries meet a slice in parts of like size.  What a query meets in a slice is scored by matrix products, and
+    only its best items leave the task.  The second table tells in ``pairs`` how many pairs a query's block had scored there, a query's share of them.
     """
-    count = rows.count()
-    pivots = rows.orderBy(F.xxhash64("item_id", "vec")).limit(max(1, min(PIVOTS, math.isqrt(count)))).agg(F.collect_set(unit(F.col("vec"))).alias("pv"))
-    own = rows.select("item_id", unit(F.col("vec")).alias("v")).crossJoin(F.broadcast(pivots)).withColumn("angles", F.transform("pv", lambda p: _angle(p, F.col("v"))))
-    own = own.select("item_id", "v", F.array_min("angles").alias("a"), (F.array_position("angles", F.array_min("angles")) - 1).cast("int").alias("cell"))
-    own = put(own, "filed")
+    count, queries = rows.count(), query_vectors.count()
+    chosen = rows.orderBy(F.xxhash64("item_id", "vec")).limit(max(1, min(PIVOTS, math.isqrt(count)))).select(unit(F.col("vec")).alias("v")).distinct().toPandas()  # of bounded size
+    pivots = _stack(chosen["v"])
+    query_kind, item_kind = _kinds(query_vectors, rows)
+
+    def file(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                angles = _angles(_stack(part["v"]), pivots)
+                yield part.assign(a=angles.min(axis=1), cell=angles.argmin(axis=1).astype("int32"))
+
+    own = put(rows.select("item_id", unit(F.col("vec")).alias("v")).distinct().mapInPandas(file, f"{item_kind}, v array<double>, a double, cell int"), "filed")
     cells = put(own.groupBy("cell").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count("*").alias("n"), F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("slices")), "cells")
-    filed = own.join(F.broadcast(cells.select("cell", "slices")), "cell").withColumn("slice", F.pmod(F.xxhash64("item_id", "v"), F.col("slices")).cast("int"))  # a row a pivot
-    asked = query_vectors.select("query_id", unit(F.col("vec")).alias("q")).crossJoin(F.broadcast(pivots))
-    asked = asked.select("query_id", "q", F.posexplode(F.transform("pv", lambda p: _angle(p, F.col("q")))).alias("cell", "qa")).join(F.broadcast(cells), "cell")
-    asked = put(asked.withColumn("bound", F.greatest(F.lit(0.0), F.col("qa") - F.col("hi"), F.col("lo") - F.col("qa"))), "cells")
-    order = Window.partitionBy("query_id").orderBy("bound", "qa", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    dealt = asked.withColumn("early", F.coalesce(F.sum("n").over(order), F.lit(0)) < 4 * limit)
-    kinds = ["query_id", "q", "qa", "cell", "slices", "reach"]
-
-    def meet(pairs: DataFrame) -> DataFrame:
-        met = pairs.select(*kinds, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")).drop("slices").join(filed.drop("slices"), ["cell", "slice"])
-        return met.where(F.abs(F.col("qa") - F.col("a")) <= F.col("reach")).select("query_id", "item_id", F.round(dot(F.col("q"), F.col("v")), digits).alias("score"))
-
-    first = put(meet(dealt.where("early").withColumn("reach", F.lit(math.pi + 1))), "scored")
-    best = first.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
-    least = top_k(best, limit).where(F.col("rank") == limit).select("query_id", (F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("score") - 10.0**-digits))) + 1e-6).alias("reach"))
-    later = dealt.where("not early").join(least, "query_id", "left").withColumn("reach", F.coalesce("reach", F.lit(math.pi + 1))).where("bound <= reach")
+    told = cells.orderBy("cell").toPandas()  # a row a pivot
+    cell, lo, hi, n = (told[x].to_numpy() for x in ("cell", "lo", "hi", "n"))
+
+    def aim(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part) and len(cell):
+                qa = _angles(_stack(part["q"]), pivots)[:, cell]
+                bound = np.maximum(0.0, np.maximum(qa - hi, lo - qa))
+                order = np.lexsort((np.broadcast_to(cell, qa.shape), qa, bound), axis=1)
+                early = np.empty(qa.shape, dtype=bool)
+                np.put_along_axis(early, order, np.cumsum(n[order], axis=1) - n[order] < 4 * limit, axis=1)
+                yield part.assign(cell=[cell.astype("int32")] * len(part), qa=list(qa), bound=list(bound), early=list(early))
+
+    asked = query_vectors.select("query_id", unit(F.col("vec")).alias("q")).mapInPandas(aim, f"{query_kind}, q array<double>, cell array<int>, qa array<double>, bound array<double>, early array<boolean>")
+    asked = put(asked, "asked")
+    few = -(-queries // SLICE_ROWS) or 1
+    slices = F.broadcast(cells.select("cell", "slices"))
+    filed = own.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("item_id", "v"), F.col("slices")).cast("int")).select("cell", "slice", F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("part"), "item_id", "v", "a")
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": left["query_id"][:0], "item_id": right["item_id"][:0], "score": [], "pairs": []})]
+        if len(left) and len(right):
+            left = left.sort_values("qa")
+            q, v, a = _stack(left["q"]), _stack(right["v"]), right["a"].to_numpy()
+            for at in range(0, len(left), QUERY_ROWS):
+                block = left.iloc[at : at + QUERY_ROWS]
+                near = (a >= (block["qa"] - block["reach"]).min()) & (a <= (block["qa"] + block["reach"]).max())
+                if near.any():
+                    out.append(_found(block["query_id"], q[at : at + QUERY_ROWS], v[near], right["item_id"][near], limit, digits).assign(pairs=int(near.sum())))
+        return pd.concat(out[1:]) if len(out) > 1 else out[0]
+
+    def meet(met: DataFrame) -> DataFrame:
+        met = met.join(slices, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.pmod(F.xxhash64("query_id"), F.lit(few)).cast("int").alias("part"), "query_id", "q", "qa", "reach")
+        keys = ["cell", "slice", "part"]
+        return met.groupBy(*keys).cogroup(filed.groupBy(*keys)).applyInPandas(lambda x, y: score(x, y), f"{query_kind}, {item_kind}, score double, pairs bigint")
+
+    def dealt(table: DataFrame) -> DataFrame:
+        each = F.explode(F.arrays_zip("cell", "qa", "bound", "early")).alias("c")
+        return table.select("query_id", "q", "reach", each).select("query_id", "q", "reach", "c.*")
+
+    everywhere = F.lit(math.pi + 1)
+    first = put(meet(dealt(asked.withColumn("reach", everywhere)).where("early")), "scored")
+    least = _merged(first, limit).where(F.col("rank") == limit).select("query_id", (F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("score") - 10.0**-digits))) + 1e-6).alias("reach"))
+    later = dealt(asked.join(least, "query_id", "left").withColumn("reach", F.coalesce("reach", everywhere))).where("not early and bound <= reach")
     scored = put(first.unionByName(meet(later)), "scored")
-    return top_k(scored.groupBy("query_id", "item_id").agg(F.max("score").alias("score")), limit), scored
+    return _merged(scored, limit), scored
 
 
 def knn_blocks(query_vectors: DataFrame, rows: DataFrame, limit: int, slices: int | None = None) -> DataFrame:
     """The same through matrix products: queries and rows meet in slices, each slice gives out its best items per query."""
-    import numpy as np
-    import pandas as pd
-
     query_vectors, rows = usable(query_vectors), usable(rows)
     check_widths(query_vectors, rows)
     slices = slices or _slices(rows)
     q = query_vectors.select("query_id", unit(F.col("vec")).alias("q")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    r = rows.select("item_id", unit(F.col("vec")).alias("v"), F.pmod(F.xxhash64("item_id"), F.lit(slices)).cast("int").alias("_s"))  # rows of an item stay together
+    r = rows.select("item_id", unit(F.col("vec")).alias("v")).withColumn("_s", F.pmod(F.xxhash64("item_id", "v"), F.lit(slices)).cast("int"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series([], dtype=object), "item_id": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
-        right = right.sort_values("item_id", kind="stable")
-        ids, first = np.unique(right["item_id"].to_numpy(), return_index=True)
-        v, out = np.stack(right["v"].to_numpy()), []
-        for at in range(0, len(left), 256):
-            part = left.iloc[at : at + 256]
-            best = np.maximum.reduceat(np.round(np.stack(part["q"].to_numpy()) @ v.T, 9), first, axis=1)
-            for name, row in zip(part["query_id"], best, strict=True):
-                top = np.lexsort((np.arange(len(ids)), -row))[:limit]
-                out.append((name, ids[top], row[top]))
-        return pd.DataFrame({"query_id": [n for n, i, _ in out for _ in i], "item_id": [i for _, own, _ in out for i in own], "score": np.concatenate([s for *_, s in out])})
-
-    kinds = dict(query_vectors.dtypes)["query_id"], dict(rows.dtypes)["item_id"]
-    found = q.groupBy("_s").cogroup(r.groupBy("_s")).applyInPandas(lambda a, b: meet(a, b), f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
-    return top_k(found, limit)
+            return pd.DataFrame({"query_id": left["query_id"][:0], "item_id": right["item_id"][:0], "score": []})
+        return _found(left["query_id"], _stack(left["q"]), _stack(right["v"]), right["item_id"], limit, 9)
+
+    found = q.groupBy("_s").cogroup(r.groupBy("_s")).applyInPandas(lambda a, b: meet(a, b), ", ".join((*_kinds(query_vectors, rows), "score double")))
+    return _merged(found, limit)
 
 
 def hash_embedder(dims: int = 32) -> Callable[[list[str]], list[list[float]]]:
