@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from ..functions.text import stem, terms, tokenize
 from ..sources.shared import put
 
 BLOCK_ITEMS, SEED_ITEMS = 128, 8
+SMALL_QUERIES, SMALL_PAIRS, CELLS = 1_000, 200_000, 1_000_000
 NAME_FIELDS = ("Title", "OriginalTitle", "People")
 
 
@@ -146,7 +150,8 @@ def build_for(queries: DataFrame, sections: DataFrame, k1: float = 1.2, b: float
 
     The empty term stands for an item's length.
     """
-    asked = query_terms(queries).select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    # Written first: its size is known then, so that tokens meet a small table where they stand and only asked ones are shuffled.
+    asked = put(query_terms(queries).select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct(), "asked")
     whole = sections.withColumn("t", terms(F.col("text"))).select("item_id", "weight", (F.col("weight") * F.size("t")).cast("double").alias("len"), F.explode(F.array_append("t", F.lit(""))).alias("term"))
     amount = F.when(F.col("term") == "", F.col("len")).otherwise(F.col("weight").cast("double"))
     all_of = put(whole.join(asked, "term", "left_semi").groupBy("item_id", "term").agg(F.sum(amount).alias("tf")), "postings")
@@ -155,9 +160,97 @@ def build_for(queries: DataFrame, sections: DataFrame, k1: float = 1.2, b: float
     return _tables(put(with_parts(all_of.where("term <> ''"), lengths, corpus, k1, b), "postings"), lengths, corpus)
 
 
-def bm25_once(queries: DataFrame, sections: DataFrame, limit: int, **options) -> DataFrame:
-    """The same for sections that are searched once."""
-    return bm25_search(queries, build_for(queries, sections), limit, **options)
+def tally(pairs: pd.DataFrame, sections: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(``item_id, t, tf`` of the terms that ``pairs`` (``query_id, term``) ask for, those terms): ``t`` is a term's place in the list, 0 stands for an item's length."""
+    names = ["", *pairs["term"].unique()]
+    table = F.broadcast(sections.sparkSession.createDataFrame(list(enumerate(names)), "t int, term string"))  # of checked size
+    whole = sections.withColumn("w", terms(F.col("text"))).select("item_id", "weight", (F.col("weight") * F.size("w")).cast("double").alias("len"), F.explode(F.array_append("w", F.lit(""))).alias("term"))
+    amount = F.when(F.col("t") == 0, F.col("len")).otherwise(F.col("weight").cast("double"))
+    return put(whole.join(table, "term").groupBy("item_id", "t").agg(F.sum(amount).alias("tf")), "tallies"), names
+
+
+def _first_of_each(q: np.ndarray, at: np.ndarray, score: np.ndarray, limit: int) -> np.ndarray:
+    """Places of each query's ``limit`` highest scores, ties to the smaller ``at``."""
+    by = np.lexsort((at, -score, q))
+    return by[np.arange(len(by)) - np.searchsorted(q[by], q[by]) < limit]
+
+
+def bm25_once(queries: DataFrame, sections: DataFrame, limit: int, digits: int = 9, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The same for sections that are searched once.
+
+    A table of queries of checked size is sent to the items: their tallies of asked terms are shuffled by item, and a task adds up the scores of its items, some
+    at a time, and gives out each query's best.  More queries go through :func:`build_for`.
+    """
+    asked = put(query_terms(queries), "asked")
+    size = asked.agg(F.count("*").alias("pairs"), F.count_distinct("query_id").alias("queries")).first()
+    if size["pairs"] > SMALL_PAIRS or size["queries"] > SMALL_QUERIES:
+        return bm25_search(queries, build_for(queries, sections, k1, b), limit, digits)
+    pairs = asked.toPandas()
+    tallies, names = tally(pairs, sections)
+    corpus = tallies.where("t = 0").agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("tf")).alias("avg_len")).first()
+    df = np.zeros(len(names))
+    for r in tallies.where("t > 0").groupBy("t").count().collect():  # a row a term asked for
+        df[r["t"]] = r["count"]
+    idf, avg_len = np.log(1 + (corpus["n"] - df + 0.5) / (df + 0.5)), corpus["avg_len"]
+    whose, who = pd.factorize(pairs["query_id"])
+    term = pairs["term"].map({x: i for i, x in enumerate(names)}).to_numpy(dtype=int)
+    whose = whose[np.argsort(term, kind="stable")]
+    many = np.bincount(term, minlength=len(names))  # queries of a term, which lie beside each other in ``whose``
+    start, wide = np.cumsum(many) - many, max(1, len(who))
+
+    def added(code: np.ndarray, t: np.ndarray, tf: np.ndarray, items: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, item, score) of the best of some items."""
+        length = np.zeros(items)
+        length[code[t == 0]] = tf[t == 0]
+        part = idf[t] * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[code] / avg_len)))
+        each = np.repeat(np.arange(len(t)), many[t])
+        cell = code[each] * wide + whose[np.arange(len(each)) + np.repeat(start[t] - (np.cumsum(many[t]) - many[t]), many[t])]
+        score = np.round(np.bincount(cell, part[each], items * wide), digits)
+        score = np.where(np.bincount(cell, minlength=items * wide) > 0, score, -np.inf).reshape(items, wide).T
+        least = max(0, items - limit)
+        q, c = np.nonzero((score >= np.partition(score, least, axis=1)[:, [least]]) & (score > -np.inf))
+        return q, c, score[q, c]
+
+    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows, seen = [], 0, 0
+        pool = [(np.empty(0, int), np.empty(0, int), np.empty(0), pd.Series([], dtype=object))]
+
+        def settle(last: bool) -> None:
+            nonlocal held, rows, seen
+            table = pd.concat(held)
+            code, _ = pd.factorize(table["item_id"], use_na_sentinel=False)  # in order, as the rows are
+            whole = len(code) if last else int(np.searchsorted(code, code[-1]))  # the last item may go on
+            held, rows = ([], 0) if last else ([table.iloc[whole:]], len(code) - whole)
+            code, t, tf, ids = code[:whole], table["t"].to_numpy()[:whole], table["tf"].to_numpy()[:whole], table["item_id"].iloc[:whole]
+            if not whole:
+                return
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            load = np.cumsum(np.add.reduceat(many[t], first)) // CELLS + np.arange(len(first)) // max(1, CELLS // wide) * 2**32
+            cuts = [*first[np.flatnonzero(np.diff(load, prepend=-1))], whole]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                low = code[i]
+                q, c, s = added(code[i:j] - low, t[i:j], tf[i:j], code[j - 1] - low + 1)
+                pool.append((q, c + low + seen, s, ids.iloc[first[c + low]]))
+            seen += code[-1] + 1
+            q, at, s = (np.concatenate([x[k] for x in pool]) for k in range(3))
+            keep = _first_of_each(q, at, s, limit)
+            pool[:] = [(q[keep], at[keep], s[keep], pd.concat([x[3] for x in pool if len(x[3])] or [pool[0][3]]).iloc[keep])]
+
+        for part in parts:
+            if len(part):
+                held.append(part)
+                rows += len(part)
+                if rows >= CELLS:
+                    settle(False)
+        if held:
+            settle(True)
+        q, _, s, ids = pool[0]
+        if len(q):
+            yield pd.DataFrame({"query_id": who.take(q), "item_id": ids.to_numpy(), "score": s})
+
+    kinds = dict(queries.dtypes)["query_id"], dict(sections.dtypes)["item_id"]
+    found = tallies.repartition("item_id").sortWithinPartitions("item_id").mapInPandas(search, f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
+    return top_k(put(found, "found"), limit)  # a few rows a task, often used twice
 
 
 def name_tokens(sections: DataFrame) -> DataFrame:
