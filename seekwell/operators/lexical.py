@@ -250,7 +250,7 @@ def bm25_once(queries: DataFrame, sections: DataFrame, limit: int, digits: int =
 
     kinds = dict(queries.dtypes)["query_id"], dict(sections.dtypes)["item_id"]
     found = tallies.repartition("item_id").sortWithinPartitions("item_id").mapInPandas(search, f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
-    return top_k(put(found, "found"), limit)  # a few rows a task, often used twice
+    return put(top_k(put(found, "found"), limit), "found")  # few rows, often used twice
 
 
 def name_tokens(sections: DataFrame) -> DataFrame:
