@@ -14,7 +14,7 @@ from .queries import (AGG, CALLS, KIND, LOG, SEARCH, SHORT, SPEND, YEAR, _availa
 from .schemas import ENRICHMENT
 from .sources import catalog, store
 from .sources import logs as slogs
-from .sources.shared import new_folder
+from .sources.shared import new_folder, put
 from .streaming import live
 
 
@@ -338,13 +338,14 @@ li as (select best.*, ct.ord, raw, cue_ms, context, row_number() over (partition
 select phrase_id, item_id, window_id, rank, ord, raw line, context, greatest(0, cue_ms - 5000) resume_ms from li where n = 1""")
 def quote_search(spark, d):
     """Quoted turns sought in windows of all conversations, with the line, its context and where to resume."""
-    cues = dialogue.clean_cues(turn_cues(spark, d))
-    windows = dialogue.build_windows(cues, 40).withColumn("window_id", F.col("item_id") * 100_000 + F.col("window_no"))
-    q = dialogue.quoted_phrases(short_queries(spark, d))
-    hits = dialogue.best_per_item(dialogue.phrase_search(q, windows, fuzzy=False), 10)
-    found = dialogue.locate_line(hits, windows, cues, q)
+    cues = put(dialogue.clean_cues(turn_cues(spark, d)), "cues")
+    windows = put(dialogue.build_windows(cues, 40).withColumn("window_id", F.col("item_id") * 100_000 + F.col("window_no")), "windows")
+    q, same = dialogue.distinct_phrases(dialogue.quoted_phrases(short_queries(spark, d)))
+    hits = put(dialogue.best_per_item(dialogue.phrase_search(q, windows, fuzzy=False), 10), "hits")
+    found = put(dialogue.locate_line(hits, windows, cues, q), "found")
     context = dialogue.with_context(cues).select("item_id", "ord", "context")
-    return found.join(context, ["item_id", "ord"]).select("phrase_id", "item_id", "window_id", *_long("rank", "ord"), "line", F.array_join("context", " / ").alias("context"), dialogue.resume_ms(F.col("line_ms")).alias("resume_ms"))
+    told = found.join(context, ["item_id", "ord"]).withColumnRenamed("phrase_id", "same_id").join(same, "same_id")
+    return told.select("phrase_id", "item_id", "window_id", *_long("rank", "ord"), "line", F.array_join("context", " / ").alias("context"), dialogue.resume_ms(F.col("line_ms")).alias("resume_ms"))
 
 
 @query(f"select token, count(*) places, count(distinct doc_id) windows, cast(sum(pos) as bigint) positions from (select doc_id, unnest(t) token, unnest(range(0, len(t))) pos from (select doc_id, {tok('text')} t from documents)) group by 1")
