@@ -351,8 +351,7 @@ def quote_search(spark, d):
 @query(f"select token, count(*) places, count(distinct doc_id) windows, cast(sum(pos) as bigint) positions from (select doc_id, unnest(t) token, unnest(range(0, len(t))) pos from (select doc_id, {tok('text')} t from documents)) group by 1")
 def phrase_index(spark, d):
     """The positional index of all documents, summed per token."""
-    p = dialogue.positions(_t(spark, d, "documents").select(F.col("doc_id").alias("window_id"), "text"))
-    return p.groupBy("token").agg(F.count("*").alias("places"), F.countDistinct("window_id").alias("windows"), F.sum("pos").alias("positions"))
+    return dialogue.token_sums(_t(spark, d, "documents").select(F.col("doc_id").alias("window_id"), "text"))
 
 
 @query("""with t as (select user_id item_id, event_id idx, event_type <> 'error' sub, event_type <> 'login' txt, event_id % 11 = 0 forced from events),
