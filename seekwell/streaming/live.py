@@ -42,11 +42,18 @@ class TrailingHour(StatefulProcessor):
 
     State is a map of minutes to the times in them: a batch writes the minutes that it adds to, whatever else the hour holds, and full minutes between the edges of an
     hour count as they are.  A time is told as soon as it comes, and again with a higher number if a row that comes late (but before the
-    watermark) falls into its hour.  Each minute has a timer that removes it an hour after its end.
+    watermark) falls into its hour.  The watermark will be no lower than ``late`` before a user's newest time: rows before that are left out, and minutes
+    that end an hour before it are never written, or removed.  One timer a user removes the rest an hour after its newest minute.
     """
 
     SPAN, MINUTE = 3_600_000_000, 60_000_000
 
+    def __init__(self, late: int = 3_600_000_000) -> None:
+        self.late = late
+
+    def _expiry(self, minute: int) -> int:
+        return ((minute + 1) * self.MINUTE + self.SPAN) // 1000 + 1
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.minutes = handle.getMapState("minutes", "minute bigint", "times array<bigint>")
@@ -57,11 +64,26 @@ class TrailingHour(StatefulProcessor):
             for us in part["us"].tolist():
                 fresh.setdefault(us // self.MINUTE, []).append(us)
         held = {k[0]: list(v[0]) for k, v in self.minutes.iterator()}
+        before = max(held, default=None)
+        if before is not None:
+            least = held[before][-1] - self.late
+            fresh = {m: kept for m, times in fresh.items() if (kept := [us for us in times if us >= least])}
+        if not fresh:
+            return
+        newest = max(fresh) if before is None else max(before, *fresh)
+        newest_us = max(max(fresh.get(newest, [0])), *held.get(newest, [0]))
+        first = (newest_us - self.late - self.SPAN) // self.MINUTE  # no later row's hour begins before this minute
+        if newest != before:
+            if before is not None:
+                self.handle.deleteTimer(self._expiry(before))
+            self.handle.registerTimer(self._expiry(newest))
+        for minute in held:
+            if minute < first:
+                self.minutes.removeKey((minute,))
         for minute, times in fresh.items():
-            if minute not in held:
-                self.handle.registerTimer(((minute + 1) * self.MINUTE + self.SPAN) // 1000 + 1)
             held[minute] = sorted(held.get(minute, []) + times)
-            self.minutes.updateValue((minute,), (held[minute],))
+            if minute >= first:
+                self.minutes.updateValue((minute,), (held[minute],))
         order = sorted(held)
         sums = [0, *accumulate(len(held[m]) for m in order)]
         new = sorted({us for times in fresh.values() for us in times})
@@ -80,9 +102,7 @@ class TrailingHour(StatefulProcessor):
         yield pd.DataFrame({"user_id": pd.Series([key[0]] * len(told), dtype=object), "us": told, "paid_hour": [up_to(t, True) - up_to(t - self.SPAN, False) for t in told]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        minute = (expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.SPAN) // self.MINUTE - 1
-        if self.minutes.containsKey((minute,)):
-            self.minutes.removeKey((minute,))
+        self.minutes.clear()
         yield from ()
 
     def close(self) -> None:
@@ -92,7 +112,7 @@ class TrailingHour(StatefulProcessor):
 def exact_paid(spend: DataFrame, late: str = "1 hour", mode: str = "update") -> DataFrame:
     """``user_id, us, paid_hour`` of a stream of paid entries, the highest number of a time is its last; needs a state store that keeps maps (RocksDB)."""
     rows = spend.where(F.col("amount") > 0).select("user_id", "at", F.unix_micros("at").alias("us")).withWatermark("at", late)
-    return rows.groupBy("user_id").transformWithStateInPandas(TrailingHour(), "user_id string, us bigint, paid_hour bigint", mode, "eventTime")
+    return rows.groupBy("user_id").transformWithStateInPandas(TrailingHour(pd.Timedelta(late) // pd.Timedelta("1us")), "user_id string, us bigint, paid_hour bigint", mode, "eventTime")
 
 
 def upsert_stream(fresh: DataFrame, path: str, checkpoint: str, key: str = "item_id", version: str = "generated_utc", compact_every: int = 16):
