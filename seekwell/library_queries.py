@@ -539,7 +539,7 @@ select epoch_us(s) start_us, user_id, count(*) paid from w where ts < s + interv
 def live_paid(spark, d):
     """Paid events per user in sliding hours that the watermark has passed."""
     s = _event_stream(spark, d).select(F.col("ts").cast("timestamp").alias("at"), "user_id", (F.col("value") * (F.col("event_id") % 4)).alias("amount"))
-    return _available(spark, live.sliding_paid(s)).select(F.unix_micros("start").alias("start_us"), "user_id", "paid")
+    return live.sliding_paid(_available(spark, live.paid_panes(s))).select(F.unix_micros("start").alias("start_us"), "user_id", "paid")
 
 
 @query("""select distinct cast(user_id as varchar) user_id, epoch_us(ts) us, cast(count(*) over (partition by user_id order by ts range between interval 1 hour preceding and current row) as bigint) paid_hour from events where event_id % 4 > 0 and value > 0""")

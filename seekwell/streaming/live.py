@@ -5,9 +5,10 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
+from math import gcd
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -31,10 +32,41 @@ def live_usage(log: DataFrame, width: str = "1 day", late: str = "1 hour", key:
     return rows.groupBy(F.window("_at", width), key).agg(F.count("*").alias("queries"), F.sum(cost).alias("cost")).select(F.col("window.start").alias("start"), key, "queries", "cost")
 
 
-def sliding_paid(spend: DataFrame, width: str = "1 hour", step: str = "5 minutes", late: str = "1 hour") -> DataFrame:
-    """``start, user_id, paid``: paid queries per user in sliding windows."""
-    rows = spend.where(F.col("amount") > 0).withWatermark("at", late)
-    return rows.groupBy(F.window("at", width, step), "user_id").agg(F.count("*").alias("paid")).select(F.col("window.start").alias("start"), "user_id", "paid")
+def _us(interval: str) -> int:
+    return pd.Timedelta(interval) // pd.Timedelta("1us")
+
+
+def paid_panes(spend: DataFrame, width: str = "1 hour", step: str = "5 minutes", late: str = "1 hour") -> DataFrame:
+    """``pane, user_id, paid``: paid queries per user in the panes of which sliding windows are made, as a stream that appends closed panes.
+
+    An entry is in one pane, whatever number of windows it is in, so state grows with entries alone.  Rows that come after their pane has closed are left out of all
+    windows.  Each entry also puts a row of 0 for the null user into the last pane that ends ``late`` before it: the newest pane of the table tells how far all is closed,
+    also where nothing was paid.
+    """
+    pane = gcd(_us(width), _us(step))
+    paid = F.struct("at", "user_id", F.lit(1).alias("paid"))
+    mark = F.struct(F.timestamp_micros(F.unix_micros("at") - _us(late) - pane).alias("at"), F.lit(None).cast(spend.schema["user_id"].dataType).alias("user_id"), F.lit(0).alias("paid"))
+    rows = spend.where((F.col("amount") > 0) & F.col("at").isNotNull()).select(F.explode(F.array(paid, mark)).alias("e")).select("e.*").withWatermark("at", late)
+    return rows.groupBy(F.window("at", f"{pane} microseconds"), "user_id").agg(F.sum("paid").alias("paid")).select(F.col("window.start").alias("pane"), "user_id", "paid")
+
+
+def sliding_paid(panes: DataFrame, width: str = "1 hour", step: str = "5 minutes") -> DataFrame:
+    """``start, user_id, paid`` per user in closed sliding windows, of a table that :func:`paid_panes` has been written to with the same ``width`` and ``step``.
+
+    A pane is added at the first window that holds it and taken off after the last; running sums of a user's changes give the windows up to the next change.
+    """
+    width_us, step_us = _us(width), _us(step)
+    pane_us = gcd(width_us, step_us)
+    at, n = F.unix_micros("pane"), F.col("paid")
+    least, size = at + pane_us - width_us, F.lit(step_us)
+    first, after = least + F.pmod(-least, size), at - F.pmod(at, size) + step_us
+    changes = panes.where(n > 0).select("user_id", F.explode(F.array(F.struct(first.alias("start"), n.alias("n")), F.struct(after.alias("start"), (-n).alias("n")))).alias("c")).select("user_id", "c.*")
+    user = Window.partitionBy("user_id").orderBy("start")
+    runs = changes.select("user_id", "start", F.sum("n").over(user.rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("paid"), F.lead("start").over(user).alias("next"))
+    closed = panes.agg((F.max(at) + pane_us - width_us).alias("last"))
+    open_to = F.least(F.col("next") - step_us, F.col("last"))
+    runs = runs.crossJoin(F.broadcast(closed)).where((F.col("paid") > 0) & (open_to >= F.col("start")))
+    return runs.select(F.explode(F.sequence("start", open_to, size)).alias("start"), "user_id", "paid").select(F.timestamp_micros("start").alias("start"), "user_id", "paid")
 
 
 class TrailingHour(StatefulProcessor):
@@ -112,7 +144,7 @@ class TrailingHour(StatefulProcessor):
 def exact_paid(spend: DataFrame, late: str = "1 hour", mode: str = "update") -> DataFrame:
     """``user_id, us, paid_hour`` of a stream of paid entries, the highest number of a time is its last; needs a state store that keeps maps (RocksDB)."""
     rows = spend.where(F.col("amount") > 0).select("user_id", "at", F.unix_micros("at").alias("us")).withWatermark("at", late)
-    return rows.groupBy("user_id").transformWithStateInPandas(TrailingHour(pd.Timedelta(late) // pd.Timedelta("1us")), "user_id string, us bigint, paid_hour bigint", mode, "eventTime")
+    return rows.groupBy("user_id").transformWithStateInPandas(TrailingHour(_us(late)), "user_id string, us bigint, paid_hour bigint", mode, "eventTime")
 
 
 def upsert_stream(fresh: DataFrame, path: str, checkpoint: str, key: str = "item_id", version: str = "generated_utc", compact_every: int = 16):
